@@ -16,6 +16,7 @@ from quillrank.functions.scoring import Bm25, inverse_document_frequency, rounde
 from quillrank.operators.analysis import query_terms, terms
 from quillrank.operators.joins import lookup_join
 from quillrank.operators.requests import Requests
+from quillrank.operators.statistics import sum_term_counts
 from quillrank.schemas import FIELDS
 from quillrank.session import stage
 
@@ -25,16 +26,25 @@ HOT_TERM_SALTS = 64
 
 @dataclass(frozen=True)
 class Index:
-    """The tables a search reads."""
+    """The tables a search reads.
+
+    ``term_counts`` may hold several rows per term, one for each commit that changed it; they
+    are summed after the rows of other terms are gone.
+    """
 
     docs: DataFrame
     postings: DataFrame
     field_stats: DataFrame
-    term_stats: DataFrame
+    term_counts: DataFrame
     num_shards: int
     analyzer: str = "simple"
     positions: bool = False
 
+    @property
+    def term_stats(self) -> DataFrame:
+        """Document frequency per (shard, field, term)."""
+        return sum_term_counts(self.term_counts)
+
 
 @dataclass(frozen=True)
 class Clauses:
@@ -103,7 +113,7 @@ def _staged(rows: DataFrame) -> Clauses:
 def _weighted_postings(index: Index, clauses: Clauses, columns: list[str]) -> DataFrame:
     """Postings of the query vocabulary with their shard's idf and average length."""
     vocabulary = clauses.rows.select("field", "term").distinct()
-    wanted = lookup_join(index.term_stats, vocabulary, ["field", "term"], bound=clauses.n_rows)
+    wanted = sum_term_counts(lookup_join(index.term_counts, vocabulary, ["field", "term"], bound=clauses.n_rows))
     weights = lookup_join(wanted, index.field_stats, ["shard", "field"], bound=len(FIELDS) * index.num_shards).select(
         "shard",
         "field",
@@ -141,10 +151,8 @@ def _phrase_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
         bound=clauses.n_rows,
         salts=HOT_TERM_SALTS,
     )
-    starts = found.select(
-        "query_id", "clause_id", "occur", "boost", "n_words", "shard", "id", "field", "dl", "idf", "avg_dl",
-        (F.explode("positions") - F.col("word_offset")).alias("start"),
-    )
+    each_start = F.transform("positions", lambda position: position - F.col("word_offset"))
+    starts = found.select("*", F.explode(each_start).alias("start"))
     phrase = ["query_id", "clause_id", "occur", "boost", "n_words", "shard", "id", "field", "dl", "avg_dl"]
     hits = (
         starts.groupBy(*phrase, "start")

@@ -13,6 +13,10 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("shard", "field", "term").agg(F.count("*").alias("df"))
 
 
+def sum_term_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
 def shard_stats(docs: DataFrame) -> DataFrame:
     """Live documents per shard."""
     return docs.groupBy("shard").agg(F.count("*").alias("doc_count"))

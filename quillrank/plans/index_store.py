@@ -15,6 +15,7 @@ from hashlib import md5
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillrank.functions.routing import shard_of
 from quillrank.operators.analysis import build_postings
@@ -127,7 +128,8 @@ def write_documents(
         dead = lookup_join(current.docs, ids, ["id"], "left_semi", bound=n_added)
         attempt.write_stats("dead", dead.select("id", "segment"))
         removed = lookup_join(current.postings, ids, ["id"], "left_semi", bound=n_added)
-        attempt.write_stats("term_stats", _signed(term_stats(new_postings), term_stats(removed), ["shard", "field", "term"], "df"))
+        terms = _signed(term_stats(new_postings), term_stats(removed), ["shard", "field", "term"], "df")
+        attempt.write_stats("term_stats", terms.where("df <> 0"))
         doc_counts = _signed(shard_stats(added), shard_stats(dead), ["shard"], "doc_count")
         lengths = _signed(field_lengths(new_postings), field_lengths(removed), ["shard", "field"], "sum_dl")
         attempt.write_stats("field_stats", combine_field_stats(doc_counts, lengths))
@@ -156,7 +158,7 @@ def compact(spark: SparkSession, root: str) -> Index:
 
 def _signed(added: DataFrame, removed: DataFrame, keys: list[str], value: str) -> DataFrame:
     minus = removed.withColumn(value, -F.col(value))
-    return added.unionByName(minus).groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
+    return added.unionByName(minus).groupBy(*keys).agg(F.sum(value).alias(value))
 
 
 @dataclass(frozen=True)
@@ -217,9 +219,20 @@ def _commits(spark: SparkSession, root: str) -> list[Row]:
 
 
 def _commit(spark: SparkSession, root: str, number: int, base: int, options: IndexOptions, source: str, source_batch: int) -> None:
-    row = (number, base, options.num_shards, options.num_buckets, options.analyzer, options.positions, options.dim, source, source_batch)
+    values = {
+        "commit": number,
+        "base": base,
+        "num_shards": options.num_shards,
+        "num_buckets": options.num_buckets,
+        "analyzer": options.analyzer,
+        "positions": options.positions,
+        "dim": options.dim,
+        "source": source,
+        "source_batch": source_batch,
+    }
+    row = spark.range(1).select(*[F.lit(value).alias(name) for name, value in values.items()])
     # Fails if another writer has committed the same number.
-    spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("error").parquet(f"{root}/commits/commit_{number:09d}")
+    row.coalesce(1).to(StructType.fromDDL(_COMMIT)).write.mode("error").parquet(f"{root}/commits/commit_{number:09d}")
 
 
 def _live(commits: list[Row]) -> list[int]:
@@ -232,20 +245,25 @@ def _segments(spark: SparkSession, root: str, commits: list[Row]) -> _Live:
     options = IndexOptions(last.num_shards, last.num_buckets, last.analyzer, last.positions, last.dim)
     numbers = _live(commits)
     posting_columns = POSTING_COLUMNS + (["positions"] if options.positions else [])
+    dead = _union_stats(spark, root, numbers[1:], "dead") if len(numbers) > 1 else None
+    n_dead = dead.count() if dead is not None else 0
+
+    def without_dead(rows: DataFrame, number: int) -> DataFrame:
+        # The newest segment cannot have dead rows yet.
+        if n_dead == 0 or number == last.commit:
+            return rows
+        return lookup_join(rows, dead.where(F.col("segment") == number).select("id"), ["id"], "left_anti", bound=n_dead)
+
     docs = postings = None
     for number in numbers:
         segment = _Segment(root, number, options)
-        tag = F.lit(number).cast("bigint").alias("segment")
-        more_docs = segment.bucketed(spark, "docs", "id").select(*INDEX_DOC_COLUMNS, tag)
-        more_postings = segment.bucketed(spark, "postings", "field, term").select(*posting_columns, tag)
+        # Columns in table order: a projection below the union would hide the bucketing.
+        more_docs = segment.bucketed(spark, "docs", "id").select(*INDEX_DOC_COLUMNS)
+        more_docs = without_dead(more_docs, number).withColumn("segment", F.lit(number).cast("bigint"))
+        more_postings = segment.bucketed(spark, "postings", "field, term").select(*posting_columns)
+        more_postings = without_dead(more_postings, number)
         docs = more_docs if docs is None else docs.unionByName(more_docs)
         postings = more_postings if postings is None else postings.unionByName(more_postings)
-    if len(numbers) > 1:
-        dead = _union_stats(spark, root, numbers[1:], "dead")
-        n_dead = dead.count()
-        if n_dead:
-            docs = lookup_join(docs, dead, ["id", "segment"], "left_anti", bound=n_dead)
-            postings = lookup_join(postings, dead, ["id", "segment"], "left_anti", bound=n_dead)
     return _Live(docs, postings)
 
 
@@ -260,12 +278,11 @@ def _open(spark: SparkSession, root: str, commits: list[Row]) -> Index:
     terms = _union_stats(spark, root, numbers, "term_stats")
     fields = _union_stats(spark, root, numbers, "field_stats")
     if len(numbers) > 1:
-        terms = terms.groupBy("shard", "field", "term").agg(F.sum("df").alias("df")).where("df > 0")
         fields = fields.groupBy("shard", "field").agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl"))
         fields = fields.where("n_docs > 0")
     return Index(
         live.docs.drop("segment"),
-        live.postings.drop("segment"),
+        live.postings,
         fields,
         terms,
         last.num_shards,

@@ -63,7 +63,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked_up(text: str = "text", title: str = "title"):
     """Text with markup and white space runs around it, as a dump would carry."""
     return F.concat(
-        F.lit("'''"), F.col(title), F.lit("''' [[a|b]] {{c}}\t\t  　 "), F.col(text), F.lit("  [x] \n")
+        F.lit("'''"), F.col(title), F.lit("''' [[a|b]] {{c}}\t\t \u00a0\u3000 "), F.col(text), F.lit("  [x] \n")
     )
 
 

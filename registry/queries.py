@@ -238,7 +238,7 @@ def search_report(spark, sf):
     return report.drop("q")
 
 
-def _clauses(spark, sf, occur, field=F.lit(None).cast("string"), boost=F.lit(1.0)):
+def _clauses(spark, sf, occur, field=None, boost=None):
     """A clause per word of the benchmark text; ``i`` is the word's place, ``n`` their number."""
     words = F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words"))
@@ -247,9 +247,9 @@ def _clauses(spark, sf, occur, field=F.lit(None).cast("string"), boost=F.lit(1.0
         "query_id",
         F.col("i").alias("clause_id"),
         F.array("word").alias("terms"),
-        field.alias("field"),
+        (F.lit(None).cast("string") if field is None else field).alias("field"),
         occur.alias("occur"),
-        boost.alias("boost"),
+        (F.lit(1.0) if boost is None else boost).alias("boost"),
     )
 
 
@@ -415,8 +415,8 @@ def embed_query_texts(spark, sf):
 @query
 def embed_dedup(spark, sf):
     docs = fx.documents(spark, sf)
-    shouted = docs.select(F.concat("id", F.lit("u")).alias("id"), F.concat(F.lit("  "), F.upper("title")).alias("title"))
-    both = docs.select("id", "title").unionByName(shouted)
+    other = docs.select(F.concat("id", F.lit("b")).alias("id"), F.concat(F.lit("  "), F.lower("title")).alias("title"))
+    both = docs.select("id", "title").unionByName(other)
     rows = embed_texts(both, "title", hashing_model(), into="v", salt_by="id")
     keyed = rows.groupBy(cache_key(F.col("title")).alias("text_key"))
     return keyed.agg(F.count("*").alias("n_texts"), F.count_distinct("v").alias("n_vectors"))
