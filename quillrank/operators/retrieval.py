@@ -7,7 +7,7 @@ task's output to ``k`` rows per query and shard before the only exchange.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from quillrank.session import stage
 # Tasks a hot term is spread over when the query vocabulary is too large to broadcast.
 HOT_TERM_SALTS = 64
 
+_MASK_BITS = 62
+
 
 @dataclass(frozen=True)
 class Index:
@@ -48,10 +50,15 @@ class Index:
 
 @dataclass(frozen=True)
 class Clauses:
-    """Analyzed clauses, one row per (query, clause, field, term), and their count."""
+    """Analyzed clauses, one row per (query, clause, field, term).
+
+    ``must_no`` numbers the required clauses of a query from 0.
+    """
 
     rows: DataFrame
     n_rows: int
+    max_must: int
+    has_phrases: bool
 
 
 def _every_field(field):
@@ -67,6 +74,7 @@ def bag_of_words(index: Index, requests: Requests, *, dedupe_terms: bool = True)
         "query_id",
         F.col("term").alias("clause_id"),
         F.lit("should").alias("occur"),
+        F.lit(None).cast("int").alias("must_no"),
         "boost",
         F.lit(0).alias("word_offset"),
         F.lit(1).alias("n_words"),
@@ -90,13 +98,16 @@ def structured(index: Index, clauses: DataFrame) -> Clauses:
         "field",
         terms(F.concat_ws(" ", "terms"), index.analyzer).alias("words"),
     )
-    per_field = analyzed.select(
-        "query_id", "clause_id", "occur", "boost", "words", _every_field(F.col("field")).alias("field")
+    by_clause = Window.partitionBy("query_id", "occur").orderBy("clause_id")
+    must_no = F.when(F.col("occur") == "must", F.dense_rank().over(by_clause) - 1)
+    per_field = analyzed.withColumn("must_no", must_no).select(
+        "query_id", "clause_id", "occur", "must_no", "boost", "words", _every_field(F.col("field")).alias("field")
     )
     rows = per_field.select(
         "query_id",
         "clause_id",
         "occur",
+        "must_no",
         "boost",
         F.size("words").alias("n_words"),
         F.posexplode_outer("words").alias("word_offset", "term"),
@@ -107,7 +118,12 @@ def structured(index: Index, clauses: DataFrame) -> Clauses:
 
 def _staged(rows: DataFrame) -> Clauses:
     rows = stage(rows, "clauses")
-    return Clauses(rows, rows.count())
+    size = rows.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.max("must_no") + 1, F.lit(0)).alias("must"),
+        F.coalesce(F.max(F.col("n_words") > 1), F.lit(False)).alias("phrases"),
+    ).first()
+    return Clauses(rows, size["n"], size["must"], size["phrases"])
 
 
 def _weighted_postings(index: Index, clauses: Clauses, columns: list[str]) -> DataFrame:
@@ -134,16 +150,16 @@ def _term_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
     # Weighed once per posting, before the fan-out to the queries that share the term.
     weighed = _weighted_postings(index, clauses, []).select("shard", "id", "field", "term", weight.alias("weight"))
-    single = clauses.rows.where("n_words = 1").select("query_id", "clause_id", "occur", "boost", "field", "term")
+    single = clauses.rows.where("n_words = 1").select("query_id", "occur", "must_no", "boost", "field", "term")
     return lookup_join(weighed, single, ["field", "term"], bound=clauses.n_rows, salts=HOT_TERM_SALTS).select(
-        "query_id", "clause_id", "occur", "shard", "id", (F.col("boost") * F.col("weight")).alias("score")
+        "query_id", "occur", "must_no", "shard", "id", (F.col("boost") * F.col("weight")).alias("score")
     )
 
 
 def _phrase_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     if not index.positions:
         raise ValueError("phrases need an index built with positions")
-    phrases = Clauses(clauses.rows.where("n_words > 1"), clauses.n_rows)
+    phrases = replace(clauses, rows=clauses.rows.where("n_words > 1"))
     found = lookup_join(
         _weighted_postings(index, phrases, ["positions"]),
         phrases.rows,
@@ -153,7 +169,9 @@ def _phrase_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     )
     each_start = F.transform("positions", lambda position: position - F.col("word_offset"))
     starts = found.select("*", F.explode(each_start).alias("start"))
-    phrase = ["query_id", "clause_id", "occur", "boost", "n_words", "shard", "id", "field", "dl", "avg_dl"]
+    phrase = [
+        "query_id", "clause_id", "occur", "must_no", "boost", "n_words", "shard", "id", "field", "dl", "avg_dl"
+    ]
     hits = (
         starts.groupBy(*phrase, "start")
         .agg(F.count("*").alias("n_found"), F.sum("idf").alias("idf"))
@@ -162,7 +180,7 @@ def _phrase_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
         .agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
     )
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
-    return hits.select("query_id", "clause_id", "occur", "shard", "id", (F.col("boost") * weight).alias("score"))
+    return hits.select("query_id", "occur", "must_no", "shard", "id", (F.col("boost") * weight).alias("score"))
 
 
 def score_words(index: Index, clauses: Clauses, bm25: Bm25 = Bm25()) -> DataFrame:
@@ -174,28 +192,40 @@ def score_words(index: Index, clauses: Clauses, bm25: Bm25 = Bm25()) -> DataFram
 def score_clauses(index: Index, clauses: Clauses, bm25: Bm25 = Bm25()) -> DataFrame:
     """BM25 per (query, document) of structured clauses.
 
-    Required and excluded clauses are counted in the same aggregation that adds up the score,
-    so exclusion costs no second join.
+    Required and excluded clauses are checked in the aggregation that adds up the score, so
+    neither costs another join or shuffle. A required clause may match in two fields; a bit
+    per clause, in as many 62-bit masks as the batch needs, counts it once.
     """
     matches = _term_matches(index, clauses, bm25)
-    if index.positions:
+    if clauses.has_phrases:
         matches = matches.unionByName(_phrase_matches(index, clauses, bm25))
-    elif not clauses.rows.where("n_words > 1").isEmpty():
-        raise ValueError("phrases need an index built with positions")
-    # Required clauses that analyze to nothing (n_words = 0) can never match.
-    required = clauses.rows.groupBy("query_id").agg(
-        F.count_distinct(F.when(F.col("occur") == "must", F.col("clause_id"))).alias("n_must")
-    )
-    by_clause = matches.groupBy("query_id", "shard", "id", "clause_id", "occur").agg(F.sum("score").alias("score"))
-    scored = by_clause.groupBy("query_id", "shard", "id").agg(
+    masks = [f"found_{mask}" for mask in range(-(-clauses.max_must // _MASK_BITS))]
+    found_bits = [
+        F.coalesce(
+            F.bit_or(
+                F.when(
+                    F.floor(F.col("must_no") / _MASK_BITS) == mask,
+                    F.expr(f"shiftleft(1L, must_no % {_MASK_BITS})"),
+                )
+            ),
+            F.lit(0).cast("bigint"),
+        ).alias(name)
+        for mask, name in enumerate(masks)
+    ]
+    scored = matches.groupBy("query_id", "shard", "id").agg(
         rounded(F.sum(F.when(F.col("occur") != "must_not", F.col("score")))).alias("bm25_score"),
-        F.count_if(F.col("occur") == "must").alias("found_must"),
-        F.count_if(F.col("occur") == "must_not").alias("found_not"),
-    )
-    judged = lookup_join(scored, required, ["query_id"], bound=clauses.n_rows)
-    return judged.where("found_not = 0 AND found_must = n_must AND bm25_score IS NOT NULL").select(
-        "query_id", "shard", "id", "bm25_score"
+        F.max(F.col("occur") == "must_not").alias("is_excluded"),
+        *found_bits,
     )
+    wanted = scored.where("NOT is_excluded AND bm25_score IS NOT NULL")
+    if masks:
+        # Clauses that analyze to nothing are required too, and never found.
+        required = clauses.rows.groupBy("query_id").agg(
+            F.coalesce(F.max("must_no") + 1, F.lit(0)).alias("n_must")
+        )
+        found = sum((F.bit_count(name) for name in masks), F.lit(0))
+        wanted = lookup_join(wanted, required, ["query_id"], bound=clauses.n_rows).where(found == F.col("n_must"))
+    return wanted.select("query_id", "shard", "id", "bm25_score")
 
 
 def top_per_shard(scored: DataFrame, requests: Requests) -> DataFrame:

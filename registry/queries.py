@@ -114,7 +114,7 @@ def doc_cap(spark, sf):
 @query
 def tokenize_terms(spark, sf):
     docs = fx.documents(spark, sf).withColumn("shard", shard_of(F.col("id"), NUM_SHARDS))
-    return build_postings(docs)
+    return build_postings(docs.repartition("id"))
 
 
 @query
