@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 500_000
 
 
-def fits(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+def fits(small: DataFrame, max_rows: int) -> bool:
     """Whether ``small`` has at most ``max_rows`` rows; looks at no more than one row beyond."""
     return small.limit(max_rows + 1).count() <= max_rows
 
@@ -21,7 +21,7 @@ def lookup_join(
     how: str = "inner",
     *,
     bound: int | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_rows: int | None = None,
     salts: int = 0,
     salt_by: str = "id",
 ) -> DataFrame:
@@ -32,6 +32,7 @@ def lookup_join(
     many tasks by hashing ``salt_by`` and the small side is repeated once per salt, so a hot
     key does not end up in one task.
     """
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
     if bound <= max_rows if bound is not None else fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     if salts <= 1:

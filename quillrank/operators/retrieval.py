@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25, inverse_document_frequency, rounded
 from quillrank.operators.analysis import query_terms, terms
-from quillrank.operators.joins import lookup_join
+from quillrank.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from quillrank.operators.requests import Requests
 from quillrank.operators.statistics import sum_term_counts
 from quillrank.schemas import FIELDS
@@ -22,6 +22,7 @@ from quillrank.session import stage
 
 # Tasks a hot term is spread over when the query vocabulary is too large to broadcast.
 HOT_TERM_SALTS = 64
+POPULAR_DOC_SALTS = 16
 
 _MASK_BITS = 62
 
@@ -254,5 +255,14 @@ def merge_shards(shard_hits: DataFrame, requests: Requests) -> DataFrame:
 
 
 def with_stored(hits: DataFrame, index: Index, columns: list[str], *, bound: int) -> DataFrame:
-    """Add stored document fields to hits, of which there are at most ``bound``."""
-    return lookup_join(index.docs.select("id", *columns), hits, ["id"], bound=bound)
+    """Add stored document fields to hits, of which there are at most ``bound``.
+
+    Hits that fit are broadcast to the documents. Otherwise the fields of each document hit
+    are fetched once, on the documents' own bucketing, and joined back with salt: a popular
+    document may be a hit of very many queries.
+    """
+    stored = index.docs.select("id", *columns)
+    if bound <= MAX_BROADCAST_ROWS:
+        return lookup_join(stored, hits, ["id"], bound=bound)
+    found = stored.join(hits.select("id").distinct(), "id", "left_semi")
+    return lookup_join(hits, found, ["id"], bound=bound, salts=POPULAR_DOC_SALTS, salt_by="query_id")
