@@ -9,11 +9,12 @@ from quillrank.schemas import FIELDS
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
-    """Document frequency per (shard, field, term)."""
-    return postings.groupBy("shard", "field", "term").agg(F.count("*").alias("df"))
+    """Documents and occurrences per (shard, field, term)."""
+    return postings.groupBy("shard", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
 def sum_term_counts(counts: DataFrame) -> DataFrame:
+    """Document frequency per (shard, field, term), from counts that may be split over rows."""
     return counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df")).where("df > 0")
 
 
@@ -22,14 +23,14 @@ def shard_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("shard").agg(F.count("*").alias("doc_count"))
 
 
-def field_lengths(postings: DataFrame) -> DataFrame:
-    """Total length per (shard, field)."""
-    return postings.groupBy("shard", "field").agg(F.sum("tf").alias("sum_dl"))
+def field_lengths(terms: DataFrame) -> DataFrame:
+    """Total length per (shard, field), from term statistics."""
+    return terms.groupBy("shard", "field").agg(F.sum("total_tf").alias("sum_dl"))
 
 
-def field_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
+def field_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Documents and total length per (shard, field); documents without words still count."""
-    return combine_field_stats(shard_stats(docs), field_lengths(postings))
+    return combine_field_stats(shard_stats(docs), field_lengths(terms))
 
 
 def combine_field_stats(doc_counts: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -51,11 +51,12 @@ def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Inde
     """An index as lazy DataFrames, nothing written; for one-off use on modest data."""
     prepared = _prepared(docs, options).repartition("id")
     postings = build_postings(prepared, options.analyzer, positions=options.positions)
+    terms = term_stats(postings)
     return Index(
         prepared,
         postings,
-        field_stats(prepared, postings),
-        term_stats(postings),
+        field_stats(prepared, terms),
+        terms,
         options.num_shards,
         options.analyzer,
         options.positions,
@@ -118,21 +119,20 @@ def write_documents(
     added = attempt.write_docs(spark, _prepared(docs, options).repartition(options.num_buckets, "id"))
     new_postings = attempt.write_postings(spark, build_postings(added, options.analyzer, positions=options.positions))
     if not commits:
-        attempt.write_stats("term_stats", term_stats(new_postings))
-        attempt.write_stats("field_stats", field_stats(added, new_postings))
+        terms = attempt.write_stats(spark, "term_stats", term_stats(new_postings))
+        attempt.write_stats(spark, "field_stats", field_stats(added, terms))
     else:
         current = _segments(spark, root, commits)
         n_added = added.count()
         ids = added.select("id")
         # Both sides are bucketed by id, so beyond the broadcast bound this still needs no shuffle.
-        dead = lookup_join(current.docs, ids, ["id"], "left_semi", bound=n_added)
-        attempt.write_stats("dead", dead.select("id", "segment"))
+        dead = lookup_join(current.docs.select("id", "shard", "segment"), ids, ["id"], "left_semi", bound=n_added)
+        dead = attempt.write_stats(spark, "dead", dead)
         removed = lookup_join(current.postings, ids, ["id"], "left_semi", bound=n_added)
-        terms = _signed(term_stats(new_postings), term_stats(removed), ["shard", "field", "term"], "df")
-        attempt.write_stats("term_stats", terms.where("df <> 0"))
-        doc_counts = _signed(shard_stats(added), shard_stats(dead), ["shard"], "doc_count")
-        lengths = _signed(field_lengths(new_postings), field_lengths(removed), ["shard", "field"], "sum_dl")
-        attempt.write_stats("field_stats", combine_field_stats(doc_counts, lengths))
+        changes = _signed(term_stats(new_postings), term_stats(removed), ["shard", "field", "term"])
+        terms = attempt.write_stats(spark, "term_stats", changes.where("df <> 0 OR total_tf <> 0"))
+        doc_counts = _signed(shard_stats(added), shard_stats(dead), ["shard"])
+        attempt.write_stats(spark, "field_stats", combine_field_stats(doc_counts, field_lengths(terms)))
     _commit(spark, root, number, commits[-1].base if commits else number, options, source, source_batch)
     commits = _commits(spark, root)
     if len(_live(commits)) > MAX_SEGMENTS:
@@ -150,15 +150,22 @@ def compact(spark: SparkSession, root: str) -> Index:
     attempt = _Segment(root, number, options)
     attempt.write_docs(spark, index.docs)
     attempt.write_postings(spark, index.postings)
-    attempt.write_stats("term_stats", index.term_stats)
-    attempt.write_stats("field_stats", index.field_stats)
+    attempt.write_stats(spark, "term_stats", _total(index.term_counts))
+    attempt.write_stats(spark, "field_stats", index.field_stats)
     _commit(spark, root, number, number, options, "", -1)
     return open_index(spark, root)
 
 
-def _signed(added: DataFrame, removed: DataFrame, keys: list[str], value: str) -> DataFrame:
-    minus = removed.withColumn(value, -F.col(value))
-    return added.unionByName(minus).groupBy(*keys).agg(F.sum(value).alias(value))
+def _total(counts: DataFrame) -> DataFrame:
+    summed = counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
+    return summed.where("df > 0")
+
+
+def _signed(added: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of what is added minus what is removed, per key."""
+    values = [name for name in added.columns if name not in keys]
+    minus = removed.select(*keys, *[(-F.col(name)).alias(name) for name in values])
+    return added.unionByName(minus).groupBy(*keys).agg(*[F.sum(name).alias(name) for name in values])
 
 
 @dataclass(frozen=True)
@@ -187,8 +194,9 @@ class _Segment:
         writer.option("path", self.path(kind)).saveAsTable(self.table(kind))
         return spark.table(self.table(kind))
 
-    def write_stats(self, kind: str, rows: DataFrame) -> None:
+    def write_stats(self, spark: SparkSession, kind: str, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(self.path(kind))
+        return spark.read.schema(rows.schema).parquet(self.path(kind))
 
     def bucketed(self, spark: SparkSession, kind: str, sort: str) -> DataFrame:
         """The segment's table, declared again if this session has not seen it."""

@@ -119,13 +119,13 @@ def tokenize_terms(spark, sf):
 
 @query
 def term_df(spark, sf):
-    return term_stats(fx.index(spark, sf).postings)
+    return term_stats(fx.index(spark, sf).postings).drop("total_tf")
 
 
 @query
 def field_stats_by_shard(spark, sf):
     index = fx.index(spark, sf)
-    return field_stats(index.docs, index.postings)
+    return field_stats(index.docs, term_stats(index.postings))
 
 
 @query
