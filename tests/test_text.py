@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.routing import shard_of
 from quillrank.functions.stemming import stem
-from quillrank.functions.text import MARKUP, cache_key, clean_markup, is_long_enough
+from quillrank.functions.text import cache_key, clean_markup, is_long_enough
 from quillrank.operators.analysis import terms
 
 
 def expected_clean(raw):
     """The cleaning rule in plain Python."""
-    text = re.sub(MARKUP, "", raw).translate(str.maketrans("\n\t", "  "))
+    text = re.sub(r"\'{2,3}|\[\[|\]\]|\{\{|\}\}|\[|\]", "", raw).translate(str.maketrans("\n\t", "  "))
     return re.sub(r"\s{2,}", " ", text).strip()[:2000]
 
 
