@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,9 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = "file:" + tempfile.mkdtemp(prefix="quillrank-")
-    spark.conf.set(_CHECKPOINT_CONF, folder)
-    return folder
+    # Core settings cannot be changed on a running session, so the folder is remembered here.
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = "file:" + tempfile.mkdtemp(prefix="quillrank-")
+    return _local_folders[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -10,8 +10,8 @@ from quillrank.session import stage
 
 POSITION_COLUMNS = ["src_file", "src_block", "src_row"]
 
-# Splits of one input: 128 MB each, so this covers a 250 TB dump.
-_MAX_SPLITS = 2_000_000
+# One short row per split of the input: at 128 MB each this covers a 120 TB dump in about 150 MB.
+_MAX_SPLITS = 1_000_000
 
 
 def with_position(scan: DataFrame) -> DataFrame:

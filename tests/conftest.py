@@ -21,8 +21,6 @@ def spark(tmp_path_factory):
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", "file:" + str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
