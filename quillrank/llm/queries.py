@@ -9,6 +9,7 @@ from quillrank.llm.common import table
 from quillrank.llm.fingerprints import compare_with_edits
 from quillrank.llm.line_dedup import dedup_lines
 from quillrank.llm.mixing import mix_rates
+from quillrank.llm.packing import pack_documents
 from quillrank.llm.url_filter import judge_urls
 
 URL_RULES = [
@@ -30,6 +31,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op10_mixing": op10_mixing,
