@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import table
+from quillrank.llm.embedding_dedup import vector_components
 from quillrank.llm.fingerprints import compare_with_edits
 from quillrank.llm.line_dedup import dedup_lines
 from quillrank.llm.mixing import mix_rates
+from quillrank.llm.near_duplicates import jaccard_classes
 from quillrank.llm.packing import pack_documents
 from quillrank.llm.url_filter import judge_urls
 
@@ -39,11 +41,19 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("_d", "_t")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_rates(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
@@ -53,6 +63,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
+    "op9_vector_join": op9_vector_join,
     "op10_mixing": op10_mixing,
 }
