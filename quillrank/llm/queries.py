@@ -12,6 +12,7 @@ from quillrank.llm.line_dedup import dedup_lines
 from quillrank.llm.mixing import mix_rates
 from quillrank.llm.near_duplicates import jaccard_classes
 from quillrank.llm.packing import pack_documents
+from quillrank.llm.suffix_dedup import remove_repeats
 from quillrank.llm.url_filter import judge_urls
 
 URL_RULES = [
@@ -50,6 +51,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_vector_join": op9_vector_join,
     "op10_mixing": op10_mixing,
 }
