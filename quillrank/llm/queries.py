@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import table
 from quillrank.llm.embedding_dedup import vector_components
 from quillrank.llm.fingerprints import compare_with_edits
+from quillrank.llm.language_id import identify_languages
 from quillrank.llm.line_dedup import dedup_lines
 from quillrank.llm.mixing import mix_rates
 from quillrank.llm.near_duplicates import jaccard_classes
 from quillrank.llm.packing import pack_documents
+from quillrank.llm.quality import classify_quality
 from quillrank.llm.suffix_dedup import remove_repeats
 from quillrank.llm.url_filter import judge_urls
 
@@ -42,6 +44,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).drop("_d", "_t")
 
@@ -56,6 +63,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
 
@@ -69,9 +80,11 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_language_id": op8_language_id,
     "op9_vector_join": op9_vector_join,
     "op10_mixing": op10_mixing,
 }
