@@ -81,7 +81,7 @@ def repeated_lines(docs: DataFrame, words: int = 50) -> DataFrame:
     Fingerprints and windows are counted with partial aggregates, and no pairs are made: each occurrence meets only the
     first of its kind. The joins are plain equi-joins whose heavy keys adaptive execution splits.
     """
-    windows = _windows(keyed(docs).select("_d", "_t", "text"), words)
+    windows = _windows(keyed(docs.select("doc_id", "text")), words)
     place = F.struct("_d", "_t", "at")
     met = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     met = met.filter("a <> b").select("fingerprint")
@@ -100,24 +100,22 @@ def dedup_lines(docs: DataFrame, words: int = 50, counts: bool = False) -> DataF
     passage by themselves, do not interrupt one, and go if they are inside. The rest keeps its order; a text may end up
     empty. Null texts stay null. Rows with equal id and text are copies of one document and treated alike: they do not
     delete each other. All columns of ``docs`` are kept; an ``n_chars`` column is set to the new length. With ``counts`` the
-    columns ``n_lines`` and ``n_removed`` are added. Columns whose names start with ``_`` must not be used.
+    columns ``n_lines`` and ``n_removed`` are added, or replaced. An empty table gives an empty one.
     """
-    runs = repeated_lines(docs, words)
-    keys = keyed(docs)
-    joined = keys.join(runs, ["_d", "_t"], "left").drop("_d", "_t")
-    joined = joined.withColumn("_lines", F.split("text", "\n"))
-    dead = F.flatten(F.transform(F.col("runs"), lambda r: F.sequence(r["lo"], r["hi"])))
-    joined = joined.withColumn(
-        "_kept",
-        F.when(F.col("runs").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), dead)),
-    )
-    rest = F.array_join(F.transform("_kept", lambda i: F.col("_lines")[i]), "\n")
-    out = joined.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(rest))
+    rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    joined = rows.join(repeated_lines(docs, words), ["_d", "_t"], "left").select("_row", "runs")
+    joined = joined.withColumn("_lines", F.split("_row.text", "\n"))
+    dead = F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"])))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), dead)
+    joined = joined.withColumn("_kept", F.when(F.col("runs").isNotNull(), rest))
+    cut = F.array_join(F.transform("_kept", lambda i: F.col("_lines")[i]), "\n")
+    out = joined.withColumn("_new", F.when(F.col("_kept").isNotNull(), cut))
+    row = F.col("_row").withField("text", F.coalesce("_new", "_row.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    extra = []
+        length = F.when(F.col("_new").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new").cast("long"))
+        row = row.withField("n_chars", length)
     if counts:
-        out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)))
-        out = out.withColumn("n_removed", F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)))
-        extra = ["n_lines", "n_removed"]
-    return out.select(*docs.columns, *[c for c in extra if c not in docs.columns])
+        n_lines = F.coalesce(F.size("_lines"), F.lit(0))
+        row = row.withField("n_lines", n_lines)
+        row = row.withField("n_removed", F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)))
+    return out.select(row.alias("_row")).select("_row.*")

@@ -206,5 +206,6 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the first document of each class of near duplicates, once, in all its columns."""
-    classes = jaccard_classes(docs, **options).filter("kept").select("_d", "_t")
-    return keyed(docs).join(classes.distinct(), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    classes = jaccard_classes(docs, **options).filter("kept").select("_d", "_t").distinct()
+    rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    return rows.join(classes, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select("_row.*")

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillrank.llm.common import held_out, text_or_empty
+from quillrank.llm.common import held_out
 from quillrank.llm.hashing import Rolling
 
 #: Labelled documents that the model is fitted on, and lines of each that are used.
@@ -196,13 +197,11 @@ def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
     text is looked at. Repeated rows get equal scores; a ``score`` column is replaced.
     """
     docs = docs.drop("score")
-    schema = docs.schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "_text string", "score double"])
-    out = out.replace("_text string, ", "")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py().encode() for x in batch.column("_text")]
+            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
             scores: list[float] = []
             first = 0
             while first < len(texts):
@@ -215,10 +214,9 @@ def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
                 begin = np.cumsum(counts) - counts
                 scores.extend(np.add.reduceat(good * weights, begin) / np.add.reduceat(weights, begin))
                 first = last
-            kept = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.clip(scores, 0, 1), pa.float64())], [*kept.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(scores, 0, 1), pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.withColumn("_text", text_or_empty()).mapInArrow(score, out)
+    return docs.mapInArrow(score, schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -77,7 +77,7 @@ def judge_urls(
     else:
         salts = 64
         spread = expanded.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)))
-        copies = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        copies = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         met = spread.join(copies, ["prefix", "_salt"], "left")
     confirmed = F.when(F.col("digest") == F.col("url_digest"), F.col("rank"))
     best = met.groupBy("_id", "_url", "_n", "host", "path").agg(F.max(confirmed).alias("best"))
