@@ -1,10 +1,10 @@
 """Hybrid document retrieval on Spark DataFrames."""
 
 from quillrank.functions.scoring import Bm25
-from quillrank.operators.embedding import embed_missing_titles, embed_queries, hashing_model
+from quillrank.operators.embedding import embed_missing_titles, embed_queries, embedding_failures
 from quillrank.operators.requests import check_queries, prepare, rejected_queries
 from quillrank.operators.retrieval import Index
-from quillrank.plans.index_store import IndexOptions, build_index, compact, create_index, open_index, write_documents
+from quillrank.plans.index_store import IndexOptions, build_index, compact, create_index, open_index, vacuum, write_documents
 from quillrank.plans.ingest import index_json, ingest_dump
 from quillrank.plans.search import Search, hybrid_search, keyword_search, scored_search
 from quillrank.streaming.index_stream import stream_index
@@ -20,7 +20,7 @@ __all__ = [
     "create_index",
     "embed_missing_titles",
     "embed_queries",
-    "hashing_model",
+    "embedding_failures",
     "hybrid_search",
     "index_json",
     "ingest_dump",
@@ -30,5 +30,6 @@ __all__ = [
     "rejected_queries",
     "scored_search",
     "stream_index",
+    "vacuum",
     "write_documents",
 ]

@@ -1,12 +1,13 @@
-"""English (Porter2 / Snowball) stemmer, from its published description.
+"""English (Porter2 / Snowball) stemmer, from its published description, as column expressions.
 
-A small per-word helper; ``quillrank.operators.analysis`` runs it on Arrow batches.
+Every step is a projection over the rows of words given, so a step's result is computed once and the whole chain
+stays in generated code. Run it on distinct words, as ``quillrank.operators.analysis`` does per document.
 """
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values of the published algorithm.
 _SPECIAL = {
@@ -16,7 +17,7 @@ _SPECIAL = {
     "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
 _FINAL_AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
-_R1_PREFIX = re.compile(r"^(gener|commun|arsen)")
+_R1_PREFIXES = ["gener", "commun", "arsen"]
 _STEP2 = [
     ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"),
     ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"),
@@ -33,101 +34,86 @@ _STEP4 = [
     "iti", "ous", "ive", "ize", "ion", "al", "er", "ic",
 ]
 
-_REGION = re.compile(r"[aeiouy][^aeiouy]")
-_SHORT_END = re.compile(r"(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$")
-_VOWEL = re.compile(r"[aeiouy]")
-_DOUBLE = re.compile(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
 
+_VOWEL = "[aeiouy]"
+_REGION = "^.*?[aeiouy][^aeiouy]"
+_SHORT_END = "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+_DOUBLE = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+_LI_BEFORE = "cdeghkmnrt"
 
-def _region_start(word: str, start: int) -> int:
-    found = _REGION.search(word, start)
-    return found.end() if found else len(word)
 
+def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
+    """``rows`` with the stem of column ``word``; null stays null. Columns ``_w`` to ``_done`` must not be there."""
+    w, base, suffix = F.col("_w"), F.col("_base"), F.col("_suffix")
+    n, r1, r2 = F.length("_w"), F.col("_r1"), F.col("_r2")
 
-@lru_cache(maxsize=1 << 18)
-def stem(word: str) -> str:
-    if len(word) <= 2:
-        return word
-    if word in _SPECIAL:
-        return _SPECIAL[word]
+    def region(text: Column, found: Column) -> Column:
+        return F.when(found != "", F.length(found)).otherwise(F.length(text))
+
+    def cut(step: DataFrame, endings: list[str]) -> DataFrame:
+        # Of all endings that fit, the match that starts first is the longest.
+        step = step.withColumn("_suffix", F.regexp_extract("_w", f"({'|'.join(endings)})$", 1))
+        return step.withColumn("_base", F.substring(w, F.lit(1), n - F.length(suffix)))
+
+    def replaced(pairs: list[tuple[str, str]]) -> Column:
+        value = F.lit("")
+        for ending, to in pairs:
+            value = F.when(suffix == ending, F.lit(to)).otherwise(value)
+        return F.concat(base, value)
+
+    special = F.lit(None).cast("string")
+    for name, stem in _SPECIAL.items():
+        special = F.when(F.col(word) == name, F.lit(stem)).otherwise(special)
+    rows = rows.withColumn("_done", F.when(F.length(word) <= 2, F.col(word)).otherwise(special))
     # A y at the start or after a vowel acts as a consonant and is marked by a capital.
-    w = re.sub(r"^y", "Y", word.removeprefix("'"))
-    w = re.sub(r"([aeiouy])y", r"\1Y", w)
-    prefix = _R1_PREFIX.match(w)
-    r1 = prefix.end() if prefix else _region_start(w, 0)
-    r2 = _region_start(w, r1)
-
-    w = re.sub(r"('s'|'s|')$", "", w)
-    w = _plural(w)
-    if w in _FINAL_AFTER_1A:
-        return w
-    w = _past(w, r1)
-    w = re.sub(r"(?<=.[^aeiouy])[yY]$", "i", w)
-    w = _step2(w, r1)
-    w = _step3(w, r1, r2)
-    w = _step4(w, r2)
-    if w.endswith("e"):
-        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _SHORT_END.search(w[:-1])):
-            w = w[:-1]
-    elif w.endswith("ll") and len(w) - 1 >= r2:
-        w = w[:-1]
-    return w.replace("Y", "y")
-
-
-def _plural(w: str) -> str:
-    if w.endswith("sses"):
-        return w[:-2]
-    if w.endswith(("ied", "ies")):
-        return w[:-2] if len(w) > 4 else w[:-1]
-    if w.endswith(("us", "ss")):
-        return w
-    if w.endswith("s") and _VOWEL.search(w[:-2]):
-        return w[:-1]
-    return w
-
-
-def _past(w: str, r1: int) -> str:
-    for suffix in ("eedly", "eed"):
-        if w.endswith(suffix):
-            return w[: -len(suffix)] + "ee" if len(w) - len(suffix) >= r1 else w
-    for suffix in ("ingly", "edly", "ing", "ed"):
-        if w.endswith(suffix):
-            base = w[: -len(suffix)]
-            if not _VOWEL.search(base):
-                return w
-            if base.endswith(("at", "bl", "iz")):
-                return base + "e"
-            if _DOUBLE.search(base):
-                return base[:-1]
-            return base + "e" if len(base) <= r1 and _SHORT_END.search(base) else base
-    return w
-
-
-def _step2(w: str, r1: int) -> str:
-    for suffix, to in _STEP2:
-        if w.endswith(suffix):
-            base = w[: -len(suffix)]
-            allowed = len(base) >= r1
-            if suffix == "ogi":
-                allowed = allowed and base.endswith("l")
-            elif suffix == "li":
-                allowed = allowed and base[-1:] in tuple("cdeghkmnrt")
-            return base + to if allowed else w
-    return w
-
-
-def _step3(w: str, r1: int, r2: int) -> str:
-    for suffix, to in _STEP3:
-        if w.endswith(suffix):
-            base = w[: -len(suffix)]
-            return base + to if len(base) >= (r2 if suffix == "ative" else r1) else w
-    return w
-
-
-def _step4(w: str, r2: int) -> str:
-    for suffix in _STEP4:
-        if w.endswith(suffix):
-            base = w[: -len(suffix)]
-            allowed = len(base) >= r2 and (suffix != "ion" or base.endswith(("s", "t")))
-            return base if allowed else w
-    return w
+    rows = rows.withColumn("_w", F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "^'", ""), "^y", "Y"), "([aeiouy])y", "$1Y"))
+    first = F.regexp_extract(w, f"^({'|'.join(_R1_PREFIXES)})|{_REGION}", 0)
+    rows = rows.withColumn("_r1", region(w, first))
+    rest = F.substring(w, r1 + 1, n)
+    rows = rows.withColumn("_r2", r1 + region(rest, F.regexp_extract(rest, _REGION, 0)))
+    rows = rows.withColumn("_w", F.regexp_replace("_w", "('s'|'s|')$", ""))
+
+    # Step 1a.
+    plural = (
+        F.when(w.endswith("sses"), F.substring(w, F.lit(1), n - 2))
+        .when(w.rlike("ie[ds]$"), F.substring(w, F.lit(1), n - F.when(n > 4, 2).otherwise(1)))
+        .when(w.rlike("(us|ss)$"), w)
+        .when(w.rlike(f"{_VOWEL}.+s$"), F.substring(w, F.lit(1), n - 1))
+        .otherwise(w)
+    )
+    rows = rows.withColumn("_w", plural)
+    rows = rows.withColumn("_done", F.coalesce("_done", F.when(w.isin(*sorted(_FINAL_AFTER_1A)), w)))
+
+    # Step 1b.
+    rows = cut(rows, ["eedly", "ingly", "edly", "eed", "ing", "ed"])
+    past = (
+        F.when(suffix == "", w)
+        .when(suffix.startswith("ee"), F.when(F.length(base) >= r1, F.concat(base, F.lit("ee"))).otherwise(w))
+        .when(~base.rlike(_VOWEL), w)
+        .when(base.rlike("(at|bl|iz)$"), F.concat(base, F.lit("e")))
+        .when(base.rlike(_DOUBLE), F.substring(base, F.lit(1), F.length(base) - 1))
+        .when((F.length(base) <= r1) & base.rlike(_SHORT_END), F.concat(base, F.lit("e")))
+        .otherwise(base)
+    )
+    rows = rows.withColumn("_w", past)
+    # Step 1c.
+    rows = rows.withColumn("_w", F.regexp_replace("_w", "(?<=.[^aeiouy])[yY]$", "i"))
+
+    # Steps 2, 3 and 4.
+    rows = cut(rows, [ending for ending, _ in _STEP2])
+    before = F.when(suffix == "ogi", base.endswith("l")).when(suffix == "li", base.rlike(f"[{_LI_BEFORE}]$")).otherwise(F.lit(True))
+    rows = rows.withColumn("_w", F.when((suffix != "") & (F.length(base) >= r1) & before, replaced(_STEP2)).otherwise(w))
+    rows = cut(rows, [ending for ending, _ in _STEP3])
+    start = F.when(suffix == "ative", r2).otherwise(r1)
+    rows = rows.withColumn("_w", F.when((suffix != "") & (F.length(base) >= start), replaced(_STEP3)).otherwise(w))
+    rows = cut(rows, _STEP4)
+    before = (suffix != "ion") | base.rlike("[st]$")
+    rows = rows.withColumn("_w", F.when((suffix != "") & (F.length(base) >= r2) & before, base).otherwise(w))
+
+    # Step 5.
+    shorter = F.substring(w, F.lit(1), n - 1)
+    drop_e = w.endswith("e") & ((n - 1 >= r2) | ((n - 1 >= r1) & ~shorter.rlike(_SHORT_END)))
+    drop_l = w.endswith("ll") & (n - 1 >= r2)
+    rows = rows.withColumn("_w", F.when(drop_e | drop_l, shorter).otherwise(w))
+    stem = F.coalesce("_done", F.replace(w, F.lit("Y"), F.lit("y")))
+    return rows.withColumn(into, stem).drop("_w", "_r1", "_r2", "_suffix", "_base", *(["_done"] if into != "_done" else []))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# They decide which text is kept and have to stay as they are.
+# Fixed value: decides which characters go. Single brackets share a class, which matches the same and runs faster.
 MARKUP = r"[\[\]]|'{2,3}|\{\{|\}\}"
+# Defaults of the length filter and of the analyzer.
 MIN_BODY_CHARS = 50
-MAX_BODY_CHARS = 2000
 MAX_TOKEN_BYTES = 39
 
 # Unicode white space; Java's class leaves out four separators.
@@ -20,14 +20,14 @@ _BLANKS = "".join(
 _NON_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
-def clean_markup(raw: Column) -> Column:
-    """Strip wiki markup, collapse white space, trim, keep the first 2000 code points.
+def clean_markup(raw: Column, max_chars: int | None = None) -> Column:
+    """Strip wiki markup, collapse white space, trim; keep all, or the first ``max_chars`` code points.
 
     Runs of white space, and single line breaks and tabs, become one blank.
     """
     text = F.regexp_replace(raw, MARKUP, "")
     text = F.regexp_replace(text, rf"(?U){_SPACE}{{2,}}|[\n\t]", " ")
-    return F.substring(strip(text), 1, MAX_BODY_CHARS)
+    return strip(text) if max_chars is None else F.substring(strip(text), 1, max_chars)
 
 
 def strip(text: Column) -> Column:
@@ -35,20 +35,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
-def is_long_enough(body: Column) -> Column:
-    return F.length(body) >= MIN_BODY_CHARS
+def is_long_enough(body: Column, min_chars: int = MIN_BODY_CHARS) -> Column:
+    return F.length(body) >= min_chars
 
 
-def word_slots(text: Column) -> Column:
+def word_slots(text: Column, max_bytes: int = MAX_TOKEN_BYTES) -> Column:
     """Lower-cased words by position; over-long words leave a null so positions keep their gap."""
     words = F.split(F.coalesce(text, F.lit("")), _NON_WORD)
-    return F.transform(words, lambda w: F.when(F.octet_length(w).between(1, MAX_TOKEN_BYTES), F.lower(w)))
+    return F.transform(words, lambda w: F.when(F.octet_length(w).between(1, max_bytes), F.lower(w)))
 
 
-def words(text: Column) -> Column:
+def words(text: Column, max_bytes: int = MAX_TOKEN_BYTES) -> Column:
     """Lower-cased words of ``text`` in order, without the over-long ones."""
     split = F.split(F.coalesce(text, F.lit("")), _NON_WORD)
-    kept = F.filter(split, lambda w: F.octet_length(w).between(1, MAX_TOKEN_BYTES))
+    kept = F.filter(split, lambda w: F.octet_length(w).between(1, max_bytes))
     return F.transform(kept, lambda w: F.lower(w))
 
 

@@ -2,72 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from quillrank.functions.stemming import stem
-from quillrank.functions.text import word_slots, words
+from quillrank.functions.stemming import with_stem
+from quillrank.functions.text import MAX_TOKEN_BYTES, word_slots, words
 from quillrank.schemas import FIELDS
 
 ANALYZERS = ("simple", "en_stem")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stem_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    # Each distinct word of an Arrow batch is stemmed once.
-    for lists in batches:
-        flat = lists.explode()
-        codes, vocabulary = pd.factorize(flat, use_na_sentinel=True)
-        stems = np.array([stem(w) for w in vocabulary] + [None], dtype=object)
-        mapped = stems[codes]
-        ends = np.cumsum(lists.map(len).clip(lower=1))
-        starts = np.concatenate([[0], ends[:-1]])
-        out = [mapped[a:b] if n else [] for a, b, n in zip(starts, ends, lists.map(len))]
-        yield pd.Series(out, index=lists.index)
+def terms(text: Column, *, slots: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> Column:
+    """Words of ``text``; with ``slots`` the array index is the word position and gaps are null."""
+    return word_slots(text, max_bytes) if slots else words(text, max_bytes)
 
 
-def terms(text: Column, analyzer: str = "simple", *, slots: bool = False) -> Column:
-    """Terms of ``text``; with ``slots`` the array index is the word position and gaps are null."""
+def analyzed(rows: DataFrame, analyzer: str, column: str = "term") -> DataFrame:
+    """Rows with one word each, the word made the term that the analyzer makes of it."""
     if analyzer not in ANALYZERS:
         raise ValueError(f"unknown analyzer: {analyzer}")
-    found = word_slots(text) if slots else words(text)
-    return _stem_all(found) if analyzer == "en_stem" else found
+    if analyzer == "simple":
+        return rows
+    order = rows.columns
+    return with_stem(rows, column, "_stem").drop(column).withColumnRenamed("_stem", column).select(*order)
 
 
-def document_terms(docs: DataFrame, analyzer: str = "simple", *, slots: bool = False) -> DataFrame:
+def document_words(docs: DataFrame, *, slots: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
     """One row per document and field: ``(id, shard, field, words)``."""
-    analyzed = docs.select("id", "shard", *[terms(F.col(name), analyzer, slots=slots).alias(name) for name in FIELDS])
+    split = docs.select("id", "shard", *[terms(F.col(name), slots=slots, max_bytes=max_bytes).alias(name) for name in FIELDS])
     per_field = [F.struct(F.lit(name).alias("field"), F.col(name).alias("words")) for name in FIELDS]
-    return analyzed.select("id", "shard", F.inline(F.array(*per_field)))
+    return split.select("id", "shard", F.inline(F.array(*per_field)))
 
 
-def build_postings(docs: DataFrame, analyzer: str = "simple", *, positions: bool = False) -> DataFrame:
+def build_postings(
+    docs: DataFrame, analyzer: str = "simple", *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES
+) -> DataFrame:
     """Term frequency and field length per (document, field, term).
 
-    Partitioned by id (as a bucketed documents table is), this needs no shuffle. The outer
+    Partitioned by id (as a bucketed documents table is), this needs no shuffle. Words are counted before they
+    are stemmed, so each distinct word of a document is stemmed once. The outer
     explode is deliberate: Catalyst would analyze the text a second time for the non-empty
     filter it derives from the inner one.
     """
-    fields = document_terms(docs, analyzer, slots=positions)
+    fields = document_words(docs, slots=positions, max_bytes=max_bytes)
     keys = ["shard", "field", "term", "id", "dl"]
     if positions:
         fields = fields.withColumn("dl", F.size(F.array_compact("words")))
         exploded = fields.select("shard", "field", "id", "dl", F.posexplode_outer("words").alias("position", "term"))
         grouped = exploded.where("term IS NOT NULL").groupBy(*keys)
         counted = grouped.agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+        if analyzer != "simple":
+            counted = analyzed(counted, analyzer).groupBy(*keys).agg(
+                F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")
+            )
         return counted.select("shard", "field", "term", "id", "tf", "dl", "positions")
     fields = fields.withColumn("dl", F.size("words"))
     exploded = fields.select("shard", "field", "id", "dl", F.explode_outer("words").alias("term"))
     counted = exploded.where("term IS NOT NULL").groupBy(*keys).agg(F.count("*").cast("int").alias("tf"))
+    if analyzer != "simple":
+        counted = analyzed(counted, analyzer).groupBy(*keys).agg(F.sum("tf").cast("int").alias("tf"))
     return counted.select("shard", "field", "term", "id", "tf", "dl")
 
 
-def query_terms(queries: DataFrame, analyzer: str = "simple", *, dedupe: bool = True) -> DataFrame:
+def query_terms(
+    queries: DataFrame, analyzer: str = "simple", *, dedupe: bool = True, max_bytes: int = MAX_TOKEN_BYTES
+) -> DataFrame:
     """``(query_id, term)`` of a bag-of-words query; a repeated word counts once by default."""
-    found = queries.select("query_id", F.explode(terms(F.col("q"), analyzer)).alias("term"))
+    found = queries.select("query_id", F.explode(terms(F.col("q"), max_bytes=max_bytes)).alias("term"))
+    found = analyzed(found, analyzer)
     return found.distinct() if dedupe else found

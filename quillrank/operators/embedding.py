@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from hashlib import md5
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -14,12 +13,11 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from quillrank.functions.text import cache_key
 from quillrank.functions.vectors import has_vector
-from quillrank.operators.joins import lookup_join
+from quillrank.operators.joins import lookup_join, vector_row_bytes
 from quillrank.session import stage
 
 # Texts per model call.
 BATCH_SIZE = 256
-_MAX_VECTOR_ROWS = 50_000
 _HOT_TEXT_SALTS = 64
 
 # Called once per Python worker; returns a function from a list of texts to a float32 matrix.
@@ -64,7 +62,7 @@ def embed_texts(
     vectors = distinct.select("_key", embedder(make_model, batch_size=batch_size)("_text").alias(into))
     vectors = stage(vectors, "vectors")
     joined = lookup_join(
-        keyed, vectors, ["_key"], max_rows=_MAX_VECTOR_ROWS, salts=_HOT_TEXT_SALTS, salt_by=salt_by
+        keyed, vectors, ["_key"], row_bytes=vector_row_bytes(vectors, into), salts=_HOT_TEXT_SALTS, salt_by=salt_by
     )
     return joined.drop("_key")
 
@@ -83,18 +81,7 @@ def embed_queries(queries: DataFrame, make_model: ModelFactory, **options) -> Da
     return embed_texts(rows, "q", make_model, into="query_vector", salt_by="query_id", **options)
 
 
-def hashing_model(dim: int = 64) -> ModelFactory:
-    """A deterministic stand-in for a model: counts words by the MD5 of the word."""
-
-    def make():
-        def embed(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, text in enumerate(texts):
-                for word in text.lower().split(" "):
-                    if word:
-                        out[row, int(md5(word.encode()).hexdigest()[:8], 16) % dim] += 1
-            return out
-
-        return embed
-
-    return make
+def embedding_failures(rows: DataFrame, key: str, text: str, into: str) -> DataFrame:
+    """``(key)`` of rows with a text whose vector is missing or empty: the model failed on their batch."""
+    lacking = ~F.coalesce(has_vector(F.col(into)), F.lit(False))
+    return rows.where(lacking & (F.coalesce(F.btrim(text), F.lit("")) != "")).select(key)

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of at most a few hundred bytes: a broadcast below roughly 100 MB.
-MAX_BROADCAST_ROWS = 500_000
+#: Most bytes that a broadcast may hold by the bound of its rows.
+MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of a row of ids, words and numbers as a broadcast keeps it.
+ROW_BYTES = 160
+
+
+def max_broadcast_rows(row_bytes: int = ROW_BYTES) -> int:
+    return MAX_BROADCAST_BYTES // row_bytes
 
 
 def fits(small: DataFrame, max_rows: int) -> bool:
@@ -21,18 +27,18 @@ def lookup_join(
     how: str = "inner",
     *,
     bound: int | None = None,
-    max_rows: int | None = None,
+    row_bytes: int = ROW_BYTES,
     salts: int = 0,
     salt_by: str = "id",
 ) -> DataFrame:
     """Join ``big`` with ``small``: broadcast if its size is proven to fit, else shuffled.
 
-    The proof is ``bound``, a row count ``small`` cannot exceed, or else counting its rows.
+    The proof is ``bound``, a row count ``small`` cannot exceed, or else counting its rows, times ``row_bytes``.
     When shuffled with ``salts``, the rows of one key on the big side are spread over that
     many tasks by hashing ``salt_by`` and the small side is repeated once per salt, so a hot
     key does not end up in one task.
     """
-    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    max_rows = max_broadcast_rows(row_bytes)
     if bound <= max_rows if bound is not None else fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     if salts <= 1:
@@ -40,3 +46,9 @@ def lookup_join(
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def vector_row_bytes(rows: DataFrame, column: str) -> int:
+    """Bytes of a row with a vector, by the longest vector there is."""
+    longest = rows.agg(F.coalesce(F.max(F.size(column)), F.lit(0))).first()[0]
+    return ROW_BYTES + 4 * max(0, longest)

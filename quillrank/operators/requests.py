@@ -24,7 +24,10 @@ class Requests:
 
 
 def check_queries(queries: DataFrame, *, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Fill in defaults and add ``reason``: null for a valid query, else what is wrong with it."""
+    """Fill in defaults and add ``reason``: null for a valid query, else what is wrong with it.
+
+    An id that several rows bear would mix their hits, so none of these is valid.
+    """
     filled = queries.select(
         "query_id",
         "q",
@@ -34,12 +37,16 @@ def check_queries(queries: DataFrame, *, default_limit: int = DEFAULT_LIMIT) ->
         F.coalesce(_optional(queries, "fusion", "string"), F.lit("rrf")).alias("fusion"),
     )
     reason = (
-        F.when(F.coalesce(F.col("q"), F.lit("")) == "", F.lit("q missing"))
+        F.when(F.col("query_id").isNull(), F.lit("query_id missing"))
+        .when(F.col("is_repeated"), F.lit("query_id repeated"))
+        .when(F.coalesce(F.col("q"), F.lit("")) == "", F.lit("q missing"))
         .when(~F.col("limit").between(1, MAX_LIMIT), F.lit("limit out of range"))
         .when(~F.col("alpha").between(0.0, 1.0), F.lit("alpha out of range"))
         .when(~F.col("fusion").isin(*FUSIONS), F.lit("unknown fusion"))
     )
-    return filled.withColumn("reason", reason)
+    repeated = queries.groupBy("query_id").count().where("count > 1").select("query_id", F.lit(True).alias("is_repeated"))
+    marked = filled.join(repeated, "query_id", "left")
+    return marked.withColumn("is_repeated", F.coalesce("is_repeated", F.lit(False))).withColumn("reason", reason).drop("is_repeated")
 
 
 def _optional(queries: DataFrame, name: str, kind: str):

@@ -8,13 +8,16 @@ task's output to ``k`` rows per query and shard before the only exchange.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25, inverse_document_frequency, rounded
-from quillrank.operators.analysis import query_terms, terms
-from quillrank.operators.joins import MAX_BROADCAST_ROWS, lookup_join
+from quillrank.functions.text import MAX_TOKEN_BYTES
+from quillrank.operators.analysis import analyzed, query_terms, terms
+from quillrank.operators.joins import lookup_join, max_broadcast_rows
 from quillrank.operators.requests import Requests
 from quillrank.operators.statistics import sum_term_counts
 from quillrank.schemas import FIELDS
@@ -23,6 +26,11 @@ from quillrank.session import stage
 # Tasks a hot term is spread over when the query vocabulary is too large to broadcast.
 HOT_TERM_SALTS = 64
 POPULAR_DOC_SALTS = 16
+# Words that are pushed to the scan one by one, and clauses up to which it is worth looking for so few.
+MAX_PUSHED_TERMS = 32
+PUSHED_CLAUSES = 1000
+# Ranges of terms that a batch is cut into at most; beyond it their joins are shuffled with salt.
+MAX_RANGES = 256
 
 _MASK_BITS = 62
 
@@ -42,6 +50,7 @@ class Index:
     num_shards: int
     analyzer: str = "simple"
     positions: bool = False
+    max_token_bytes: int = MAX_TOKEN_BYTES
 
     @property
     def term_stats(self) -> DataFrame:
@@ -68,7 +77,7 @@ def _every_field(field):
 
 def bag_of_words(index: Index, requests: Requests, *, dedupe_terms: bool = True) -> Clauses:
     """Each word of the query, optional, in every field; the default meaning of a query."""
-    found = query_terms(requests.rows, index.analyzer, dedupe=dedupe_terms)
+    found = query_terms(requests.rows, index.analyzer, dedupe=dedupe_terms, max_bytes=index.max_token_bytes)
     # A repeated word adds up to a boost, so every (query, term, field) stays one row.
     found = found.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("boost"))
     rows = found.select(
@@ -91,17 +100,17 @@ def structured(index: Index, clauses: DataFrame) -> Clauses:
     Several terms form a phrase. ``field`` null means every field, ``occur`` is should, must
     or must_not.
     """
-    analyzed = clauses.select(
+    split = clauses.select(
         "query_id",
         F.col("clause_id").cast("string").alias("clause_id"),
         F.coalesce("occur", F.lit("should")).alias("occur"),
         F.coalesce(F.col("boost").cast("double"), F.lit(1.0)).alias("boost"),
         "field",
-        terms(F.concat_ws(" ", "terms"), index.analyzer).alias("words"),
+        terms(F.concat_ws(" ", "terms"), slots=True, max_bytes=index.max_token_bytes).alias("words"),
     )
     by_clause = Window.partitionBy("query_id", "occur").orderBy("clause_id")
     must_no = F.when(F.col("occur") == "must", F.dense_rank().over(by_clause) - 1)
-    per_field = analyzed.withColumn("must_no", must_no).select(
+    per_field = split.withColumn("must_no", must_no).select(
         "query_id", "clause_id", "occur", "must_no", "boost", "words", _every_field(F.col("field")).alias("field")
     )
     rows = per_field.select(
@@ -110,11 +119,12 @@ def structured(index: Index, clauses: DataFrame) -> Clauses:
         "occur",
         "must_no",
         "boost",
-        F.size("words").alias("n_words"),
+        F.size(F.array_compact("words")).alias("n_words"),
+        # The gap of an over-long word stays between its neighbours, as it does in documents.
         F.posexplode_outer("words").alias("word_offset", "term"),
         "field",
     )
-    return _staged(rows)
+    return _staged(analyzed(rows.where("term IS NOT NULL OR n_words = 0"), index.analyzer))
 
 
 def _staged(rows: DataFrame) -> Clauses:
@@ -127,8 +137,34 @@ def _staged(rows: DataFrame) -> Clauses:
     return Clauses(rows, size["n"], size["must"], size["phrases"])
 
 
-def _weighted_postings(index: Index, clauses: Clauses, columns: list[str]) -> DataFrame:
+def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]]:
+    """The clauses in as many ranges of terms as it takes to broadcast each, with a condition on postings.
+
+    Postings lie in order of terms, so a range reads its own pages only, all ranges together read the index once, and
+    postings never leave their bucket however many words a batch has.
+    """
+    n = -(-clauses.n_rows * index.num_shards // max(1, max_broadcast_rows()))
+    if n <= 1:
+        few = clauses.rows.select("term").where("term IS NOT NULL").distinct().limit(MAX_PUSHED_TERMS + 1)
+        found = [r.term for r in few.collect()] if clauses.n_rows <= PUSHED_CLAUSES else []
+        wanted = [F.col("term") == word for word in found]
+        return [(clauses, reduce(or_, wanted) if 0 < len(wanted) <= MAX_PUSHED_TERMS else None)]
+    counts = clauses.rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+    ranges = counts.repartitionByRange(min(n, MAX_RANGES), "term").groupBy(F.spark_partition_id().alias("part"))
+    starts = ranges.agg(F.min("term").alias("start"), F.sum("n").alias("n")).orderBy("start").collect()
+    parts = []
+    for i, row in enumerate(starts):
+        inside = F.lit(True) if i == 0 else F.col("term") >= row.start
+        if i + 1 < len(starts):
+            inside = inside & (F.col("term") < starts[i + 1].start)
+        parts.append((replace(clauses, rows=clauses.rows.where(inside), n_rows=row.n), inside))
+    return parts or [(clauses, None)]
+
+
+def _weighted_postings(index: Index, clauses: Clauses, columns: list[str], inside: Column | None = None) -> DataFrame:
     """Postings of the query vocabulary with their shard's idf and average length."""
+    if inside is not None:
+        index = replace(index, postings=index.postings.where(inside), term_counts=index.term_counts.where(inside))
     vocabulary = clauses.rows.select("field", "term").distinct()
     wanted = sum_term_counts(lookup_join(index.term_counts, vocabulary, ["field", "term"], bound=clauses.n_rows))
     weights = lookup_join(wanted, index.field_stats, ["shard", "field"], bound=len(FIELDS) * index.num_shards).select(
@@ -148,9 +184,14 @@ def _weighted_postings(index: Index, clauses: Clauses, columns: list[str]) -> Da
 
 
 def _term_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
+    found = [_range_matches(index, part, bm25, inside) for part, inside in _parts(index, clauses)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _range_matches(index: Index, clauses: Clauses, bm25: Bm25, inside: Column | None) -> DataFrame:
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
     # Weighed once per posting, before the fan-out to the queries that share the term.
-    weighed = _weighted_postings(index, clauses, []).select("shard", "id", "field", "term", weight.alias("weight"))
+    weighed = _weighted_postings(index, clauses, [], inside).select("shard", "id", "field", "term", weight.alias("weight"))
     single = clauses.rows.where("n_words = 1").select("query_id", "occur", "must_no", "boost", "field", "term")
     return lookup_join(weighed, single, ["field", "term"], bound=clauses.n_rows, salts=HOT_TERM_SALTS).select(
         "query_id", "occur", "must_no", "shard", "id", (F.col("boost") * F.col("weight")).alias("score")
@@ -262,7 +303,9 @@ def with_stored(hits: DataFrame, index: Index, columns: list[str], *, bound: int
     document may be a hit of very many queries.
     """
     stored = index.docs.select("id", *columns)
-    if bound <= MAX_BROADCAST_ROWS:
+    if bound <= max_broadcast_rows():
         return lookup_join(stored, hits, ["id"], bound=bound)
+    # Both uses read the same rows; without this the whole scoring would run twice.
+    hits = stage(hits, "hits")
     found = stored.join(hits.select("id").distinct(), "id", "left_semi")
     return lookup_join(hits, found, ["id"], bound=bound, salts=POPULAR_DOC_SALTS, salt_by="query_id")

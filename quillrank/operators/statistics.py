@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.schemas import FIELDS
@@ -18,9 +18,12 @@ def sum_term_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df")).where("df > 0")
 
 
-def shard_stats(docs: DataFrame) -> DataFrame:
-    """Live documents per shard."""
-    return docs.groupBy("shard").agg(F.count("*").alias("doc_count"))
+def shard_stats(docs: DataFrame, num_shards: int = 0) -> DataFrame:
+    """Live documents per shard; with ``num_shards`` also of shards that have none."""
+    counts = docs.groupBy("shard").agg(F.count("*").alias("doc_count"))
+    if not num_shards:
+        return counts
+    return all_shards(docs.sparkSession, num_shards).join(counts, "shard", "left").select("shard", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
 
 
 def field_lengths(terms: DataFrame) -> DataFrame:
@@ -41,14 +44,15 @@ def combine_field_stats(doc_counts: DataFrame, lengths: DataFrame) -> DataFrame:
     )
 
 
-def cluster_stats(docs: DataFrame) -> DataFrame:
-    """One row: active shards, documents, and the list of shards with their counts."""
-    return shard_stats(docs).agg(
+def cluster_stats(docs: DataFrame, num_shards: int) -> DataFrame:
+    """One row: shards, documents, and the list of shards with their counts, empty ones included."""
+    return shard_stats(docs, num_shards).agg(
         F.count("*").alias("total_shards"),
         F.coalesce(F.sum("doc_count"), F.lit(0)).alias("total_documents"),
         F.array_sort(F.collect_list(F.struct("shard", "doc_count"))).alias("shards"),
     )
 
 
-def active_shards(docs: DataFrame) -> DataFrame:
-    return docs.select("shard").distinct()
+def all_shards(spark: SparkSession, num_shards: int) -> DataFrame:
+    """The shards of an index, whether they hold documents or not."""
+    return spark.range(num_shards).select(F.col("id").cast("int").alias("shard"))

@@ -2,13 +2,16 @@
 
 An index is a folder of immutable segments. A commit writes one segment (documents and
 postings, bucketed by id) plus signed changes of the statistics, and becomes visible when its
-row in ``commits`` is written last. A document that is written again stays in its old segment
-and is listed in ``dead``. All segments share one bucket count, so their union keeps the
+row in ``commits`` is written last; that row lists the segments in use. A document that is written again stays in
+its old segment and is listed in ``dead``. Segments of similar size are merged, so a row is rewritten as often as
+the logarithm of the index's size. All segments share one bucket count, so their union keeps the
 bucketing and scoring needs no shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from dataclasses import dataclass, replace
 from hashlib import md5
 
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillrank.functions.routing import shard_of
+from quillrank.functions.text import MAX_TOKEN_BYTES
 from quillrank.operators.analysis import build_postings
 from quillrank.operators.ingest import latest_versions
 from quillrank.operators.joins import lookup_join
@@ -25,12 +29,15 @@ from quillrank.operators.retrieval import Index
 from quillrank.operators.statistics import combine_field_stats, field_lengths, field_stats, shard_stats, term_stats
 from quillrank.operators.vector_columns import check_dimension
 from quillrank.schemas import INDEX_DOC_COLUMNS, POSTING_COLUMNS
+from quillrank.session import remove_folder
 
 _COMMIT = (
-    "commit bigint, base bigint, num_shards int, num_buckets int, analyzer string, positions boolean, "
-    "dim int, source string, source_batch bigint"
+    "commit bigint, attempt string, num_shards int, num_buckets int, analyzer string, positions boolean, "
+    "max_token_bytes int, dim int, segments array<struct<number: bigint, folder: string, n_docs: bigint>>, "
+    "sources map<string, bigint>"
 )
-MAX_SEGMENTS = 8
+#: Segments of one size class that are merged into one, and documents of the smallest class.
+MERGE_FACTOR, SMALL_SEGMENT = 4, 10_000
 
 
 @dataclass(frozen=True)
@@ -39,9 +46,10 @@ class IndexOptions:
 
     num_shards: int = 8
     num_buckets: int = 0
-    analyzer: str = "simple"
+    analyzer: str = "en_stem"
     positions: bool = False
     dim: int = 0
+    max_token_bytes: int = MAX_TOKEN_BYTES
 
     def buckets(self, spark: SparkSession) -> int:
         return self.num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -50,7 +58,7 @@ class IndexOptions:
 def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Index:
     """An index as lazy DataFrames, nothing written; for one-off use on modest data."""
     prepared = _prepared(docs, options).repartition("id")
-    postings = build_postings(prepared, options.analyzer, positions=options.positions)
+    postings = _postings(prepared, options)
     terms = term_stats(postings)
     return Index(
         prepared,
@@ -60,9 +68,14 @@ def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Inde
         options.num_shards,
         options.analyzer,
         options.positions,
+        options.max_token_bytes,
     )
 
 
+def _postings(docs: DataFrame, options: IndexOptions) -> DataFrame:
+    return build_postings(docs, options.analyzer, positions=options.positions, max_bytes=options.max_token_bytes)
+
+
 def _prepared(docs: DataFrame, options: IndexOptions) -> DataFrame:
     if "version" in docs.columns:
         docs = latest_versions(docs, ["version"])
@@ -70,6 +83,8 @@ def _prepared(docs: DataFrame, options: IndexOptions) -> DataFrame:
     for name, kind in missing.items():
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
+    given = F.when(F.col("id").isNull(), F.raise_error("a document has no id").cast("string")).otherwise(F.col("id"))
+    docs = docs.withColumn("id", given)
     docs = docs.withColumn("shard", shard_of(F.col("id"), options.num_shards))
     if options.dim:
         docs = check_dimension(docs, options.dim)
@@ -78,17 +93,17 @@ def _prepared(docs: DataFrame, options: IndexOptions) -> DataFrame:
 
 def create_index(spark: SparkSession, root: str, docs: DataFrame, options: IndexOptions = IndexOptions()) -> Index:
     """Create an index at ``root``, which must not hold one."""
-    if _commits(spark, root):
+    if _newest(spark, root):
         raise ValueError(f"{root} already holds an index")
     return write_documents(spark, root, docs, options)
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
     """The index as of its last commit; later commits do not change a DataFrame already made."""
-    commits = _commits(spark, root)
-    if not commits:
+    last = _newest(spark, root)
+    if last is None:
         raise ValueError(f"no index at {root}")
-    return _open(spark, root, commits)
+    return _open(spark, root, last)
 
 
 def write_documents(
@@ -102,63 +117,105 @@ def write_documents(
 ) -> Index:
     """Add documents, replacing those with the same id; creates the index if there is none.
 
-    With a ``version`` column the highest version of an id wins, otherwise ids in ``docs``
-    must be unique. A batch of a named ``source`` already committed is not written again.
+    With a ``version`` column the highest version of an id wins, otherwise the last row in the order of ``docs``. A missing
+    id is an error. A batch of a named ``source`` already committed is not written again. Vectors must have the size of those
+    that the index has, or the given ``dim``.
+
+    Costs follow what is written: old documents are looked up by their id column, and only if some are replaced is more of
+    them read, namely their texts, whose terms are taken from the statistics. Postings are not read.
     """
-    commits = _commits(spark, root)
-    if any(c.source == source and c.source_batch >= source_batch >= 0 for c in commits):
-        return _open(spark, root, commits)
-    if commits:
-        last = commits[-1]
-        options = IndexOptions(last.num_shards, last.num_buckets, last.analyzer, last.positions, last.dim)
+    last = _newest(spark, root)
+    if last is not None:
+        if (last.sources or {}).get(source, -1) >= source_batch >= 0:
+            return _open(spark, root, last)
+        options = _options(last)
     else:
         options = replace(options, num_buckets=options.buckets(spark))
-    number = commits[-1].commit + 1 if commits else 0
-    attempt = _Segment(root, number, options)
-
-    added = attempt.write_docs(spark, _prepared(docs, options).repartition(options.num_buckets, "id"))
-    new_postings = attempt.write_postings(spark, build_postings(added, options.analyzer, positions=options.positions))
-    if not commits:
-        terms = attempt.write_stats(spark, "term_stats", term_stats(new_postings))
+    number = last.commit + 1 if last is not None else 0
+    attempt = _Segment.new(root, number, options)
+
+    added = attempt.write_docs(spark, _prepared(docs, options))
+    if "version" not in docs.columns and not added.groupBy("id").count().where("count > 1").isEmpty():
+        # Rare, so the order is only kept for a second try.
+        ordered = docs.withColumn("version", F.monotonically_increasing_id())
+        added = attempt.write_docs(spark, _prepared(ordered, options))
+    options = _with_dimension(added, options)
+    n_added = added.count()
+    new_postings = attempt.write_postings(spark, _postings(added, options))
+    changes = term_stats(new_postings)
+    if last is None:
+        terms = attempt.write_stats(spark, "term_stats", changes)
         attempt.write_stats(spark, "field_stats", field_stats(added, terms))
     else:
-        current = _segments(spark, root, commits)
-        n_added = added.count()
+        current = _documents(spark, root, last)
         ids = added.select("id")
         # Both sides are bucketed by id, so beyond the broadcast bound this still needs no shuffle.
-        dead = lookup_join(current.docs.select("id", "shard", "segment"), ids, ["id"], "left_semi", bound=n_added)
+        dead = lookup_join(current.select("id", "shard", "segment"), ids, ["id"], "left_semi", bound=n_added)
         dead = attempt.write_stats(spark, "dead", dead)
-        removed = lookup_join(current.postings, ids, ["id"], "left_semi", bound=n_added)
-        changes = _signed(term_stats(new_postings), term_stats(removed), ["shard", "field", "term"])
-        terms = attempt.write_stats(spark, "term_stats", changes.where("df <> 0 OR total_tf <> 0"))
-        doc_counts = _signed(shard_stats(added), shard_stats(dead), ["shard"])
+        doc_counts = shard_stats(added)
+        if not dead.isEmpty():
+            replaced = lookup_join(current.select(*INDEX_DOC_COLUMNS), ids, ["id"], "left_semi", bound=n_added)
+            changes = _signed(changes, term_stats(_postings(replaced, options)), ["shard", "field", "term"])
+            changes = changes.where("df <> 0 OR total_tf <> 0")
+            doc_counts = _signed(doc_counts, shard_stats(dead), ["shard"])
+        terms = attempt.write_stats(spark, "term_stats", changes)
         attempt.write_stats(spark, "field_stats", combine_field_stats(doc_counts, field_lengths(terms)))
-    _commit(spark, root, number, commits[-1].base if commits else number, options, source, source_batch)
-    commits = _commits(spark, root)
-    if len(_live(commits)) > MAX_SEGMENTS:
-        return compact(spark, root)
-    return _open(spark, root, commits)
+    live = [*(last.segments if last is not None else []), Row(number=number, folder=attempt.folder, n_docs=n_added)]
+    sources = dict(last.sources or {}) if last is not None else {}
+    if source_batch >= 0:
+        sources[source] = source_batch
+    last = _commit(spark, root, number, attempt.folder, options, live, sources)
+    while merged := _mergeable(last.segments):
+        last = _merge(spark, root, last, merged)
+    return _open(spark, root, last)
 
 
 def compact(spark: SparkSession, root: str) -> Index:
     """Rewrite all live rows as one segment. Both copies keep the bucketing: no shuffle."""
-    commits = _commits(spark, root)
-    last = commits[-1]
-    options = IndexOptions(last.num_shards, last.num_buckets, last.analyzer, last.positions, last.dim)
-    index = _open(spark, root, commits)
-    number = last.commit + 1
-    attempt = _Segment(root, number, options)
-    attempt.write_docs(spark, index.docs)
-    attempt.write_postings(spark, index.postings)
-    attempt.write_stats(spark, "term_stats", _total(index.term_counts))
-    attempt.write_stats(spark, "field_stats", index.field_stats)
-    _commit(spark, root, number, number, options, "", -1)
-    return open_index(spark, root)
+    last = _newest(spark, root)
+    return _open(spark, root, _merge(spark, root, last, list(last.segments)))
 
 
-def _total(counts: DataFrame) -> DataFrame:
-    summed = counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
-    return summed.where("df > 0")
+def vacuum(spark: SparkSession, root: str) -> list[str]:
+    """Delete what the newest commit does not use: merged and failed segments, their tables, and older commits.
+
+    Indexes opened before may lose their files. Returns the folders deleted.
+    """
+    last = _newest(spark, root)
+    used = {s.folder for s in last.segments}
+    gone = []
+    for kind in ("docs", "postings", "term_stats", "field_stats", "dead"):
+        for folder in _folders(spark, f"{root}/{kind}"):
+            if folder not in used:
+                spark.sql(f"DROP TABLE IF EXISTS {_Segment(root, 0, folder, _options(last)).table(kind)}")
+                remove_folder(spark, f"{root}/{kind}/{folder}")
+                gone.append(f"{kind}/{folder}")
+    for folder in _folders(spark, f"{root}/commits"):
+        if folder < _commit_folder(last.commit):
+            remove_folder(spark, f"{root}/commits/{folder}")
+            gone.append(f"commits/{folder}")
+    return gone
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()) if system.exists(target) else []
+
+
+def _options(last: Row) -> IndexOptions:
+    return IndexOptions(last.num_shards, last.num_buckets, last.analyzer, last.positions, last.dim, last.max_token_bytes)
+
+
+def _with_dimension(added: DataFrame, options: IndexOptions) -> IndexOptions:
+    """The first vectors decide on the size of all."""
+    if options.dim:
+        return options
+    size = F.when(F.size("title_vector") > 0, F.size("title_vector"))
+    least, most = added.agg(F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"title_vector: sizes from {least} to {most} in one index")
+    return replace(options, dim=most or 0)
 
 
 def _signed(added: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,34 +225,79 @@ def _signed(added: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
     return added.unionByName(minus).groupBy(*keys).agg(*[F.sum(name).alias(name) for name in values])
 
 
+def _mergeable(segments: list[Row]) -> list[Row]:
+    """The segments of the smallest size class that has ``MERGE_FACTOR`` of them; classes grow by that factor."""
+    classes = defaultdict(list)
+    for s in segments:
+        level, bound = 0, SMALL_SEGMENT
+        while s.n_docs > bound:
+            level, bound = level + 1, bound * MERGE_FACTOR
+        classes[level].append(s)
+    full = [level for level, members in classes.items() if len(members) >= MERGE_FACTOR]
+    return classes[min(full)] if full else []
+
+
+def _merge(spark: SparkSession, root: str, last: Row, merged: list[Row]) -> Row:
+    """Commit that puts one segment in the place of ``merged``; what these hold of dead rows is dropped."""
+    options = _options(last)
+    number = last.commit + 1
+    attempt = _Segment.new(root, number, options)
+    numbers = [s.number for s in merged]
+    docs = attempt.write_docs(spark, _documents(spark, root, last, numbers).select(*INDEX_DOC_COLUMNS), dealt=True)
+    attempt.write_postings(spark, _live_postings(spark, root, last, numbers))
+    terms = _stats(spark, root, merged, "term_stats").groupBy("shard", "field", "term")
+    terms = terms.agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf")).where("df <> 0 OR total_tf <> 0")
+    attempt.write_stats(spark, "term_stats", terms)
+    fields = _stats(spark, root, merged, "field_stats").groupBy("shard", "field")
+    attempt.write_stats(spark, "field_stats", fields.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")))
+    kept = [s for s in last.segments if s.number not in numbers]
+    if kept:
+        # Rows that are dead in segments which stay are still so.
+        dead = _dead(spark, root, merged)
+        if dead is not None:
+            attempt.write_stats(spark, "dead", dead.where(F.col("segment").isin([s.number for s in kept])))
+    live = [*kept, Row(number=number, folder=attempt.folder, n_docs=docs.count())]
+    return _commit(spark, root, number, attempt.folder, options, live, dict(last.sources or {}))
+
+
 @dataclass(frozen=True)
 class _Segment:
     root: str
     number: int
+    folder: str
     options: IndexOptions
 
+    @staticmethod
+    def new(root: str, number: int, options: IndexOptions) -> _Segment:
+        """A segment of one attempt: writers that happen to use one number do not meet in a folder."""
+        return _Segment(root, number, f"segment-{number:09d}-{uuid.uuid4().hex[:12]}", options)
+
     def path(self, kind: str) -> str:
-        return f"{self.root}/{kind}/segment={self.number}"
+        return f"{self.root}/{kind}/{self.folder}"
 
     def table(self, kind: str) -> str:
-        return f"quillrank_{kind}_{md5(self.path(kind).encode()).hexdigest()}"
+        return f"quillrank_{kind}_{self.options.num_buckets}_{md5(self.path(kind).encode()).hexdigest()}"
 
-    def write_docs(self, spark: SparkSession, docs: DataFrame) -> DataFrame:
+    def write_docs(self, spark: SparkSession, docs: DataFrame, *, dealt: bool = False) -> DataFrame:
+        docs = docs if dealt else docs.repartition(self.options.num_buckets, "id")
         return self._write_bucketed(spark, "docs", docs, "id")
 
     def write_postings(self, spark: SparkSession, postings: DataFrame) -> DataFrame:
-        # Sorted by term: one term's rows of a bucket share row groups and encode well.
-        return self._write_bucketed(spark, "postings", postings, "field", "term")
+        # Sorted by term: a term's rows of a bucket share pages, and the others' pages can be skipped.
+        return self._write_bucketed(spark, "postings", postings, "term", "field")
 
     def _write_bucketed(self, spark: SparkSession, kind: str, rows: DataFrame, *sort: str) -> DataFrame:
-        # A repeated attempt after a failed commit starts over.
         spark.sql(f"DROP TABLE IF EXISTS {self.table(kind)}")
         writer = rows.write.mode("overwrite").bucketBy(self.options.num_buckets, "id").sortBy(*sort)
+        # Small pages, as lookups of a few terms skip by page.
+        writer = writer.option("parquet.page.row.count.limit", "4096")
         writer.option("path", self.path(kind)).saveAsTable(self.table(kind))
         return spark.table(self.table(kind))
 
     def write_stats(self, spark: SparkSession, kind: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self.path(kind))
+        if kind == "term_stats":
+            rows = rows.sortWithinPartitions("term")
+        rows.write.mode("overwrite").option("parquet.page.row.count.limit", "4096").parquet(self.path(kind))
         return spark.read.schema(rows.schema).parquet(self.path(kind))
 
     def bucketed(self, spark: SparkSession, kind: str, sort: str) -> DataFrame:
@@ -210,90 +312,92 @@ class _Segment:
         return spark.table(name)
 
 
-@dataclass(frozen=True)
-class _Live:
-    docs: DataFrame
-    postings: DataFrame
+def _commit_folder(number: int) -> str:
+    return f"commit_{number:09d}"
 
 
-def _commits(spark: SparkSession, root: str) -> list[Row]:
+def _newest(spark: SparkSession, root: str) -> Row | None:
+    """The last commit; of two with one number, the one whose writer was told that it holds."""
     try:
         found = spark.read.schema(_COMMIT).option("recursiveFileLookup", True).parquet(f"{root}/commits")
-        return found.orderBy("commit").collect()
+        return found.orderBy(F.desc("commit"), "attempt").first()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return []
+            return None
         raise
 
 
-def _commit(spark: SparkSession, root: str, number: int, base: int, options: IndexOptions, source: str, source_batch: int) -> None:
-    values = {
-        "commit": number,
-        "base": base,
-        "num_shards": options.num_shards,
-        "num_buckets": options.num_buckets,
-        "analyzer": options.analyzer,
-        "positions": options.positions,
-        "dim": options.dim,
-        "source": source,
-        "source_batch": source_batch,
-    }
-    row = spark.range(1).select(*[F.lit(value).alias(name) for name, value in values.items()])
+def _commit(
+    spark: SparkSession, root: str, number: int, attempt: str, options: IndexOptions, segments: list[Row], sources: dict[str, int]
+) -> Row:
+    row = (
+        number, attempt, options.num_shards, options.num_buckets, options.analyzer, options.positions,
+        options.max_token_bytes, options.dim, [(s.number, s.folder, s.n_docs) for s in segments], sources,
+    )
+    path = f"{root}/commits/{_commit_folder(number)}"
     # Fails if another writer has committed the same number.
-    row.coalesce(1).to(StructType.fromDDL(_COMMIT)).write.mode("error").parquet(f"{root}/commits/commit_{number:09d}")
+    spark.createDataFrame([row], StructType.fromDDL(_COMMIT)).coalesce(1).write.mode("error").parquet(path)
+    holds = spark.read.schema(_COMMIT).parquet(path).orderBy("attempt").first()
+    if holds.attempt != attempt:
+        raise RuntimeError(f"another writer has made commit {number} of {root}; write again")
+    return holds
+
+
+def _dead(spark: SparkSession, root: str, segments: list[Row]) -> DataFrame | None:
+    # The first segment replaces nothing, and a merged one may have nothing left that it replaces.
+    paths = [f"{root}/dead/{s.folder}" for s in segments]
+    known = set(_folders(spark, f"{root}/dead"))
+    paths = [path for path in paths if path.rsplit("/", 1)[1] in known]
+    return spark.read.schema("id string, shard int, segment bigint").parquet(*paths) if paths else None
+
+
+def _union_live(
+    spark: SparkSession, root: str, last: Row, kind: str, sort: str, columns: list[str], numbers: list[int] | None
+) -> DataFrame:
+    """Rows of the live segments, or of those numbered, without dead ones; with the segment's number for documents."""
+    options = _options(last)
+    dead = _dead(spark, root, last.segments)
+    counts = {r.segment: r.n for r in dead.groupBy("segment").agg(F.count("*").alias("n")).collect()} if dead is not None else {}
+    union = None
+    for s in last.segments:
+        if numbers is not None and s.number not in numbers:
+            continue
+        # Columns in table order: a projection below the union would hide the bucketing.
+        rows = _Segment(root, s.number, s.folder, options).bucketed(spark, kind, sort).select(*columns)
+        if counts.get(s.number):
+            gone = dead.where(F.col("segment") == s.number).select("id")
+            rows = lookup_join(rows, gone, ["id"], "left_anti", bound=counts[s.number])
+        if kind == "docs":
+            rows = rows.withColumn("segment", F.lit(s.number).cast("bigint"))
+        union = rows if union is None else union.unionByName(rows)
+    return union
 
 
-def _live(commits: list[Row]) -> list[int]:
-    """Segments in use: from the last rewrite on, at most ``MAX_SEGMENTS`` and one."""
-    return [c.commit for c in commits if c.commit >= commits[-1].base]
+def _documents(spark: SparkSession, root: str, last: Row, numbers: list[int] | None = None) -> DataFrame:
+    return _union_live(spark, root, last, "docs", "id", INDEX_DOC_COLUMNS, numbers)
 
 
-def _segments(spark: SparkSession, root: str, commits: list[Row]) -> _Live:
-    last = commits[-1]
-    options = IndexOptions(last.num_shards, last.num_buckets, last.analyzer, last.positions, last.dim)
-    numbers = _live(commits)
-    posting_columns = POSTING_COLUMNS + (["positions"] if options.positions else [])
-    dead = _union_stats(spark, root, numbers[1:], "dead") if len(numbers) > 1 else None
-    n_dead = dead.count() if dead is not None else 0
+def _live_postings(spark: SparkSession, root: str, last: Row, numbers: list[int] | None = None) -> DataFrame:
+    columns = POSTING_COLUMNS + (["positions"] if last.positions else [])
+    return _union_live(spark, root, last, "postings", "term, field", columns, numbers)
 
-    def without_dead(rows: DataFrame, number: int) -> DataFrame:
-        # The newest segment cannot have dead rows yet.
-        if n_dead == 0 or number == last.commit:
-            return rows
-        return lookup_join(rows, dead.where(F.col("segment") == number).select("id"), ["id"], "left_anti", bound=n_dead)
 
-    docs = postings = None
-    for number in numbers:
-        segment = _Segment(root, number, options)
-        # Columns in table order: a projection below the union would hide the bucketing.
-        more_docs = segment.bucketed(spark, "docs", "id").select(*INDEX_DOC_COLUMNS)
-        more_docs = without_dead(more_docs, number).withColumn("segment", F.lit(number).cast("bigint"))
-        more_postings = segment.bucketed(spark, "postings", "field, term").select(*posting_columns)
-        more_postings = without_dead(more_postings, number)
-        docs = more_docs if docs is None else docs.unionByName(more_docs)
-        postings = more_postings if postings is None else postings.unionByName(more_postings)
-    return _Live(docs, postings)
-
-
-def _union_stats(spark: SparkSession, root: str, numbers: list[int], kind: str) -> DataFrame:
-    return spark.read.parquet(*[f"{root}/{kind}/segment={n}" for n in numbers])
-
-
-def _open(spark: SparkSession, root: str, commits: list[Row]) -> Index:
-    last = commits[-1]
-    live = _segments(spark, root, commits)
-    numbers = _live(commits)
-    terms = _union_stats(spark, root, numbers, "term_stats")
-    fields = _union_stats(spark, root, numbers, "field_stats")
-    if len(numbers) > 1:
+def _stats(spark: SparkSession, root: str, segments: list[Row], kind: str) -> DataFrame:
+    return spark.read.parquet(*[f"{root}/{kind}/{s.folder}" for s in segments])
+
+
+def _open(spark: SparkSession, root: str, last: Row) -> Index:
+    terms = _stats(spark, root, last.segments, "term_stats")
+    fields = _stats(spark, root, last.segments, "field_stats")
+    if len(last.segments) > 1:
         fields = fields.groupBy("shard", "field").agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl"))
-        fields = fields.where("n_docs > 0")
     return Index(
-        live.docs.drop("segment"),
-        live.postings,
-        fields,
+        _documents(spark, root, last).drop("segment"),
+        _live_postings(spark, root, last),
+        fields.where("n_docs > 0"),
         terms,
         last.num_shards,
         last.analyzer,
         last.positions,
+        last.max_token_bytes,
     )

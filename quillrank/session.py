@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests) may go without the setting; it gets a fresh folder.
+    Where that is not set, a folder below the warehouse, which tables are shared through anyway.
     """
     configured = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_CONF} to a folder shared by all executors")
-    # Core settings cannot be changed on a running session, so the folder is remembered here.
-    application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = "file:" + tempfile.mkdtemp(prefix="quillrank-")
-    return _local_folders[application]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillrank_shared"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/quillrank/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillrank/{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; results that were not written elsewhere can no longer be read."""
+    remove_folder(spark, _own_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.schemas import JSON_DOC
-from quillrank.sources.ordering import number_rows, with_position
+from quillrank.sources.ordering import file_order, number_rows, with_position
 
 RAW_SCHEMA = JSON_DOC + ", _corrupt_record string"
 _DOC_NAMES = ["id", "title", "body", "indexed_at", "title_vector"]
@@ -39,7 +39,7 @@ def read_numbered_documents(
     batch_size: int = 0,
     strict: bool = False,
 ) -> JsonLines:
-    """Like ``read_documents``, with a ``version`` that follows file order.
+    """Like ``read_documents``, with a ``version`` that numbers documents in file order, which writes them once.
 
     ``max_docs`` keeps the first documents (0: all). With ``batch_size`` the cap applies at
     batch ends only, so it rounds up to whole batches.
@@ -51,6 +51,12 @@ def read_numbered_documents(
     return JsonLines(docs, rows.rejected)
 
 
+def read_ordered_documents(spark: SparkSession, path: str, *, strict: bool = False) -> JsonLines:
+    """Like ``read_documents``, with a ``version`` that orders documents as their files do; nothing is written."""
+    rows = split_documents(with_position(spark.read.schema(RAW_SCHEMA).json(path)), strict, ["src_file", "src_block"])
+    return JsonLines(file_order(rows.docs), rows.rejected)
+
+
 def soft_cap(max_docs: int, batch_size: int = 0) -> int:
     """The cap rounded up to whole batches; exact without a batch size."""
     return -(-max_docs // batch_size) * batch_size if batch_size > 0 else max_docs
@@ -68,11 +74,12 @@ def split_documents(raw: DataFrame, strict: bool = False, extra: list[str] | Non
         ),
     )
     if strict:
+        # The check sits in the id, and a filter needs the id, so no plan leaves it out.
         is_incomplete = F.col("reason").startswith("missing")
         tagged = tagged.withColumn(
             "id", F.when(is_incomplete, F.raise_error(F.col("reason")).cast("string")).otherwise(F.col("id"))
         )
-        good = tagged.where(F.col("reason").isNull() | is_incomplete)
+        good = tagged.where((F.col("reason").isNull() | is_incomplete) & F.col("id").isNotNull())
     else:
         good = tagged.where(F.col("reason").isNull())
     docs = good.select(

@@ -10,9 +10,6 @@ from quillrank.session import stage
 
 POSITION_COLUMNS = ["src_file", "src_block", "src_row"]
 
-# One short row per split of the input: at 128 MB each this covers a 120 TB dump in about 150 MB.
-_MAX_SPLITS = 1_000_000
-
 
 def with_position(scan: DataFrame) -> DataFrame:
     """Tag file rows with (file, byte offset of the split); call directly on the file scan."""
@@ -36,12 +33,7 @@ def number_rows(rows: DataFrame, name: str = "seq") -> DataFrame:
     )
     splits = stage(splits, "splits")
     within_file = Window.partitionBy("src_file").orderBy("src_block").rowsBetween(Window.unboundedPreceding, -1)
-    files = splits.groupBy("src_file").agg(F.sum("n_rows").alias("file_rows"))
-    # One row per input file: the constant key keeps the running total in file order.
-    before_file = (
-        Window.partitionBy(F.lit(0)).orderBy("src_file").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    files = files.select("src_file", F.coalesce(F.sum("file_rows").over(before_file), F.lit(0)).alias("rows_before"))
+    files = _rows_before(splits.groupBy("src_file").agg(F.sum("n_rows").alias("file_rows")))
     offsets = splits.join(files, "src_file").select(
         "src_file",
         "src_block",
@@ -49,5 +41,33 @@ def number_rows(rows: DataFrame, name: str = "seq") -> DataFrame:
             "shift"
         ),
     )
-    numbered = lookup_join(staged, offsets, ["src_file", "src_block"], max_rows=_MAX_SPLITS)
+    numbered = lookup_join(staged, offsets, ["src_file", "src_block"])
     return numbered.withColumn(name, F.col("src_row") + F.col("shift") + 1).drop("shift")
+
+
+def _rows_before(files: DataFrame) -> DataFrame:
+    """Rows of all earlier files, ``(src_file, rows_before)``, for one row per file.
+
+    Files are cut into ranges of names; totals run inside a range and over the ranges, so no task sees all files.
+    """
+    ranged = stage(files.repartitionByRange("src_file").withColumn("part", F.spark_partition_id()), "files")
+    totals = ranged.groupBy("part").agg(F.sum("file_rows").alias("part_rows"))
+    earlier = totals.select(F.col("part").alias("earlier"), F.col("part_rows").alias("earlier_rows"))
+    # As many rows as there are shuffle partitions, whatever the number of files.
+    shifts = totals.join(F.broadcast(earlier), F.col("earlier") < F.col("part"), "left").groupBy("part")
+    shifts = shifts.agg(F.coalesce(F.sum("earlier_rows"), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("part").orderBy("src_file").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("file_rows").over(inside), F.lit(0))
+    return ranged.withColumn("within", within).join(F.broadcast(shifts), "part").select(
+        "src_file", (F.col("within") + F.col("shift")).alias("rows_before")
+    )
+
+
+def file_order(rows: DataFrame, name: str = "version") -> DataFrame:
+    """Add a column that orders rows as their files do, without numbering them; needs the position columns.
+
+    Files are ordered by name, or first by ``src_time`` if rows have it.
+    """
+    placed = rows.withColumn("src_row", F.monotonically_increasing_id())
+    columns = [*(["src_time"] if "src_time" in rows.columns else []), *POSITION_COLUMNS]
+    return placed.withColumn(name, F.struct(*columns)).drop(*columns)

@@ -35,7 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def options(spark: SparkSession, sf_dir: str, **more) -> IndexOptions:
     buckets = bucket_count(spark, input_bytes(spark, f"{sf_dir}/documents.parquet"))
-    return IndexOptions(num_shards=NUM_SHARDS, num_buckets=buckets, **more)
+    return IndexOptions(**{"num_shards": NUM_SHARDS, "num_buckets": buckets, "analyzer": "simple", **more})
 
 
 def index(spark: SparkSession, sf_dir: str, **more) -> Index:

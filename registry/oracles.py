@@ -1,23 +1,22 @@
 """DuckDB SQL for the queries of ``registry.queries``.
 
 Written from the definitions of the operators, independently of the Spark plans: per-row
-array functions, plain joins and windows. ``bm25_stemmed`` has none, because DuckDB has no
-stemmer built in.
+array functions, plain joins and windows. Stems come from a chain of steps over the distinct words.
 """
 
 from __future__ import annotations
 
-# White space as the cleaning rule understands it.
+# The characters that the cleaning rule strips, and those it takes for white space.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _MARKUP = r"''{2,3}|\[\[|\]\]|\{\{|\}\}|\[|\]"
 _SPLIT = r"'[^\p{L}\p{N}]+'"
 
 
-def _clean(raw: str) -> str:
+def _clean(raw: str, max_chars: int = 0) -> str:
     text = f"translate(regexp_replace({raw}, '{_MARKUP}', '', 'g'), chr(10) || chr(9), '  ')"
     text = f"regexp_replace({text}, '{_SPACE}{{2,}}', ' ', 'g')"
     text = f"regexp_replace({text}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
-    return f"substring({text}, 1, 2000)"
+    return f"substring({text}, 1, {max_chars})" if max_chars else text
 
 
 def _shard(doc_id: str, n: int = 8) -> str:
@@ -51,11 +50,16 @@ _QUERIES = """queries AS (
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 
-def _postings(docs: str = "docs") -> str:
+def _postings(docs: str = "docs", stemmed: bool = False) -> str:
+    tokens = "tokens AS (SELECT id, shard, field, len(words) AS dl, unnest(words) AS term FROM fields)"
+    if stemmed:
+        words = f"raw_query_words AS (SELECT query_id, unnest({_words('q')}) AS term FROM queries)"
+        stems = "tokens AS (SELECT id, shard, field, dl, stem AS term FROM raw_tokens JOIN stems USING (term))"
+        tokens = ",\n".join([tokens.replace("tokens AS", "raw_tokens AS", 1), words, *_STEMS, stems])
     return f"""fields AS (
   SELECT id, shard, 'title' AS field, {_words('title')} AS words FROM {docs}
   UNION ALL SELECT id, shard, 'body', {_words('body')} FROM {docs}),
-tokens AS (SELECT id, shard, field, len(words) AS dl, unnest(words) AS term FROM fields),
+{tokens},
 postings AS (
   SELECT shard, field, term, id, CAST(count(*) AS INTEGER) AS tf, CAST(max(dl) AS INTEGER) AS dl
   FROM tokens GROUP BY shard, field, term, id),
@@ -65,6 +69,73 @@ field_stats AS (
   FROM fields GROUP BY shard, field)"""
 
 
+def _ending(step: str, source: str, endings: str) -> str:
+    """A step's words with the ending found and the part before it."""
+    return f"""{step} AS (
+  SELECT *, w[:len(w) - len(e)] AS b FROM (SELECT *, regexp_extract(w, '({endings})$', 1) AS e FROM {source}))"""
+
+
+def _swap(pairs: str) -> str:
+    """The replacement of an ending, from ``ending:replacement`` pairs."""
+    cases = " ".join("WHEN '{}' THEN '{}'".format(*pair.split(":")) for pair in pairs.split())
+    return f"b || CASE e {cases} END"
+
+
+# The endings of the published steps and what takes their place.
+_TWO = (
+    "ational:ate tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ation:ate ator:ate alism:al aliti:al alli:al "
+    "fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive biliti:ble bli:ble ogi:og fulli:ful lessli:less li:"
+)
+_THREE = "tional:tion ational:ate alize:al icate:ic iciti:ic ical:ic ful: ness: ative:"
+_FOUR = "al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ism|ate|iti|ous|ive|ize|ion"
+_EXCEPTIONS = (
+    "skis:ski skies:sky dying:die lying:lie tying:tie idly:idl gently:gentl ugly:ugli early:earli only:onli singly:singl sky:sky "
+    "news:news howe:howe atlas:atlas cosmos:cosmos bias:bias andes:andes"
+)
+_SHORT = "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+_REGION = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+
+
+def _endings(pairs: str) -> str:
+    return "|".join(pair.split(":")[0] for pair in pairs.split())
+
+
+_STEMS = (
+    "vocabulary AS (SELECT DISTINCT term FROM (SELECT term FROM raw_tokens UNION ALL SELECT term FROM raw_query_words))",
+    r"""marked AS (SELECT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\1Y', 'g') AS w FROM vocabulary),
+starts AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|arsen)') THEN 5 WHEN starts_with(w, 'commun') THEN 6
+  WHEN regexp_matches(w, '""" + _REGION + r"""') THEN len(regexp_extract(w, '""" + _REGION + r"""')) ELSE len(w) END AS r1 FROM marked),
+regions AS (SELECT *, r1 + CASE WHEN regexp_matches(w[r1 + 1:], '""" + _REGION + r"""')
+  THEN len(regexp_extract(w[r1 + 1:], '""" + _REGION + r"""')) ELSE len(w) - r1 END AS r2 FROM starts),
+step_1a AS (SELECT * REPLACE (CASE WHEN ends_with(w, 'sses') THEN w[:-3] WHEN regexp_matches(w, 'ie[ds]$')
+  THEN CASE WHEN len(w) > 4 THEN w[:-3] ELSE w[:-2] END WHEN regexp_matches(w, '[us]s$') THEN w
+  WHEN regexp_matches(w, '[aeiouy].+s$') THEN w[:-2] ELSE w END AS w) FROM regions),
+kept AS (SELECT *, w IN ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed') AS final,
+  w AS final_w FROM step_1a)""",
+    _ending("past", "kept", "eedly|eed|ingly|edly|ing|ed"),
+    f"""step_1b AS (SELECT * EXCLUDE (e, b) REPLACE (CASE WHEN e = '' THEN w
+  WHEN e IN ('eed', 'eedly') THEN CASE WHEN len(b) >= r1 THEN b || 'ee' ELSE w END
+  WHEN NOT regexp_matches(b, '[aeiouy]') THEN w
+  WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e'
+  WHEN b[-2:] IN ('bb', 'dd', 'ff', 'gg', 'mm', 'nn', 'pp', 'rr', 'tt') THEN b[:-2]
+  WHEN len(b) <= r1 AND regexp_matches(b, '{_SHORT}') THEN b || 'e' ELSE b END AS w) FROM past)""",
+    r"step_1c AS (SELECT * REPLACE (regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\1i') AS w) FROM step_1b)",
+    _ending("two", "step_1c", _endings(_TWO)),
+    f"""step_2 AS (SELECT * EXCLUDE (e, b) REPLACE (CASE WHEN e = '' OR len(b) < r1 OR (e = 'ogi' AND b[-1] <> 'l')
+  OR (e = 'li' AND NOT regexp_matches(b, '[cdeghkmnrt]$')) THEN w ELSE {_swap(_TWO)} END AS w) FROM two)""",
+    _ending("three", "step_2", _endings(_THREE)),
+    f"""step_3 AS (SELECT * EXCLUDE (e, b) REPLACE (CASE WHEN e = '' OR len(b) < CASE WHEN e = 'ative' THEN r2 ELSE r1 END
+  THEN w ELSE {_swap(_THREE)} END AS w) FROM three)""",
+    _ending("four", "step_3", _FOUR),
+    "step_4 AS (SELECT * EXCLUDE (e, b) REPLACE (CASE WHEN e = '' OR len(b) < r2 OR (e = 'ion' AND b[-1] NOT IN ('s', 't')) "
+    "THEN w ELSE b END AS w) FROM four)",
+    f"""stems AS (SELECT term, CASE WHEN len(term) <= 2 THEN term ELSE CASE term {
+        " ".join("WHEN '{}' THEN '{}'".format(*pair.split(":")) for pair in _EXCEPTIONS.split())
+    } ELSE lower(CASE WHEN final THEN final_w
+  WHEN ends_with(w, 'e') AND (len(w) > r2 OR (len(w) > r1 AND NOT regexp_matches(w[:-2], '{_SHORT}'))) THEN w[:-2]
+  WHEN ends_with(w, 'll') AND len(w) > r2 THEN w[:-2] ELSE w END) END END AS stem FROM step_4)""",
+)
+
 _LENGTH = {
     "exact": "dl",
     "quantized": "CASE WHEN dl < 40 THEN dl ELSE dl - (dl - 24) % CAST(pow(2, floor(log2(dl - 24)) - 3) AS INTEGER) END",
@@ -111,6 +182,13 @@ def _limits(limit: str = "20", source: str = "queries") -> str:
 _WIDENED = "greatest(lim, least(lim * 2, 200))"
 
 _BASE = (_DOCS, _QUERIES, _postings())
+_STEMMED = (_DOCS, _QUERIES, _postings(stemmed=True))
+
+
+def _bag_of_stems() -> str:
+    return _bag_scores().replace(_BAG, "query_words AS (SELECT query_id, stem AS term FROM raw_query_words JOIN stems USING (term))")
+
+
 _KEYWORD = (*_BASE, _bag_scores(), _limits(), _pool())
 
 _COSINE = """candidates AS (
@@ -146,10 +224,11 @@ hybrid_hits AS (
   FROM placed WHERE place <= lim)"""
 
 
-def _hybrid(vector="query_vector", limit="20", alpha="0.5", fusion="'rrf'") -> tuple[str, ...]:
+def _hybrid(vector="query_vector", limit="20", alpha="0.5", fusion="'rrf'", stemmed=False) -> tuple[str, ...]:
     asked = _asked(vector, limit, alpha, fusion)
     limits = "limits AS (SELECT query_id, lim FROM asked)"
-    return (*_BASE, asked, limits, _bag_scores(), _pool(_WIDENED), _COSINE, _FUSED)
+    base, scores = (_STEMMED, _bag_of_stems()) if stemmed else (_BASE, _bag_scores())
+    return (*base, asked, limits, scores, _pool(_WIDENED), _COSINE, _FUSED)
 
 
 _MIXED = _hybrid(
@@ -189,22 +268,24 @@ def _clause_hits(occur: str, field: str = "TRUE", boost: str = "1.0") -> str:
     return _with(*parts) + "SELECT * FROM pool"
 
 
-_PHRASE = _with(
-    *_BASE,
-    _CLAUSE_WORDS,
+_PLACES = (
     f"""slots AS (
   SELECT shard, id, field, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM (
     SELECT shard, id, 'title' AS field, regexp_split_to_array(title, {_SPLIT}) AS words FROM docs
     UNION ALL SELECT shard, id, 'body', regexp_split_to_array(body, {_SPLIT}) FROM docs))""",
     "places AS (SELECT shard, id, field, lower(word) AS term, pos FROM slots WHERE strlen(word) BETWEEN 1 AND 39)",
-    """numbered AS (
-  SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS place,
-         count(*) OVER (PARTITION BY query_id) AS n FROM clause_terms)""",
+)
+_PAIRS = (
+    # Words too long to be indexed leave their place empty.
+    """pairs AS (
+  SELECT query_id, unnest(range(1, greatest(max(n) - 1, 1) + 1)) AS clause FROM raw_clauses GROUP BY query_id)""",
     """phrases AS (
-  SELECT query_id, 0 AS clause, term, place AS word_offset, n AS n_words FROM numbered
+  SELECT query_id, 0 AS clause, term, i AS word_offset, count(*) OVER (PARTITION BY query_id) AS n_words FROM clause_terms
   UNION ALL
-  SELECT query_id, 1, term, place, count(*) OVER (PARTITION BY query_id) FROM (
-    SELECT query_id, lower(word) AS term, i AS place FROM raw_clauses WHERE i < 2 AND strlen(word) < 40))""",
+  SELECT query_id, clause, term, i - clause + 1, count(*) OVER (PARTITION BY query_id, clause)
+  FROM clause_terms JOIN pairs USING (query_id) WHERE i BETWEEN clause - 1 AND clause)""",
+)
+_PHRASE_SCORES = (
     f"""starts AS (
   SELECT query_id, clause, n_words, shard, id, field, pos - word_offset AS start, sum({_IDF}) AS idf
   FROM phrases JOIN places USING (term) JOIN term_stats USING (shard, field, term) JOIN field_stats USING (shard, field)
@@ -215,9 +296,18 @@ _PHRASE = _with(
   SELECT query_id, shard, id, round(sum({_term_weight('tf', 'len(words)', 'idf', 'sum_dl::DOUBLE / n_docs')}), 6) AS bm25_score
   FROM found JOIN fields USING (shard, id, field) JOIN field_stats USING (shard, field)
   GROUP BY query_id, shard, id)""",
-    _limits(),
-    _pool(),
-) + "SELECT * FROM pool"
+)
+_PHRASE = _with(*_BASE, _CLAUSE_WORDS, *_PLACES, *_PAIRS, *_PHRASE_SCORES, _limits(), _pool()) + "SELECT * FROM pool"
+
+_GAP = (
+    f"""gaps AS (
+  SELECT doc_id AS query_id, words, list_position(
+    list_transform(words, lambda w, i: strlen(w) >= 40 AND i > 1 AND i < len(words)), true) AS middle FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(text, {_SPLIT}), lambda w: w <> '') AS words FROM documents)),
+phrases AS (
+  SELECT query_id, 0 AS clause, lower(words[middle + d]) AS term, d + 1 AS word_offset, count(*) OVER (PARTITION BY query_id) AS n_words
+  FROM gaps, (SELECT unnest([-1, 1]) AS d) WHERE middle > 0 AND strlen(words[middle + d]) < 40)""",
+)
 
 # Pages of the dump: every tenth lacks a title, another tenth a text.
 _PAGES = f"""pages_in AS (
@@ -255,21 +345,30 @@ def _unnested(key: str, vector: str, source: str) -> str:
     return f"SELECT {key}, CAST(generate_subscripts({vector}, 1) - 1 AS INTEGER) AS pos, unnest({vector}) AS x FROM {source}"
 
 
+_MERGED = """SELECT query_id, CAST(place AS INTEGER) AS "rank", id, bm25_score AS score, title, m.shard FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, shard, id) AS place FROM pool) m
+JOIN (SELECT id, title FROM docs) USING (id) WHERE place <= 20"""
+
 ORACLES: dict[str, str] = {
     # Ingest
-    "clean_body": _with(_DOCS) + f"SELECT id, {_clean(_marked('body', 'title'))} AS body FROM docs",
+    "clean_body": _with(_DOCS) + f"SELECT id, {_clean(_marked('body', 'title'), 2000)} AS body FROM docs",
+    "clean_body_full": _with(_DOCS) + f"SELECT id, {_clean(_marked('body', 'title'))} AS body FROM docs",
     "shard_route": _with(_DOCS)
     + f"SELECT id, 0 AS of_1, {_shard('id', 3)} AS of_3, {_shard('id', 7)} AS of_7, {_shard('id', 8)} AS of_8 FROM docs",
     "xml_pages": _with(_DOCS, _PAGES) + "SELECT title, raw FROM numbered",
     "page_seq": _with(_DOCS, _PAGES) + "SELECT seq, title FROM numbered WHERE seq <= 500",
     "min_len_filter": _with(_DOCS)
-    + f"SELECT id, title, CAST(length(body) AS INTEGER) AS n_chars FROM (SELECT id, title, {_clean('body')} AS body FROM docs) "
+    + f"SELECT id, title, CAST(length(body) AS INTEGER) AS n_chars FROM (SELECT id, title, {_clean('body', 2000)} AS body FROM docs) "
     "WHERE length(body) >= 50",
     "ingest_report": _with(_DOCS, _PAGES)
     + "SELECT count(*) FILTER (WHERE length(body) >= 50) AS written, count(*) FILTER (WHERE length(body) < 50) AS skipped "
     "FROM cleaned",
     "jsonl_roundtrip": _with(_DOCS, _PAGES)
     + f"SELECT id, title, body, 0 AS dims, {_shard('id')} AS shard FROM cleaned WHERE length(body) >= 50",
+    "ingest_all_pages": _with(_DOCS, _PAGES)
+    + "SELECT count(*) FILTER (WHERE length(body) >= 50) AS written, count(*) FILTER (WHERE length(body) < 50) AS skipped, "
+    "CAST(sum(length(body)) FILTER (WHERE length(body) >= 50) AS BIGINT) AS n_chars FROM cleaned",
+    "xml_pages_bz2": _with(_DOCS, _PAGES) + "SELECT title, raw FROM numbered",
     "jsonl_single": _with(_DOCS, _PAGES)
     + "SELECT id, title, CAST(length(body) AS INTEGER) AS n_chars FROM cleaned WHERE length(body) >= 50",
     "jsonl_quarantine": _with(_DOCS, _LINES)
@@ -283,14 +382,29 @@ ORACLES: dict[str, str] = {
     "WHERE version <= 200",
     # Index
     "tokenize_terms": _with(_DOCS, _postings()) + "SELECT * FROM postings",
+    "tokenize_stemmed": _with(*_STEMMED) + "SELECT * FROM postings",
     "term_df": _with(_DOCS, _postings()) + "SELECT * FROM term_stats",
     "field_stats_by_shard": _with(_DOCS, _postings()) + "SELECT * FROM field_stats",
     "shard_doc_counts": _with(_DOCS) + "SELECT shard, count(*) AS doc_count FROM docs GROUP BY shard",
     "cluster_totals": _with(_DOCS)
-    + "SELECT count(DISTINCT shard) AS total_shards, count(*) AS total_documents FROM docs",
-    "shard_list": _with(_DOCS) + "SELECT DISTINCT shard FROM docs",
+    + """SELECT 8::BIGINT AS total_shards, (SELECT count(*) FROM docs) AS total_documents, s::INTEGER AS shard, count(id) AS doc_count
+FROM range(8) r(s) LEFT JOIN docs ON shard = s GROUP BY s""",
+    "shard_list": "SELECT s::INTEGER AS shard FROM range(8) r(s)",
+    "empty_shards": _with(_DOCS)
+    + f"""SELECT s::INTEGER AS shard, count(id) AS doc_count
+FROM range(3000) r(s) LEFT JOIN (SELECT id, {_shard("id", 3000)} AS own FROM docs) ON own = s GROUP BY s""",
     "upsert_latest": _with(_DOCS, _VERSIONS) + "SELECT id, title, body, version FROM latest",
     "upsert_index_docs": _with(_DOCS, _VERSIONS) + "SELECT id, title, body, shard FROM latest",
+    "upsert_repeated_ids": _with(_DOCS, _VERSIONS) + "SELECT id, title, body, shard FROM latest",
+    "upsert_many_commits": _with(
+        _DOCS,
+        """last_write AS (
+  SELECT id, doc_id, max(n) AS n FROM docs, range(10) r(n)
+  WHERE doc_id % 10 = n OR (doc_id % 10 < n AND doc_id % 7 = n % 7) GROUP BY ALL),
+written AS (SELECT id, shard, title || ' v' || n AS title, body FROM docs JOIN last_write USING (id))""",
+        _postings("written"),
+    )
+    + "SELECT * FROM term_stats",
     "upsert_index_terms": _with(_DOCS, _VERSIONS, _postings("latest")) + "SELECT * FROM term_stats",
     "upsert_index_fields": _with(_DOCS, _VERSIONS, _postings("latest")) + "SELECT * FROM field_stats",
     "index_jsonl": _with(_DOCS, _LINES)
@@ -300,10 +414,9 @@ ORACLES: dict[str, str] = {
     "bm25_topk": _with(*_KEYWORD) + "SELECT * FROM pool",
     "bm25_quantized": _with(*_BASE, _bag_scores(length="quantized"), _limits(), _pool()) + "SELECT * FROM pool",
     "bm25_repeated": _with(*_BASE, _bag_scores(dedupe=False), _limits(), _pool()) + "SELECT * FROM pool",
-    "bm25_merge": _with(*_KEYWORD)
-    + """SELECT query_id, CAST(place AS INTEGER) AS "rank", id, bm25_score AS score, title, m.shard FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, shard, id) AS place FROM pool) m
-JOIN (SELECT id, title FROM docs) USING (id) WHERE place <= 20""",
+    "bm25_stemmed": _with(*_STEMMED, _bag_of_stems(), _limits(), _pool()) + _MERGED,
+    "hybrid_stemmed": _with(*_hybrid(stemmed=True)) + "SELECT * FROM hybrid_hits",
+    "bm25_merge": _with(*_KEYWORD) + _MERGED,
     "search_report": _with(*_KEYWORD)
     + """SELECT q.query_id, least(count(id), 20) AS total_hits, count(id) AS keyword_hits, 8 AS shards_queried,
   count(DISTINCT shard) AS shards_responded FROM queries q LEFT JOIN pool p ON p.query_id = q.query_id GROUP BY q.query_id""",
@@ -312,6 +425,16 @@ JOIN (SELECT id, title FROM docs) USING (id) WHERE place <= 20""",
     "field_scoped": _clause_hits("'should'", field="field = CASE WHEN i < 3 THEN 'title' ELSE 'body' END"),
     "boosted": _clause_hits("'should'", boost="CASE WHEN i % 2 = 0 THEN 2.5 ELSE 1.0 END"),
     "phrase_match": _PHRASE,
+    "phrase_gap": _with(
+        *_BASE,
+        *_PLACES,
+        *_GAP,
+        "body_places AS (SELECT * FROM places WHERE field = 'body')",
+        *[part.replace("JOIN places", "JOIN body_places") for part in _PHRASE_SCORES],
+        _limits(source="gaps"),
+        _pool(),
+    )
+    + "SELECT * FROM pool",
     # Semantic and hybrid search
     "vector_normalize": "SELECT vec_id, pos, round(CAST(x AS DOUBLE), 6) AS x FROM ("
     + _unnested(
@@ -343,6 +466,11 @@ WHERE place <= 20""",
     WHEN 4 THEN 'limit out of range' WHEN 5 THEN 'alpha out of range' ELSE 'unknown fusion' END AS reason,
   CASE WHEN item_id % 7 = 0 THEN 20 END AS "limit", CASE WHEN item_id % 7 = 0 THEN 0.5::DOUBLE END AS alpha,
   CASE WHEN item_id % 7 = 0 THEN 'rrf' END AS fusion FROM benchmark""",
+    "validate_query_ids": """SELECT query_id, CASE WHEN query_id IS NULL THEN 'query_id missing' WHEN m > 1 THEN 'query_id repeated' ELSE 'ok' END
+  AS reason, count(*) AS n_rows FROM (
+  SELECT *, count(*) OVER (PARTITION BY query_id) AS m FROM (
+    SELECT CASE WHEN item_id % 5 <> 0 THEN item_id END AS query_id FROM benchmark
+    UNION ALL SELECT item_id FROM benchmark WHERE item_id % 7 = 1)) GROUP BY ALL""",
     "limits_widened": """SELECT item_id AS query_id, CAST(item_id * 7 + 1 AS INTEGER) AS "limit",
   CAST(greatest(item_id * 7 + 1, least((item_id * 7 + 1) * 2, 200)) AS INTEGER) AS retrieval_limit FROM benchmark""",
     # Embedding

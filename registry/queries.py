@@ -12,11 +12,11 @@ from quillrank.functions.scoring import Bm25, retrieval_limit
 from quillrank.functions.text import cache_key, clean_markup
 from quillrank.functions.vectors import has_vector, normalize
 from quillrank.operators.analysis import build_postings
-from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts, hashing_model
+from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts
 from quillrank.operators.fusion import fuse
 from quillrank.operators.ingest import ingest_counts, kept_documents, latest_versions, pages_to_documents
 from quillrank.operators.requests import check_queries, prepare, rejected_queries
-from quillrank.operators.statistics import active_shards, cluster_stats, field_stats, shard_stats, term_stats
+from quillrank.operators.statistics import all_shards, cluster_stats, field_stats, shard_stats, term_stats
 from quillrank.operators.vector_columns import decode_vectors, encode_vectors
 from quillrank.plans.index_store import compact, create_index, open_index, write_documents
 from quillrank.plans.ingest import index_counts, index_json, ingest_dump
@@ -26,10 +26,13 @@ from quillrank.sources.dumps import read_pages
 from quillrank.sources.jsonl import read_documents, read_numbered_documents, write_documents as write_json
 from quillrank.streaming.index_stream import stream_index
 from registry import fixtures as fx
+from registry.models import hashing_model
 from registry.fixtures import NUM_SHARDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# The engine's rule for where a word ends.
+SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
 def query(function: Query) -> Query:
@@ -42,6 +45,11 @@ def query(function: Query) -> Query:
 
 @query
 def clean_body(spark, sf):
+    return fx.documents(spark, sf).select("id", clean_markup(fx.marked_up("body"), 2000).alias("body"))
+
+
+@query
+def clean_body_full(spark, sf):
     return fx.documents(spark, sf).select("id", clean_markup(fx.marked_up("body")).alias("body"))
 
 
@@ -64,7 +72,7 @@ def page_seq(spark, sf):
 @query
 def min_len_filter(spark, sf):
     pages = fx.documents(spark, sf).select(F.col("doc_id").alias("seq"), "title", F.col("body").alias("raw"))
-    return kept_documents(pages_to_documents(pages)).select("id", "title", F.length("body").alias("n_chars"))
+    return kept_documents(pages_to_documents(pages, max_chars=2000, min_chars=50)).select("id", "title", F.length("body").alias("n_chars"))
 
 
 @query
@@ -80,6 +88,22 @@ def jsonl_roundtrip(spark, sf):
     return back.select("id", "title", "body", F.size("title_vector").alias("dims"), "shard")
 
 
+@query
+def ingest_all_pages(spark, sf):
+    out = new_folder(spark, "all")
+    counts = ingest_dump(spark, fx.write_dump(spark, sf), out)
+    whole = spark.read.schema("body string").json(out).agg(F.sum(F.length("body")).alias("n_chars"))
+    return counts.crossJoin(whole)
+
+
+@query
+def xml_pages_bz2(spark, sf):
+    plain = spark.read.text(fx.write_dump(spark, sf))
+    packed = new_folder(spark, "dump-bz2")
+    plain.write.option("compression", "bzip2").text(packed)
+    return read_pages(spark, packed).select("title", "raw")
+
+
 @query
 def jsonl_single(spark, sf):
     out = new_folder(spark, "docs")
@@ -117,6 +141,12 @@ def tokenize_terms(spark, sf):
     return build_postings(docs.repartition("id"))
 
 
+@query
+def tokenize_stemmed(spark, sf):
+    docs = fx.documents(spark, sf).withColumn("shard", shard_of(F.col("id"), NUM_SHARDS))
+    return build_postings(docs.repartition("id"), "en_stem")
+
+
 @query
 def term_df(spark, sf):
     return term_stats(fx.index(spark, sf).postings).drop("total_tf")
@@ -130,17 +160,27 @@ def field_stats_by_shard(spark, sf):
 
 @query
 def shard_doc_counts(spark, sf):
-    return shard_stats(fx.index(spark, sf).docs)
+    index = fx.index(spark, sf)
+    return shard_stats(index.docs, index.num_shards)
 
 
 @query
 def cluster_totals(spark, sf):
-    return cluster_stats(fx.index(spark, sf).docs).select("total_shards", "total_documents")
+    index = fx.index(spark, sf)
+    totals = cluster_stats(index.docs, index.num_shards)
+    return totals.select("total_shards", "total_documents", F.inline("shards"))
 
 
 @query
 def shard_list(spark, sf):
-    return active_shards(fx.index(spark, sf).docs)
+    return all_shards(spark, fx.index(spark, sf).num_shards)
+
+
+@query
+def empty_shards(spark, sf):
+    """An index of more shards than most tables have documents."""
+    index = fx.index(spark, sf, num_shards=3000)
+    return shard_stats(index.docs, index.num_shards)
 
 
 def _two_versions(spark, sf):
@@ -185,6 +225,27 @@ def upsert_index_fields(spark, sf):
     return compact(spark, root).field_stats
 
 
+@query
+def upsert_repeated_ids(spark, sf):
+    """Both versions in one batch and no version column: the later row of an id wins."""
+    first, second = (part.drop("version") for part in _two_versions(spark, sf))
+    root = new_folder(spark, "index")
+    create_index(spark, root, first.unionByName(second), fx.options(spark, sf))
+    return open_index(spark, root).docs.select("id", "title", "body", "shard")
+
+
+@query
+def upsert_many_commits(spark, sf):
+    """Ten commits, each with a tenth of the documents and a part of those before."""
+    docs = fx.documents(spark, sf)
+    root = new_folder(spark, "index")
+    for n in range(10):
+        part = docs.where((F.col("doc_id") % 10 == n) | ((F.col("doc_id") % 10 < n) & (F.col("doc_id") % 7 == n % 7)))
+        part = part.withColumn("title", F.concat("title", F.lit(f" v{n}"))).drop("doc_id")
+        write_documents(spark, root, part, fx.options(spark, sf))
+    return open_index(spark, root).term_stats
+
+
 @query
 def index_jsonl(spark, sf):
     index, _ = index_json(spark, fx.write_json_lines(spark, sf), new_folder(spark, "index"), fx.options(spark, sf))
@@ -240,7 +301,7 @@ def search_report(spark, sf):
 
 def _clauses(spark, sf, occur, field=None, boost=None):
     """A clause per word of the benchmark text; ``i`` is the word's place, ``n`` their number."""
-    words = F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split("text", SPLIT), lambda w: w != "")
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words"))
     placed = items.select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     return placed.select(
@@ -284,16 +345,38 @@ def boosted(spark, sf):
 
 @query
 def phrase_match(spark, sf):
-    words = F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split("text", SPLIT), lambda w: w != "")
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words"))
     whole = items.select("query_id", F.lit(0).alias("clause_id"), F.col("words").alias("terms"))
-    opening = items.select("query_id", F.lit(1).alias("clause_id"), F.slice("words", 1, 2).alias("terms"))
-    clauses = whole.unionByName(opening).select(
+    places = F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1)))
+    pairs = items.select("query_id", "words", F.explode(places).alias("clause_id"))
+    pairs = pairs.select("query_id", "clause_id", F.slice("words", F.col("clause_id"), 2).alias("terms"))
+    clauses = whole.unionByName(pairs).select(
         "*", F.lit(None).cast("string").alias("field"), F.lit("should").alias("occur"), F.lit(1.0).alias("boost")
     )
     return _clause_hits(spark, sf, clauses, positions=True)
 
 
+@query
+def phrase_gap(spark, sf):
+    """Phrases over a word too long to be indexed: each document's words around such a word."""
+    docs = fx.table(spark, sf, "documents")
+    words = F.filter(F.split("text", SPLIT), lambda w: w != "")
+    long = docs.select("doc_id", "text", F.posexplode(words).alias("at", "word"), words.alias("words"))
+    long = long.where((F.octet_length("word") >= 40) & (F.col("at") > 0) & (F.col("at") < F.size("words") - 1))
+    first = long.groupBy("doc_id").agg(F.min_by("words", "at").alias("words"), F.min("at").alias("at"))
+    clauses = first.select(
+        F.col("doc_id").alias("query_id"),
+        F.lit(0).alias("clause_id"),
+        F.slice("words", F.col("at"), 3).alias("terms"),
+        F.lit("body").alias("field"),
+        F.lit("should").alias("occur"),
+        F.lit(1.0).alias("boost"),
+    )
+    requests = prepare(clauses.select("query_id", F.array_join("terms", " ").alias("q")))
+    return shard_hits(fx.index(spark, sf, positions=True), requests, clauses=clauses)
+
+
 # Semantic and hybrid search
 
 
@@ -333,6 +416,11 @@ def hybrid_weighted(spark, sf):
     return hybrid_search(fx.index(spark, sf), queries).hits
 
 
+@query
+def hybrid_stemmed(spark, sf):
+    return hybrid_search(fx.index(spark, sf, analyzer="en_stem"), fx.queries(spark, sf)).hits
+
+
 def _mixed_queries(spark, sf):
     """Every third query has no vector, every fourth asks for the weighted sum, limits differ."""
     n = F.col("query_id")
@@ -377,6 +465,16 @@ def validate_queries(spark, sf):
     return kept.unionByName(rejected_queries(odd), allowMissingColumns=True)
 
 
+@query
+def validate_query_ids(spark, sf):
+    """Every fifth id is missing, and every seventh query comes twice."""
+    queries = fx.queries(spark, sf).select("query_id", "q")
+    n = F.col("query_id")
+    odd = queries.select(F.when(n % 5 != 0, n).alias("query_id"), "q").unionByName(queries.where(n % 7 == 1))
+    counts = check_queries(odd).groupBy("query_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    return counts.agg(F.count("*").alias("n_rows"))
+
+
 @query
 def limits_widened(spark, sf):
     n = F.col("item_id").cast("int")

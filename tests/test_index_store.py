@@ -1,8 +1,14 @@
 import json
+import shutil
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import quillrank.plans.index_store as store
+
+from quillrank.operators import retrieval
 from quillrank.operators.requests import prepare
 from quillrank.operators.retrieval import bag_of_words, score_words, top_per_shard
 from quillrank.plans.index_store import (
@@ -11,9 +17,10 @@ from quillrank.plans.index_store import (
     compact,
     create_index,
     open_index,
+    vacuum,
     write_documents,
 )
-from quillrank.plans.search import hybrid_search
+from quillrank.plans.search import hybrid_search, scored_search
 from quillrank.streaming.index_stream import stream_index
 
 OPTIONS = IndexOptions(num_shards=3, num_buckets=4, positions=True)
@@ -73,19 +80,87 @@ def test_same_documents_again_change_nothing(spark, folder):
     assert_same(write_documents(spark, folder("index"), docs), build_index(docs, OPTIONS))
 
 
-def test_segments_are_merged(spark, folder, monkeypatch):
-    monkeypatch.setattr("quillrank.plans.index_store.MAX_SEGMENTS", 2)
+def test_segments_are_merged_by_size(spark, folder, monkeypatch):
+    monkeypatch.setattr("quillrank.plans.index_store.SMALL_SEGMENT", 10)
+    written = []
+    real = store._Segment.write_docs
+    monkeypatch.setattr(store._Segment, "write_docs", lambda self, session, docs, **o: written.append(self.folder) or real(self, session, docs, **o))
     root = folder("index")
     options = IndexOptions(num_shards=2, num_buckets=2)
-    for n in range(4):
-        index = write_documents(spark, root, documents(spark, [n, n + 1], f"v{n}"), options)
-    expected = documents(spark, [0], "v0")
-    for n in range(1, 4):
-        expected = expected.unionByName(documents(spark, [n], f"v{n}"))
-    expected = expected.unionByName(documents(spark, [4], "v3"))
-    assert_same(index, build_index(expected, options))
-    commits = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/commits")
-    assert commits.agg(F.max("base")).first()[0] > 0
+    big = documents(spark, range(60), "big")
+    index = write_documents(spark, root, big, options)
+    expected = {n: "big" for n in range(60)}
+    for n in range(20):
+        index = write_documents(spark, root, documents(spark, [n, 100 + n], f"v{n}"), options)
+        expected.update({n: f"v{n}", 100 + n: f"v{n}"})
+    rows_of = [documents(spark, [n], mark) for n, mark in expected.items()]
+    assert_same(index, build_index(reduce(DataFrame.unionByName, rows_of), options))
+    last = store._newest(spark, root)
+    # The big segment stands as it was first written; small ones were merged.
+    assert last.segments[0].folder == written[0] and len(last.segments) <= 8 and len(written) < 40
+    before = rows(open_index(spark, root).docs.select("id", "title"))
+    assert vacuum(spark, root) and not vacuum(spark, root)
+    assert rows(open_index(spark, root).docs.select("id", "title")) == before
+
+
+def test_commit_of_new_ids_does_not_read_postings(spark, folder, monkeypatch):
+    root = folder("index")
+    create_index(spark, root, documents(spark, range(20)), OPTIONS)
+    monkeypatch.setattr(store, "_live_postings", lambda *_: pytest.fail("postings were read"))
+    monkeypatch.setattr(store, "_open", lambda *_: None)
+    write_documents(spark, root, documents(spark, range(20, 24)))
+    write_documents(spark, root, documents(spark, range(3), "again"))
+
+
+def test_two_writers_with_one_number(spark, folder, monkeypatch):
+    root = folder("index")
+    create_index(spark, root, documents(spark, range(6)), OPTIONS)
+    real = store._commit
+    raced = []
+
+    def late(session, at, number, *rest):
+        if not raced:
+            raced.append(number)
+            write_documents(session, at, documents(session, range(2), "first"))
+        return real(session, at, number, *rest)
+
+    monkeypatch.setattr(store, "_commit", late)
+    with pytest.raises(Exception):
+        write_documents(spark, root, documents(spark, range(4), "second"))
+    expected = documents(spark, range(2, 6)).unionByName(documents(spark, range(2), "first"))
+    assert_same(open_index(spark, root), build_index(expected, OPTIONS))
+
+
+def test_repeated_and_missing_ids(spark, folder):
+    docs = documents(spark, range(4), "old").unionByName(documents(spark, range(2), "new")).coalesce(1)
+    found = create_index(spark, folder("index"), docs, OPTIONS)
+    expected = documents(spark, range(2), "new").unionByName(documents(spark, range(2, 4), "old"))
+    assert_same(found, build_index(expected, OPTIONS))
+    with pytest.raises(Exception, match="no id"):
+        write_documents(spark, folder("index"), spark.createDataFrame([(None, "t", "b")], docs.schema))
+
+
+def test_first_vectors_decide_on_the_size(spark, folder):
+    rows_of = lambda *sizes: spark.createDataFrame(
+        [(f"v{n}", "t", "b", [1.0] * n) for n in sizes], "id string, title string, body string, title_vector array<float>"
+    )
+    with pytest.raises(ValueError, match="sizes"):
+        create_index(spark, folder("mixed"), rows_of(2, 3), OPTIONS)
+    create_index(spark, folder("index"), rows_of(2), OPTIONS)
+    with pytest.raises(Exception, match="expected 2"):
+        write_documents(spark, folder("index"), rows_of(3))
+
+
+def test_few_words_read_few_pages(spark, folder):
+    docs = spark.range(6000).selectExpr("concat('d', id) id", "concat('w', id) title", "concat('common b', id) body")
+    index = create_index(spark, folder("index"), docs, IndexOptions(num_shards=1, num_buckets=1))
+    requests = prepare(spark.createDataFrame([(1, "w77")], "query_id long, q string"))
+    scored = score_words(index, bag_of_words(index, requests))
+    assert scored.count() == 1
+    plan = scored._jdf.queryExecution().executedPlan()
+    scored.collect()
+    text = plan.toString()
+    assert "PushedFilters: [" in text and "EqualTo(term,w77)" in text
 
 
 def test_failed_commit_is_invisible_and_can_be_repeated(spark, folder, monkeypatch):
@@ -176,18 +251,36 @@ def test_replayed_batch_is_not_written_twice(spark, folder):
     assert_same(other, build_index(expected, OPTIONS))
 
 
-def test_large_query_vocabulary_takes_the_shuffled_path(spark, folder, monkeypatch):
+def test_large_query_vocabulary_keeps_postings_in_their_buckets(spark, folder, monkeypatch):
     index = create_index(spark, folder("index"), documents(spark, range(30)), OPTIONS)
     vectors = "query_id long, q string, query_vector array<float>"
     queries = spark.createDataFrame([(1, "common word1", [1.0]), (2, "body7 body8 title", None)], vectors)
-    broadcast = rows(hybrid_search(index, queries).hits)
-    monkeypatch.setattr("quillrank.operators.joins.MAX_BROADCAST_ROWS", 0)
-    monkeypatch.setattr("quillrank.operators.retrieval.MAX_BROADCAST_ROWS", 0)
+    usual = rows(hybrid_search(index, queries).hits)
+    monkeypatch.setattr("quillrank.operators.joins.MAX_BROADCAST_BYTES", 20 * 160)
+    requests = prepare(queries)
+    clauses = bag_of_words(index, requests)
+    assert len(retrieval._parts(index, clauses)) > 1
+    hashed, plan = exchanges(score_words(index, clauses))
+    assert "_salt" not in plan and not [e for e in hashed if "id#" in e.replace("query_id#", "")]
+    assert rows(hybrid_search(index, queries).hits) == usual
+    # Nothing may be broadcast: other joins, the same hits, and the scoring runs once.
+    monkeypatch.setattr("quillrank.operators.joins.MAX_BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        requests = prepare(queries)
-        _, plan = exchanges(score_words(index, bag_of_words(index, requests)))
-        assert "_salt" in plan and "Broadcast" not in plan
-        assert rows(hybrid_search(index, queries).hits) == broadcast
+        assert rows(hybrid_search(index, queries).hits) == usual
+        _, plan = exchanges(scored_search(index, prepare(queries)))
+        assert "postings" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+
+
+def test_stream_with_a_new_checkpoint_indexes_everything(spark, tmp_path, folder):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda i: json.dumps({"id": i, "title": i, "body": "b"})
+    (source / "a.json").write_text(line("a"))
+    stream_index(spark, f"file:{source}", folder("index"), folder("progress"), OPTIONS).awaitTermination()
+    shutil.rmtree(tmp_path / "progress")
+    (source / "b.json").write_text(line("b"))
+    stream_index(spark, f"file:{source}", folder("index"), folder("progress"), OPTIONS).awaitTermination()
+    assert rows(open_index(spark, folder("index")).docs.select("id")) == [("a",), ("b",)]

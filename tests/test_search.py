@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25, quantized_length, retrieval_limit
 from quillrank.functions.vectors import cosine, normalize
-from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts, hashing_model
+from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts
 from quillrank.operators.fusion import fuse
 from quillrank.operators.requests import Requests, prepare, rejected_queries
 from quillrank.operators.vector_columns import check_dimension, decode_vectors, encode_vectors
 from quillrank.plans.index_store import IndexOptions, build_index
 from quillrank.plans.search import hybrid_search, keyword_search, scored_search, shard_hits
+from registry.models import hashing_model
 from tests.brute import bm25, shard_of, stored_length
 
 SHARDS = 3
@@ -42,7 +43,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def index(spark, docs):
-    return build_index(docs, IndexOptions(num_shards=SHARDS, positions=True))
+    return build_index(docs, IndexOptions(num_shards=SHARDS, positions=True, analyzer="simple"))
 
 
 def ask(spark, rows):

@@ -1,26 +1,18 @@
 from types import SimpleNamespace
 
-import pytest
-
 from quillrank.session import bucket_count, input_bytes, shared_dir
 
 
-def session(master, configured=None):
-    conf = SimpleNamespace(get=lambda name, default=None: configured or default)
-    context = SimpleNamespace(master=master, applicationId="app", getConf=lambda: conf)
+def session(settings):
+    conf = SimpleNamespace(get=lambda name, default=None: settings.get(name, default))
+    context = SimpleNamespace(applicationId="app", getConf=lambda: conf)
     return SimpleNamespace(conf=conf, sparkContext=context)
 
 
-def test_shared_folder_is_the_configured_one():
-    assert shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
-    assert shared_dir(session("local[2]", "file:/shared")) == "file:/shared"
-
-
-def test_only_local_mode_makes_its_own_folder():
-    first = shared_dir(session("local[2]"))
-    assert first.startswith("file:") and shared_dir(session("local[2]")) == first
-    with pytest.raises(ValueError):
-        shared_dir(session("yarn"))
+def test_shared_folder_is_the_configured_one_or_below_the_warehouse():
+    both = {"spark.checkpoint.dir": "hdfs:///shared/", "spark.sql.warehouse.dir": "hdfs:///warehouse"}
+    assert shared_dir(session(both)) == "hdfs:///shared"
+    assert shared_dir(session({"spark.sql.warehouse.dir": "hdfs:///warehouse/"})) == "hdfs:///warehouse/quillrank_shared"
 
 
 def test_bucket_count(spark, tmp_path):

@@ -83,11 +83,13 @@ def test_ingest(spark, tmp_path, folder):
     lengths = [49, 50, 51, 2100, 10]
     path = tmp_path / "dump.xml"
     path.write_text("".join(page.format(n, "x" * size) for n, size in enumerate(lengths)))
-    counts = ingest_dump(spark, f"file:{path}", folder("out"), num_shards=3)
+    counts = ingest_dump(spark, f"file:{path}", folder("out"), num_shards=3, max_chars=2000)
     assert rows(counts) == [(3, 2)]
     back = spark.read.json(folder("out"))
     assert {(r.id, len(r.body)) for r in back.collect()} == {("wiki_2", 50), ("wiki_3", 51), ("wiki_4", 2000)}
     assert {"id", "title", "body", "indexed_at", "title_vector", "shard"} == set(back.columns)
+    ingest_dump(spark, f"file:{path}", folder("whole"))
+    assert {len(r.body) for r in spark.read.json(folder("whole")).collect()} == {50, 51, 2100}
 
 
 def test_jsonl(spark, tmp_path):
@@ -123,6 +125,24 @@ def test_index_json_last_line_wins(spark, tmp_path, folder):
     assert rows(index.docs.select("id", "title")) == [("0", "t10"), ("1", "t11"), ("2", "t12"), ("3", "t8"), ("4", "t9")]
 
 
+def test_index_json_writes_nothing_but_the_index(spark, tmp_path, folder, monkeypatch):
+    staged = []
+    monkeypatch.setattr("quillrank.sources.ordering.stage", lambda df, name: staged.append(name) or df)
+    path = tmp_path / "docs.jsonl"
+    path.write_text(json.dumps({"id": "a", "title": "t", "body": "b"}))
+    index_json(spark, f"file:{path}", folder("index"), IndexOptions(num_shards=2))
+    assert staged == []
+
+
+def test_numbers_run_over_many_files(spark, tmp_path):
+    for n in range(40):
+        lines = [json.dumps({"id": f"{n}-{i}", "title": "t", "body": "b"}) for i in range(n % 5)]
+        (tmp_path / f"f{n:02d}.jsonl").write_text("\n".join(lines))
+    docs = read_numbered_documents(spark, f"file:{tmp_path}").docs.orderBy("version").collect()
+    expected = [f"{n}-{i}" for n in range(40) for i in range(n % 5)]
+    assert [d.id for d in docs] == expected and [d.version for d in docs] == list(range(1, len(expected) + 1))
+
+
 def test_soft_cap():
     assert [soft_cap(n, 100) for n in (1, 100, 101)] == [100, 100, 200]
     assert soft_cap(7) == 7

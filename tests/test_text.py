@@ -1,5 +1,4 @@
 import hashlib
-import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,15 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillrank.functions.routing import shard_of
-from quillrank.functions.stemming import stem
+from quillrank.functions.stemming import with_stem
 from quillrank.functions.text import cache_key, clean_markup, is_long_enough
-from quillrank.operators.analysis import terms
-
-
-def expected_clean(raw):
-    """The cleaning rule in plain Python."""
-    text = re.sub(r"\'{2,3}|\[\[|\]\]|\{\{|\}\}|\[|\]", "", raw).translate(str.maketrans("\n\t", "  "))
-    return re.sub(r"\s{2,}", " ", text).strip()[:2000]
+from quillrank.operators.analysis import analyzed, build_postings, terms
 
 
 def column(spark, values, expression):
@@ -24,34 +17,40 @@ def column(spark, values, expression):
     return [r.y for r in sorted(found.collect())]
 
 
-CLEANING = [
-    "''a''",
-    "'''b'''",
-    "'''''c'''''",
-    "''''d''''",
-    "{x} {{y}} [[z|w]] [u]",
-    "a 　b  c  d",
-    "a\rb \r\n c",
-    "x\x1c\x1d\x1e\x1fy",
-    "\x85edge\x85",
-    "   both ends    ",
-    "\U0001f600" * 2001,
-    "a" * 1999 + " bcd",
-    "it's 'quoted' text",
-    "",
-    " \t\n ",
-    "[[[a]]] {{{b}}} }}{{",
-]
+# Raw text and what is left of it.
+CLEANING = {
+    "''a''": "a",
+    "'''b'''": "b",
+    "'''''c'''''": "c",
+    "''''d''''": "'d'",
+    "{x} {{y}} [[z|w]] [u]": "{x} y z|w u",
+    "a\u00a0\u3000b  c": "a b c",
+    "a\rb \r\n c": "a\rb c",
+    "x\x1c\x1d\x1e\x1fy": "x y",
+    "\x85edge\x85": "edge",
+    "   both ends    ": "both ends",
+    "one\ntwo\tthree": "one two three",
+    "it's 'quoted' text": "it's 'quoted' text",
+    "": "",
+    " \t\n ": "",
+    "[[[a]]] {{{b}}} }}{{": "a {b}",
+    "\U0001f600" * 2001: "\U0001f600" * 2001,
+}
 
 
 def test_cleaning(spark):
-    assert column(spark, CLEANING, clean_markup) == [expected_clean(x) for x in CLEANING]
+    assert column(spark, list(CLEANING), clean_markup) == list(CLEANING.values())
+    limited = column(spark, ["\U0001f600" * 2001, "a" * 1999 + " bcd", "short"], lambda c: clean_markup(c, 2000))
+    assert limited == ["\U0001f600" * 2000, "a" * 1999 + " ", "short"]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab'[]{}| \n\t\r\x0b\x1c\x85 　​\U0001f600", max_size=60), min_size=1, max_size=60))
+@given(st.lists(st.text(alphabet="ab'[]{}| \n\t\r\x0b\x1c\x85\u3000\u200b\U0001f600", max_size=60), min_size=1, max_size=60))
 def test_cleaning_of_any_text(spark, texts):
-    assert column(spark, texts, clean_markup) == [expected_clean(x) for x in texts]
+    for raw, clean in zip(texts, column(spark, texts, clean_markup), strict=True):
+        assert not set(clean) & set("[]\n\t") and "  " not in clean and clean == clean.strip() and len(clean) <= len(raw)
+        # Letters keep their number and order.
+        assert [c for c in clean if c in "ab\U0001f600"] == [c for c in raw if c in "ab\U0001f600"]
 
 
 def test_length_filter(spark):
@@ -86,17 +85,27 @@ def test_slots_keep_gaps(spark):
     assert found == [["a", None, "b"]]
 
 
-def test_stemmed_words(spark):
-    texts = ["Consigned consistency", None, "running RUNNING ran", "", "databases"]
-    expected = [["consign", "consist"], [], ["run", "run", "ran"], [], ["databas"]]
-    assert column(spark, texts, lambda c: terms(c, "en_stem")) == expected
-    gap = column(spark, ["running " + "x" * 40 + " cats"], lambda c: terms(c, "en_stem", slots=True))
-    assert gap == [["run", None, "cat"]]
+def test_stemmed_postings(spark):
+    docs = spark.createDataFrame([("a", 0, "Running RUNNING ran", "databases " + "x" * 40 + " cats"), ("b", 0, None, "")], "id string, shard int, title string, body string")
+    found = {(r.field, r.term): (r.tf, r.dl, r.positions) for r in build_postings(docs, "en_stem", positions=True).collect()}
+    assert found == {
+        ("title", "run"): (2, 3, [0, 1]),
+        ("title", "ran"): (1, 3, [2]),
+        ("body", "databas"): (1, 2, [0]),
+        ("body", "cat"): (1, 2, [2]),
+    }
+    plain = build_postings(docs, "en_stem")
+    assert {(r.field, r.term): r.tf for r in plain.collect()} == {k: v[0] for k, v in found.items()}
+    assert "Python" not in plain._sc._jvm.PythonSQLUtils.explainString(plain._jdf.queryExecution(), "simple")
+
+
+def test_longest_word_is_a_parameter(spark):
+    assert column(spark, ["abc abcd é"], lambda c: terms(c, max_bytes=3)) == [["abc", "é"]]
 
 
-def test_unknown_analyzer():
+def test_unknown_analyzer(spark):
     with pytest.raises(ValueError):
-        terms(None, "french")
+        analyzed(spark.range(1), "french")
 
 
 # Pairs given in the published description of the algorithm.
@@ -119,8 +128,9 @@ STEMS = {
 }
 
 
-def test_stemmer():
-    assert {word: stem(word) for word in STEMS} == STEMS
+def test_stemmer(spark):
+    rows = spark.createDataFrame([(w,) for w in [*STEMS, None]], "word string")
+    assert {r.word: r.stem for r in with_stem(rows, "word", "stem").collect()} == {**STEMS, None: None}
 
 
 def test_cache_key(spark):
