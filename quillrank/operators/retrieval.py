@@ -141,9 +141,11 @@ def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]
     """The clauses in as many ranges of terms as it takes to broadcast each, with a condition on postings.
 
     Postings lie in order of terms, so a range reads its own pages only, all ranges together read the index once, and
-    postings never leave their bucket however many words a batch has.
+    postings never leave their bucket however many words a batch has; between ranges only sums per query and document move.
     """
     n = -(-clauses.n_rows * index.num_shards // max(1, max_broadcast_rows()))
+    # Ranges are cut by a sample; twice as many leave room for uneven ones.
+    n = 2 * n if n > 1 else n
     if n <= 1:
         few = clauses.rows.select("term").where("term IS NOT NULL").distinct().limit(MAX_PUSHED_TERMS + 1)
         found = [r.term for r in few.collect()] if clauses.n_rows <= PUSHED_CLAUSES else []
