@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import keyed, text_or_empty
+from quillrank.llm.mixing import WORD
 
 
 def _reach(counts: Column, at: Column, words: int, *, back: bool) -> Column:
@@ -29,17 +30,12 @@ def _reach(counts: Column, at: Column, words: int, *, back: bool) -> Column:
     return F.when(counts[at] >= words, F.lit(1)).otherwise(summed)
 
 
-def _n_words(line: Column) -> Column:
-    """Words of a line, as the mix counts them; splitting at one character is far cheaper than an expression."""
-    return F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")).cast("long")
-
-
 def _windows(docs: DataFrame, words: int) -> DataFrame:
     """A row per window of each document: its lines ``lo`` to ``hi``, place ``s``, fingerprint and content hashes."""
     lines = F.transform(
         F.split(text_or_empty(), "\n"),
         lambda x, i: F.struct(
-            i.alias("p"), _n_words(x).alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")
+            i.alias("p"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")
         ),
     )
     docs = docs.select("_d", "_t", lines.alias("_l"))
