@@ -52,10 +52,9 @@ def _rows_before(files: DataFrame) -> DataFrame:
     """
     ranged = stage(files.repartitionByRange("src_file").withColumn("part", F.spark_partition_id()), "files")
     totals = ranged.groupBy("part").agg(F.sum("file_rows").alias("part_rows"))
-    earlier = totals.select(F.col("part").alias("earlier"), F.col("part_rows").alias("earlier_rows"))
-    # As many rows as there are shuffle partitions, whatever the number of files.
-    shifts = totals.join(F.broadcast(earlier), F.col("earlier") < F.col("part"), "left").groupBy("part")
-    shifts = shifts.agg(F.coalesce(F.sum("earlier_rows"), F.lit(0)).alias("shift"))
+    # One row per shuffle partition, whatever the number of files.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("part", F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("part").orderBy("src_file").rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.sum("file_rows").over(inside), F.lit(0))
     return ranged.withColumn("within", within).join(F.broadcast(shifts), "part").select(
