@@ -6,6 +6,8 @@ stays in generated code. Run it on distinct words, as ``quillrank.operators.anal
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +46,32 @@ _LI_BEFORE = "cdeghkmnrt"
 
 def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
     """``rows`` with the stem of column ``word``; null stays null. Columns ``_w`` to ``_done`` must not be there."""
+    steps, stem = _steps(word, rows.sparkSession.sparkContext.applicationId)
+    for name, value in steps:
+        rows = rows.withColumn(name, value)
+    return rows.withColumn(into, stem).drop("_w", "_r1", "_r2", "_suffix", "_base", *(["_done"] if into != "_done" else []))
+
+
+@lru_cache(maxsize=8)
+def _steps(word: str, application: str) -> tuple[list[tuple[str, Column]], Column]:
+    """The columns to add one after the other, and the stem at their end.
+
+    Making so many expressions takes the driver a second; they name columns only, so an application makes them once.
+    """
+    steps: list[tuple[str, Column]] = []
     w, base, suffix = F.col("_w"), F.col("_base"), F.col("_suffix")
     n, r1, r2 = F.length("_w"), F.col("_r1"), F.col("_r2")
 
     def region(text: Column, found: Column) -> Column:
         return F.when(found != "", F.length(found)).otherwise(F.length(text))
 
-    def cut(step: DataFrame, endings: list[str]) -> DataFrame:
+    def add(name: str, value: Column) -> None:
+        steps.append((name, value))
+
+    def cut(endings: list[str]) -> None:
         # Of all endings that fit, the match that starts first is the longest.
-        step = step.withColumn("_suffix", F.regexp_extract("_w", f"({'|'.join(endings)})$", 1))
-        return step.withColumn("_base", F.substring(w, F.lit(1), n - F.length(suffix)))
+        add("_suffix", F.regexp_extract("_w", f"({'|'.join(endings)})$", 1))
+        add("_base", F.substring(w, F.lit(1), n - F.length(suffix)))
 
     def replaced(pairs: list[tuple[str, str]]) -> Column:
         value = F.lit("")
@@ -64,14 +82,14 @@ def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
     special = F.lit(None).cast("string")
     for name, stem in _SPECIAL.items():
         special = F.when(F.col(word) == name, F.lit(stem)).otherwise(special)
-    rows = rows.withColumn("_done", F.when(F.length(word) <= 2, F.col(word)).otherwise(special))
+    add("_done", F.when(F.length(word) <= 2, F.col(word)).otherwise(special))
     # A y at the start or after a vowel acts as a consonant and is marked by a capital.
-    rows = rows.withColumn("_w", F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "^'", ""), "^y", "Y"), "([aeiouy])y", "$1Y"))
+    add("_w", F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "^'", ""), "^y", "Y"), "([aeiouy])y", "$1Y"))
     first = F.regexp_extract(w, f"^({'|'.join(_R1_PREFIXES)})|{_REGION}", 0)
-    rows = rows.withColumn("_r1", region(w, first))
+    add("_r1", region(w, first))
     rest = F.substring(w, r1 + 1, n)
-    rows = rows.withColumn("_r2", r1 + region(rest, F.regexp_extract(rest, _REGION, 0)))
-    rows = rows.withColumn("_w", F.regexp_replace("_w", "('s'|'s|')$", ""))
+    add("_r2", r1 + region(rest, F.regexp_extract(rest, _REGION, 0)))
+    add("_w", F.regexp_replace("_w", "('s'|'s|')$", ""))
 
     # Step 1a.
     plural = (
@@ -81,11 +99,11 @@ def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
         .when(w.rlike(f"{_VOWEL}.+s$"), F.substring(w, F.lit(1), n - 1))
         .otherwise(w)
     )
-    rows = rows.withColumn("_w", plural)
-    rows = rows.withColumn("_done", F.coalesce("_done", F.when(w.isin(*sorted(_FINAL_AFTER_1A)), w)))
+    add("_w", plural)
+    add("_done", F.coalesce("_done", F.when(w.isin(*sorted(_FINAL_AFTER_1A)), w)))
 
     # Step 1b.
-    rows = cut(rows, ["eedly", "ingly", "edly", "eed", "ing", "ed"])
+    cut(["eedly", "ingly", "edly", "eed", "ing", "ed"])
     past = (
         F.when(suffix == "", w)
         .when(suffix.startswith("ee"), F.when(F.length(base) >= r1, F.concat(base, F.lit("ee"))).otherwise(w))
@@ -95,25 +113,25 @@ def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
         .when((F.length(base) <= r1) & base.rlike(_SHORT_END), F.concat(base, F.lit("e")))
         .otherwise(base)
     )
-    rows = rows.withColumn("_w", past)
+    add("_w", past)
     # Step 1c.
-    rows = rows.withColumn("_w", F.regexp_replace("_w", "(?<=.[^aeiouy])[yY]$", "i"))
+    add("_w", F.regexp_replace("_w", "(?<=.[^aeiouy])[yY]$", "i"))
 
     # Steps 2, 3 and 4.
-    rows = cut(rows, [ending for ending, _ in _STEP2])
+    cut([ending for ending, _ in _STEP2])
     before = F.when(suffix == "ogi", base.endswith("l")).when(suffix == "li", base.rlike(f"[{_LI_BEFORE}]$")).otherwise(F.lit(True))
-    rows = rows.withColumn("_w", F.when((suffix != "") & (F.length(base) >= r1) & before, replaced(_STEP2)).otherwise(w))
-    rows = cut(rows, [ending for ending, _ in _STEP3])
+    add("_w", F.when((suffix != "") & (F.length(base) >= r1) & before, replaced(_STEP2)).otherwise(w))
+    cut([ending for ending, _ in _STEP3])
     start = F.when(suffix == "ative", r2).otherwise(r1)
-    rows = rows.withColumn("_w", F.when((suffix != "") & (F.length(base) >= start), replaced(_STEP3)).otherwise(w))
-    rows = cut(rows, _STEP4)
+    add("_w", F.when((suffix != "") & (F.length(base) >= start), replaced(_STEP3)).otherwise(w))
+    cut(_STEP4)
     before = (suffix != "ion") | base.rlike("[st]$")
-    rows = rows.withColumn("_w", F.when((suffix != "") & (F.length(base) >= r2) & before, base).otherwise(w))
+    add("_w", F.when((suffix != "") & (F.length(base) >= r2) & before, base).otherwise(w))
 
     # Step 5.
     shorter = F.substring(w, F.lit(1), n - 1)
     drop_e = w.endswith("e") & ((n - 1 >= r2) | ((n - 1 >= r1) & ~shorter.rlike(_SHORT_END)))
     drop_l = w.endswith("ll") & (n - 1 >= r2)
-    rows = rows.withColumn("_w", F.when(drop_e | drop_l, shorter).otherwise(w))
+    add("_w", F.when(drop_e | drop_l, shorter).otherwise(w))
     stem = F.coalesce("_done", F.replace(w, F.lit("Y"), F.lit("y")))
-    return rows.withColumn(into, stem).drop("_w", "_r1", "_r2", "_suffix", "_base", *(["_done"] if into != "_done" else []))
+    return steps, stem
