@@ -75,4 +75,72 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op6_url_filter": OP6, "op10_mixing": OP10}
+OP12 = r"""
+WITH judged AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(j.toxic, 0) AS toxic,
+         [(len(ws) < 50)::INT, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT,
+          (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT,
+          regexp_matches(text, '[#$%&*|]')::INT, (s.doc_id > min(s.doc_id) OVER (PARTITION BY text))::INT] AS f
+  FROM split s LEFT JOIN judged j ON s.doc_id = j.doc_id
+), masks AS (
+  SELECT part, f[1] + 2 * f[2] + 4 * f[3] + 8 * f[4] + 16 * f[5] AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM failed GROUP BY ALL
+), subsets AS (SELECT unnest(range(32)) AS s
+), survivors AS (
+  SELECT p.part, s, coalesce(sum(n) FILTER ((mask & s) = 0), 0) AS n, coalesce(sum(good) FILTER ((mask & s) = 0), 0) AS good,
+         coalesce(sum(toxic) FILTER ((mask & s) = 0), 0) AS toxic
+  FROM (SELECT DISTINCT part FROM masks) p CROSS JOIN subsets JOIN masks m ON m.part = p.part GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS own,
+         list_sum([0] || list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1)))::INT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)
+), counted AS (
+  SELECT b.part, filter_order, step, own, a.n AS kept, b.n - a.n AS removed, b.good - a.good AS good_lost, b.toxic - a.toxic AS toxic_lost
+  FROM steps JOIN survivors b ON b.s = before JOIN survivors a ON a.part = b.part AND a.s = before + own
+)
+SELECT c.part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       (z.n - o.n - removed)::BIGINT AS redundant, (r.n - l.n)::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY c.part, own))::BIGINT AS shapley
+FROM counted c JOIN survivors z ON z.part = c.part AND z.s = 0 JOIN survivors o ON o.part = c.part AND o.s = own
+JOIN survivors r ON r.part = c.part AND r.s = 31 - own JOIN survivors l ON l.part = c.part AND l.s = 31
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), grams AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[i:i + 9], ' ') AS gram
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+), found AS (
+  SELECT d, item_id, k, i FROM (
+    SELECT d, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram
+    FROM (SELECT d, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM grams) WHERE len(ws) >= k)
+  ) JOIN grams USING (k, gram)
+), hit AS (
+  SELECT d, count(DISTINCT w) AS n FROM (SELECT d, unnest(range(i, i + k)) AS w FROM found) GROUP BY d
+), items AS (
+  SELECT d, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT d, item_id::VARCHAR AS item FROM found) GROUP BY d
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (d) LEFT JOIN items USING (d)
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op6_url_filter": OP6, "op10_mixing": OP10, "op12_filter_audit": OP12, "op13_decontamination": OP13}

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import table
+from quillrank.llm.decontamination import find_leaks
 from quillrank.llm.embedding_dedup import vector_components
+from quillrank.llm.filter_audit import audit_filters
 from quillrank.llm.fingerprints import compare_with_edits
 from quillrank.llm.language_id import identify_languages
 from quillrank.llm.line_dedup import dedup_lines
@@ -76,6 +78,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -87,4 +105,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_vector_join": op9_vector_join,
     "op10_mixing": op10_mixing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_decontamination": op13_decontamination,
 }
