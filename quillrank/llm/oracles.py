@@ -75,6 +75,85 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def _more(path: str, cost: str, letter: str) -> str:
+    """A path, as its cost in eight digits and its letters, behind one more edit."""
+    return f"lpad((left({path}, 8)::INT + {cost})::VARCHAR, 8, '0') || '{letter}' || substr({path}, 9)"
+
+
+def _inserts(p: list[str]) -> str:
+    user = f"least({p[2]}, {_more(p[3], '2', 'I')})"
+    return f"""least({p[0]}, {_more(user, '2', 'I')}) AS p0, least({p[1]}, {_more(user, '2', 'I')}) AS p1,
+           {user} AS p2, least({p[3]}, {_more(p[2], '2', 'I')}) AS p3"""
+
+
+def _edits(state: int) -> str:
+    """The least path from before a row in a state: 0 at the start, 1 after system, 2 after user, 3 after assistant."""
+    to = 3 if state == 2 else 2
+    keeps = {0: [1, 2], 1: [2], 2: [3], 3: [2]}[state]
+    keep = " ".join(f"WHEN kind = {k} THEN {_more(f'p{k}', 'late', 'K')}" for k in keeps)
+    none = "'99999999'"
+    return f"""least({_more(f'p{state}', '3', 'D')}, CASE WHEN gone THEN {none} ELSE {_more(f'p{to}', '2 + late', 'R')} END,
+           CASE WHEN gone THEN {none} {keep} ELSE {none} END) AS e{state}"""
+
+
+# Paths are built from the last row back; the least string is the cheapest path, and of these the ASCII-least.
+OP11 = rf"""
+WITH RECURSIVE coded AS (
+  SELECT coalesce(conv_id, -9223372036854775808) AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), summed AS (
+  -- DuckDB has no CRC-32: bit by bit, over the bytes of an ASCII key.
+  SELECT key, 1 AS pos, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT key FROM coded)
+  UNION ALL
+  SELECT key, pos + 1, list_reduce([xor(crc, ascii(key[pos])::BIGINT)] || range(8),
+         lambda x, i: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)
+  FROM summed WHERE pos <= length(key)
+), hit AS (
+  SELECT c, turn, role, text, xor(crc, 4294967295::BIGINT) % 20 AS what FROM coded JOIN summed USING (key) WHERE pos = length(key) + 1
+), damaged AS (
+  SELECT c, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN what = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hit WHERE what <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY c) AS n,
+         coalesce(instr('sua', nullif(left(role, 1), '')), 0) AS kind, regexp_replace(text, '[ 	-
+]+$', '') AS said
+  FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN said = '' THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 2
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(kind) OVER (PARTITION BY c ORDER BY i) * 4 + kind AS pair
+  FROM placed
+), paths AS (
+  SELECT c, n AS i, '00000000' AS p0, '00000004II' AS p1, '00000002I' AS p2, '00000000' AS p3 FROM (SELECT DISTINCT c, n FROM faults)
+  UNION ALL
+  SELECT c, i, {_inserts(["e0", "e1", "e2", "e3"])}
+  FROM (SELECT c, i - 1 AS i, {", ".join(map(_edits, range(4)))}
+        FROM (SELECT p.*, f.kind, f.fault IN (1, 2) AS gone, (f.fault = 3)::INT AS late FROM paths p JOIN faults f ON p.c = f.c AND p.i = f.i))
+), best AS (
+  SELECT c, left(p0, 8)::BIGINT AS cost, substr(p0, 9) AS audit FROM paths WHERE i = 0
+), letters AS (
+  SELECT c, pos, audit[pos] AS edit, length(replace(left(audit, pos), 'I', '')) AS i, length(replace(left(audit, pos), 'D', '')) AS m
+  FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS pos FROM best)
+), turns AS (
+  SELECT l.*, f.role, f.text, max((m = 1 AND edit = 'K' AND f.kind = 1)::INT) OVER (PARTITION BY l.c) AS led
+  FROM letters l LEFT JOIN faults f ON f.c = l.c AND f.i = l.i AND edit <> 'I' WHERE edit <> 'D'
+), repaired AS (
+  SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+                       CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS lines
+  FROM turns GROUP BY c
+), counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 1)::INT) AS blank, sum((fault = 2)::INT) AS duplicate,
+         sum((fault = 3)::INT) AS truncated, sum((pair IS NOT NULL AND pair NOT IN (6, 11, 14))::INT) AS illegal
+  FROM faults GROUP BY c
+)
+SELECT nullif(g.c, -9223372036854775808) AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c FROM coded) g LEFT JOIN counted USING (c) LEFT JOIN best USING (c) LEFT JOIN repaired USING (c)
+"""
+
 OP12 = r"""
 WITH judged AS (
   SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
@@ -143,4 +222,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (d) LEFT JOIN items USING (d)
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op6_url_filter": OP6, "op10_mixing": OP10, "op12_filter_audit": OP12, "op13_decontamination": OP13}
+ORACLES = {"op1_line_dedup": OP1, "op6_url_filter": OP6, "op10_mixing": OP10, "op11_conversation_repair": OP11, "op12_filter_audit": OP12, "op13_decontamination": OP13}

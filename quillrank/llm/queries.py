@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import table
+from quillrank.llm.conversation_repair import audit_conversations, damage
 from quillrank.llm.decontamination import find_leaks
 from quillrank.llm.embedding_dedup import vector_components
 from quillrank.llm.filter_audit import audit_filters
@@ -78,6 +79,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return audit_conversations(damage(given), given)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,6 +111,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_vector_join": op9_vector_join,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_decontamination": op13_decontamination,
 }
