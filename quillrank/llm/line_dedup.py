@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import keyed, text_or_empty
+from quillrank.llm.common import keyed, stage, text_or_empty
 from quillrank.llm.mixing import WORD
 
 
@@ -74,18 +74,19 @@ def repeated_lines(docs: DataFrame, words: int = 50) -> DataFrame:
     is repeated and has that many words is a union of windows which are repeated with it, and it shares
     with its other occurrence the least line hash of each of them, at the same place. So:
 
-    1. The least line hash of every window is a fingerprint. Those found at one place only are dropped, and their windows with
-       them; no window that is repeated goes.
-    2. From each remaining fingerprint the match is extended both ways to its windows, whose lines are compared by
-       two 64-bit hashes. The first occurrence by (id, text hash, place) stays, each later one is a run to delete.
+    1. The least line hash of every window is selected as a fingerprint; neighbouring windows select the same line, so there
+       is one fingerprint for a few lines. Only these places are counted. What stands at one place only is dropped.
+    2. The places of the others are joined with the windows that selected them: from the fingerprint, a match extends both ways
+       to the bounds of each window whose lines agree, compared by two 64-bit hashes. The first occurrence by (id, text
+       hash, place) stays, each later one is a run to delete.
 
-    Fingerprints and windows are counted with partial aggregates, and no pairs are made: each occurrence meets only the
-    first of its kind. The joins are plain equi-joins whose heavy keys adaptive execution splits.
+    Texts are read once: windows are written as narrow rows. Fingerprints and windows are counted with partial aggregates, and no pairs
+    are made: each occurrence meets only the first of its kind. The joins are plain equi-joins whose heavy keys adaptive execution splits.
     """
-    windows = _windows(keyed(docs.select("doc_id", "text")), words)
+    windows = stage(_windows(keyed(docs.select("doc_id", "text")), words), "windows")
     place = F.struct("_d", "_t", "at")
-    met = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    met = met.filter("a <> b").select("fingerprint")
+    places = windows.select("fingerprint", "_d", "_t", "at").groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    met = places.filter("a <> b").select("fingerprint")
     matches = windows.join(met, "fingerprint", "left_semi")
     start = F.struct("_d", "_t", "s")
     first = matches.groupBy("w1", "w2").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first <> last")

@@ -31,11 +31,10 @@ def test_components_of_random_graphs(spark):
 
 def test_encoder_equals_the_tokenizers_library():
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = encoder(path("byte_bpe_50k.tiktoken"))
+    encode = encoder(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"))
     rng = random.Random(2)
     alphabet = "aB z'sé ß\n\t\r\x0b\x1c\x85  　中𝒳٣½_-<|>0‍\x00"
-    texts = ["", "<|endoftext|>", "it's  we'll \n\n x", *("".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(400))]
+    texts = ["", "<|endoftext|>", " a <|endoftext|>\n\n<|endoftext|>  <|endoftext| x<|endoftext|>y", "it's  we'll \n\n x", *("".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(400))]
     for text in texts:
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
