@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.functions.stemming import with_stem
 from quillrank.functions.text import MAX_TOKEN_BYTES, word_slots, words
+from quillrank.operators.stems import Dictionary, dictionary, stemmed
 from quillrank.schemas import FIELDS
+from quillrank.session import stage
 
 ANALYZERS = ("simple", "en_stem")
 
@@ -17,14 +20,15 @@ def terms(text: Column, *, slots: bool = False, max_bytes: int = MAX_TOKEN_BYTES
     return word_slots(text, max_bytes) if slots else words(text, max_bytes)
 
 
-def analyzed(rows: DataFrame, analyzer: str, column: str = "term") -> DataFrame:
-    """Rows with one word each, the word made the term that the analyzer makes of it."""
+def check_analyzer(analyzer: str) -> None:
     if analyzer not in ANALYZERS:
         raise ValueError(f"unknown analyzer: {analyzer}")
-    if analyzer == "simple":
-        return rows
-    order = rows.columns
-    return with_stem(rows, column, "_stem").drop(column).withColumnRenamed("_stem", column).select(*order)
+
+
+def analyzed(rows: DataFrame, analyzer: str, column: str = "term") -> DataFrame:
+    """Rows with one word each, the word made the term that the analyzer makes of it. ``rows`` are computed twice."""
+    check_analyzer(analyzer)
+    return rows if analyzer == "simple" else stemmed(rows, column, dictionary(rows, column))
 
 
 def document_words(docs: DataFrame, *, slots: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
@@ -34,34 +38,62 @@ def document_words(docs: DataFrame, *, slots: bool = False, max_bytes: int = MAX
     return split.select("id", "shard", F.inline(F.array(*per_field)))
 
 
-def build_postings(
-    docs: DataFrame, analyzer: str = "simple", *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES
-) -> DataFrame:
-    """Term frequency and field length per (document, field, term).
+def word_counts(docs: DataFrame, *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+    """Frequency of each word and field length per (document, field), words as they are written.
 
-    Partitioned by id (as a bucketed documents table is), this needs no shuffle. Words are counted before they
-    are stemmed, so each distinct word of a document is stemmed once. The outer
+    Partitioned by id (as a bucketed documents table is), this needs no shuffle. The outer
     explode is deliberate: Catalyst would analyze the text a second time for the non-empty
     filter it derives from the inner one.
     """
-    fields = document_words(docs, slots=positions, max_bytes=max_bytes)
     keys = ["shard", "field", "term", "id", "dl"]
+    fields = document_words(docs, slots=positions, max_bytes=max_bytes)
     if positions:
         fields = fields.withColumn("dl", F.size(F.array_compact("words")))
         exploded = fields.select("shard", "field", "id", "dl", F.posexplode_outer("words").alias("position", "term"))
-        grouped = exploded.where("term IS NOT NULL").groupBy(*keys)
-        counted = grouped.agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-        if analyzer != "simple":
-            counted = analyzed(counted, analyzer).groupBy(*keys).agg(
-                F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")
-            )
-        return counted.select("shard", "field", "term", "id", "tf", "dl", "positions")
-    fields = fields.withColumn("dl", F.size("words"))
-    exploded = fields.select("shard", "field", "id", "dl", F.explode_outer("words").alias("term"))
-    counted = exploded.where("term IS NOT NULL").groupBy(*keys).agg(F.count("*").cast("int").alias("tf"))
-    if analyzer != "simple":
-        counted = analyzed(counted, analyzer).groupBy(*keys).agg(F.sum("tf").cast("int").alias("tf"))
-    return counted.select("shard", "field", "term", "id", "tf", "dl")
+        counts = [F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")]
+    else:
+        fields = fields.withColumn("dl", F.size("words"))
+        exploded = fields.select("shard", "field", "id", "dl", F.explode_outer("words").alias("term"))
+        counts = [F.count("*").cast("int").alias("tf")]
+    counted = exploded.where("term IS NOT NULL").groupBy(*keys).agg(*counts)
+    return counted.select("shard", "field", "term", "id", "tf", "dl", *(["positions"] if positions else []))
+
+
+def as_stems(counted: DataFrame, found: Dictionary) -> DataFrame:
+    """Word counts as counts of stems; words of one stem in a document become one row."""
+    keys = ["shard", "field", "term", "id", "dl"]
+    counts = [F.sum("tf").cast("int").alias("tf")]
+    if "positions" in counted.columns:
+        counts.append(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return stemmed(counted, "term", found).groupBy(*keys).agg(*counts).select(*counted.columns)
+
+
+def build_postings(docs: DataFrame, analyzer: str = "simple", *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+    """Term frequency and field length per (document, field, term)."""
+    return postings_and_stems(docs, analyzer, positions=positions, max_bytes=max_bytes)[0]
+
+
+def postings_and_stems(
+    docs: DataFrame,
+    analyzer: str = "simple",
+    *,
+    positions: bool = False,
+    max_bytes: int = MAX_TOKEN_BYTES,
+    known: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, Dictionary | None]:
+    """Postings, and the dictionary of stems of an analyzer that has one.
+
+    To stem them, word counts are written by ``keep`` (default: to the shared folder), so that texts are split
+    once; the distinct words that ``known (word, stem)`` does not have are stemmed, and the counts look their stems up.
+    """
+    check_analyzer(analyzer)
+    counted = word_counts(docs, positions=positions, max_bytes=max_bytes)
+    if analyzer == "simple":
+        return counted, None
+    counted = keep(counted) if keep is not None else stage(counted, "word-counts")
+    found = dictionary(counted, "term", known)
+    return as_stems(counted, found), found
 
 
 def query_terms(

@@ -22,14 +22,15 @@ from pyspark.sql.types import StructType
 
 from quillrank.functions.routing import shard_of
 from quillrank.functions.text import MAX_TOKEN_BYTES
-from quillrank.operators.analysis import build_postings
+from quillrank.operators.analysis import postings_and_stems
 from quillrank.operators.ingest import latest_versions
 from quillrank.operators.joins import lookup_join
 from quillrank.operators.retrieval import Index
 from quillrank.operators.statistics import combine_field_stats, field_lengths, field_stats, shard_stats, term_stats
+from quillrank.operators.stems import Dictionary
 from quillrank.operators.vector_columns import check_dimension
 from quillrank.schemas import INDEX_DOC_COLUMNS, POSTING_COLUMNS
-from quillrank.session import remove_folder
+from quillrank.session import new_folder, remove_folder
 
 _COMMIT = (
     "commit bigint, attempt string, num_shards int, num_buckets int, analyzer string, positions boolean, "
@@ -58,7 +59,7 @@ class IndexOptions:
 def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Index:
     """An index as lazy DataFrames, nothing written; for one-off use on modest data."""
     prepared = _prepared(docs, options).repartition("id")
-    postings = _postings(prepared, options)
+    postings, _ = _postings(prepared, options)
     terms = term_stats(postings)
     return Index(
         prepared,
@@ -72,8 +73,8 @@ def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Inde
     )
 
 
-def _postings(docs: DataFrame, options: IndexOptions) -> DataFrame:
-    return build_postings(docs, options.analyzer, positions=options.positions, max_bytes=options.max_token_bytes)
+def _postings(docs: DataFrame, options: IndexOptions, **more) -> tuple[DataFrame, Dictionary | None]:
+    return postings_and_stems(docs, options.analyzer, positions=options.positions, max_bytes=options.max_token_bytes, **more)
 
 
 def _prepared(docs: DataFrame, options: IndexOptions) -> DataFrame:
@@ -141,7 +142,11 @@ def write_documents(
         added = attempt.write_docs(spark, _prepared(ordered, options))
     options = _with_dimension(added, options)
     n_added = added.count()
-    new_postings = attempt.write_postings(spark, _postings(added, options))
+    known = _stems(spark, root, last) if last is not None else None
+    postings, stems = _postings(added, options, known=known, keep=attempt.keep_words)
+    new_postings = attempt.write_postings(spark, postings)
+    if stems is not None:
+        attempt.write_stats(spark, "stems", stems.added)
     changes = term_stats(new_postings)
     if last is None:
         terms = attempt.write_stats(spark, "term_stats", changes)
@@ -155,7 +160,8 @@ def write_documents(
         doc_counts = shard_stats(added)
         if not dead.isEmpty():
             replaced = lookup_join(current.select(*INDEX_DOC_COLUMNS), ids, ["id"], "left_semi", bound=n_added)
-            changes = _signed(changes, term_stats(_postings(replaced, options)), ["shard", "field", "term"])
+            gone, _ = _postings(replaced, options, known=known)
+            changes = _signed(changes, term_stats(gone), ["shard", "field", "term"])
             changes = changes.where("df <> 0 OR total_tf <> 0")
             doc_counts = _signed(doc_counts, shard_stats(dead), ["shard"])
         terms = attempt.write_stats(spark, "term_stats", changes)
@@ -184,7 +190,7 @@ def vacuum(spark: SparkSession, root: str) -> list[str]:
     last = _newest(spark, root)
     used = {s.folder for s in last.segments}
     gone = []
-    for kind in ("docs", "postings", "term_stats", "field_stats", "dead"):
+    for kind in ("docs", "postings", "term_stats", "field_stats", "dead", "stems"):
         for folder in _folders(spark, f"{root}/{kind}"):
             if folder not in used:
                 spark.sql(f"DROP TABLE IF EXISTS {_Segment(root, 0, folder, _options(last)).table(kind)}")
@@ -250,6 +256,10 @@ def _merge(spark: SparkSession, root: str, last: Row, merged: list[Row]) -> Row:
     attempt.write_stats(spark, "term_stats", terms)
     fields = _stats(spark, root, merged, "field_stats").groupBy("shard", "field")
     attempt.write_stats(spark, "field_stats", fields.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")))
+    stems = _stems(spark, root, last)
+    if stems is not None:
+        merged_stems = [f"{root}/stems/{s.folder}" for s in merged if s.folder in set(_folders(spark, f"{root}/stems"))]
+        attempt.write_stats(spark, "stems", spark.read.schema(stems.schema).parquet(*merged_stems) if merged_stems else stems.limit(0))
     kept = [s for s in last.segments if s.number not in numbers]
     if kept:
         # Rows that are dead in segments which stay are still so.
@@ -286,6 +296,14 @@ class _Segment:
         # Sorted by term: a term's rows of a bucket share pages, and the others' pages can be skipped.
         return self._write_bucketed(spark, "postings", postings, "term", "field")
 
+    def keep_words(self, counted: DataFrame) -> DataFrame:
+        """Word counts written for the time of one commit, bucketed as the postings made of them."""
+        spark = counted.sparkSession
+        path, name = new_folder(spark, "word-counts"), f"quillrank_words_{uuid.uuid4().hex}"
+        writer = counted.write.bucketBy(self.options.num_buckets, "id").option("path", path)
+        writer.saveAsTable(name)
+        return spark.table(name)
+
     def _write_bucketed(self, spark: SparkSession, kind: str, rows: DataFrame, *sort: str) -> DataFrame:
         spark.sql(f"DROP TABLE IF EXISTS {self.table(kind)}")
         writer = rows.write.mode("overwrite").bucketBy(self.options.num_buckets, "id").sortBy(*sort)
@@ -382,6 +400,16 @@ def _live_postings(spark: SparkSession, root: str, last: Row, numbers: list[int]
     return _union_live(spark, root, last, "postings", "term, field", columns, numbers)
 
 
+def _stems(spark: SparkSession, root: str, last: Row) -> DataFrame | None:
+    """The stems of all words that the index has met, of an analyzer that has any."""
+    if last.analyzer == "simple":
+        return None
+    schema = "word string, stem string"
+    known = set(_folders(spark, f"{root}/stems"))
+    paths = [f"{root}/stems/{s.folder}" for s in last.segments if s.folder in known]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def _stats(spark: SparkSession, root: str, segments: list[Row], kind: str) -> DataFrame:
     return spark.read.parquet(*[f"{root}/{kind}/{s.folder}" for s in segments])
 

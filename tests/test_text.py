@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from quillrank.functions.routing import shard_of
 from quillrank.functions.stemming import with_stem
 from quillrank.functions.text import cache_key, clean_markup, is_long_enough
 from quillrank.operators.analysis import analyzed, build_postings, terms
+from quillrank.operators.stems import dictionary, stemmed
 
 
 def column(spark, values, expression):
@@ -99,6 +101,34 @@ def test_stemmed_postings(spark):
     assert "Python" not in plain._sc._jvm.PythonSQLUtils.explainString(plain._jdf.queryExecution(), "simple")
 
 
+@pytest.mark.parametrize("max_rows", [None, 40, 3, 0])
+def test_dictionary_of_any_size(spark, max_rows):
+    """Broadcast whole, its frequent words only, or none of it; null words stay."""
+    words = [w for i, w in enumerate(STEMS) for _ in range(1 + i % 9)] + [None]
+    rows = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "n int, term string")
+    found = dictionary(rows, "term")
+    assert {r.n: r.term for r in stemmed(rows, "term", found, max_rows).collect()} == {n: STEMS.get(w) for n, w in enumerate(words)}
+
+
+def test_known_words_are_not_stemmed_again(spark):
+    rows = spark.createDataFrame([("cats",), ("knives",), ("cats",)], "term string")
+    known = spark.createDataFrame([("cats", "KNOWN"), ("dogs", "dog")], "word string, stem string")
+    found = dictionary(rows, "term", known)
+    assert [tuple(r) for r in found.added.collect()] == [("knives", "knive")]
+    assert sorted(r.term for r in stemmed(rows, "term", found).collect()) == ["KNOWN", "KNOWN", "knive"]
+
+
+def test_filters_on_stems_are_planned_at_once(spark):
+    docs = spark.createDataFrame([("a", 0, "Running", "databases and cats")], "id string, shard int, title string, body string")
+    begin = time.monotonic()
+    found = build_postings(docs, "en_stem").where("term > 'd' AND term LIKE 'r%' AND length(term) > 1").collect()
+    assert [r.term for r in found] == ["run"] and time.monotonic() - begin < 20
+    plan = build_postings(docs, "en_stem").where("term IS NOT NULL AND term <> 'x'")
+    begin = time.monotonic()
+    plan._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - begin < 5
+
+
 def test_longest_word_is_a_parameter(spark):
     assert column(spark, ["abc abcd é"], lambda c: terms(c, max_bytes=3)) == [["abc", "é"]]
 
