@@ -22,6 +22,20 @@ class Requests:
     n_queries: int
     max_limit: int
 
+    def by_limit(self) -> list[Requests]:
+        """The batch in parts of similar limits: in each, the largest limit for all queries is at most twice their own limits."""
+        level = F.ceil(F.log2("k"))
+        sizes = self.rows.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max("k").alias("k"))
+        parts: list[list[int]] = []  # highest level, lowest, queries, sum of limits, largest limit
+        for size in sizes.orderBy(F.desc("level")).collect():  # a row per power of two
+            if parts and (parts[-1][2] + size.n) * parts[-1][4] <= 2 * (parts[-1][3] + size.total):
+                parts[-1][1:4] = size.level, parts[-1][2] + size.n, parts[-1][3] + size.total
+            else:
+                parts.append([size.level, size.level, size.n, size.total, size.k])
+        if len(parts) <= 1:
+            return [self]
+        return [Requests(self.rows.where(level.between(low, high)), n, k) for high, low, n, _, k in parts]
+
 
 def check_queries(queries: DataFrame, *, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Fill in defaults and add ``reason``: null for a valid query, else what is wrong with it.

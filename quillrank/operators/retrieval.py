@@ -32,6 +32,9 @@ PUSHED_CLAUSES = 1000
 # Ranges of terms that a batch is cut into at most; beyond it their joins are shuffled with salt.
 MAX_RANGES = 256
 
+# Bytes of one use of a word by a query, as broadcast.
+USE_BYTES = 64
+
 _MASK_BITS = 62
 
 
@@ -67,6 +70,7 @@ class Clauses:
 
     rows: DataFrame
     n_rows: int
+    n_terms: int
     max_must: int
     has_phrases: bool
 
@@ -131,10 +135,11 @@ def _staged(rows: DataFrame) -> Clauses:
     rows = stage(rows, "clauses")
     size = rows.agg(
         F.count("*").alias("n"),
+        F.count_distinct("field", "term").alias("terms"),
         F.coalesce(F.max("must_no") + 1, F.lit(0)).alias("must"),
         F.coalesce(F.max(F.col("n_words") > 1), F.lit(False)).alias("phrases"),
     ).first()
-    return Clauses(rows, size["n"], size["must"], size["phrases"])
+    return Clauses(rows, size["n"], size["terms"], size["must"], size["phrases"])
 
 
 def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]]:
@@ -143,7 +148,7 @@ def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]
     Postings lie in order of terms, so a range reads its own pages only, all ranges together read the index once, and
     postings never leave their bucket however many words a batch has; between ranges only sums per query and document move.
     """
-    n = -(-clauses.n_rows * index.num_shards // max(1, max_broadcast_rows()))
+    n = -(-clauses.n_terms * index.num_shards // max(1, max_broadcast_rows()))
     # Ranges are cut by a sample; twice as many leave room for uneven ones.
     n = 2 * n if n > 1 else n
     if n <= 1:
@@ -151,15 +156,16 @@ def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]
         found = [r.term for r in few.collect()] if clauses.n_rows <= PUSHED_CLAUSES else []
         wanted = [F.col("term") == word for word in found]
         return [(clauses, reduce(or_, wanted) if 0 < len(wanted) <= MAX_PUSHED_TERMS else None)]
-    counts = clauses.rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+    counts = clauses.rows.where("term IS NOT NULL").groupBy("term")
+    counts = counts.agg(F.count("*").alias("n"), F.count_distinct("field").alias("terms"))
     ranges = counts.repartitionByRange(min(n, MAX_RANGES), "term").groupBy(F.spark_partition_id().alias("part"))
-    starts = ranges.agg(F.min("term").alias("start"), F.sum("n").alias("n")).orderBy("start").collect()
+    starts = ranges.agg(F.min("term").alias("start"), F.sum("n").alias("n"), F.sum("terms").alias("terms")).orderBy("start").collect()
     parts = []
     for i, row in enumerate(starts):
         inside = F.lit(True) if i == 0 else F.col("term") >= row.start
         if i + 1 < len(starts):
             inside = inside & (F.col("term") < starts[i + 1].start)
-        parts.append((replace(clauses, rows=clauses.rows.where(inside), n_rows=row.n), inside))
+        parts.append((replace(clauses, rows=clauses.rows.where(inside), n_rows=row.n, n_terms=row.terms), inside))
     return parts or [(clauses, None)]
 
 
@@ -168,7 +174,7 @@ def _weighted_postings(index: Index, clauses: Clauses, columns: list[str], insid
     if inside is not None:
         index = replace(index, postings=index.postings.where(inside), term_counts=index.term_counts.where(inside))
     vocabulary = clauses.rows.select("field", "term").distinct()
-    wanted = sum_term_counts(lookup_join(index.term_counts, vocabulary, ["field", "term"], bound=clauses.n_rows))
+    wanted = sum_term_counts(lookup_join(index.term_counts, vocabulary, ["field", "term"], bound=clauses.n_terms))
     weights = lookup_join(wanted, index.field_stats, ["shard", "field"], bound=len(FIELDS) * index.num_shards).select(
         "shard",
         "field",
@@ -180,11 +186,24 @@ def _weighted_postings(index: Index, clauses: Clauses, columns: list[str], insid
         index.postings.select("shard", "field", "term", "id", "tf", "dl", *columns),
         weights,
         ["shard", "field", "term"],
-        bound=clauses.n_rows * index.num_shards,
+        bound=clauses.n_terms * index.num_shards,
         salts=HOT_TERM_SALTS,
     )
 
 
+def joined_uses(rows: DataFrame, uses: DataFrame, on: list[str], n_uses: int) -> DataFrame:
+    """``rows`` once for each of the ``n_uses`` uses of their word.
+
+    The uses of a word are broadcast as one row, which takes a fraction of the room that a row for each would; beyond the
+    bound both sides are shuffled, with salt.
+    """
+    columns = [c for c in uses.columns if c not in on]
+    if n_uses > max_broadcast_rows(USE_BYTES):
+        return lookup_join(rows, uses, on, bound=n_uses, salts=HOT_TERM_SALTS)
+    listed = uses.groupBy(*on).agg(F.collect_list(F.struct(*columns)).alias("_uses"))
+    return rows.join(F.broadcast(listed), on).select("*", F.inline("_uses")).drop("_uses")
+
+
 def _term_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     found = [_range_matches(index, part, bm25, inside) for part, inside in _parts(index, clauses)]
     return reduce(DataFrame.unionByName, found)
@@ -195,7 +214,7 @@ def _range_matches(index: Index, clauses: Clauses, bm25: Bm25, inside: Column |
     # Weighed once per posting, before the fan-out to the queries that share the term.
     weighed = _weighted_postings(index, clauses, [], inside).select("shard", "id", "field", "term", weight.alias("weight"))
     single = clauses.rows.where("n_words = 1").select("query_id", "occur", "must_no", "boost", "field", "term")
-    return lookup_join(weighed, single, ["field", "term"], bound=clauses.n_rows, salts=HOT_TERM_SALTS).select(
+    return joined_uses(weighed, single, ["field", "term"], clauses.n_rows).select(
         "query_id", "occur", "must_no", "shard", "id", (F.col("boost") * F.col("weight")).alias("score")
     )
 
@@ -204,25 +223,19 @@ def _phrase_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     if not index.positions:
         raise ValueError("phrases need an index built with positions")
     phrases = replace(clauses, rows=clauses.rows.where("n_words > 1"))
-    found = lookup_join(
-        _weighted_postings(index, phrases, ["positions"]),
-        phrases.rows,
-        ["field", "term"],
-        bound=clauses.n_rows,
-        salts=HOT_TERM_SALTS,
-    )
-    each_start = F.transform("positions", lambda position: position - F.col("word_offset"))
-    starts = found.select("*", F.explode(each_start).alias("start"))
+    rows = phrases.rows.select("query_id", "clause_id", "occur", "must_no", "boost", "n_words", "word_offset", "field", "term")
+    found = joined_uses(_weighted_postings(index, phrases, ["positions"]), rows, ["field", "term"], clauses.n_rows)
     phrase = [
         "query_id", "clause_id", "occur", "must_no", "boost", "n_words", "shard", "id", "field", "dl", "avg_dl"
     ]
-    hits = (
-        starts.groupBy(*phrase, "start")
-        .agg(F.count("*").alias("n_found"), F.sum("idf").alias("idf"))
-        .where("n_found = n_words")
-        .groupBy(*phrase)
-        .agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
+    starts = F.transform("positions", lambda position: position - F.col("word_offset"))
+    # The rarest word's places first: each intersection is at most as long as the shortest list.
+    words = found.groupBy(*phrase).agg(
+        F.sum("idf").alias("idf"), F.array_sort(F.collect_list(F.struct(F.size("positions").alias("n"), starts.alias("starts")))).alias("words")
     )
+    rest = F.slice("words", F.lit(2), F.size("words"))
+    common = F.aggregate(rest, F.col("words")[0]["starts"], lambda left, word: F.array_intersect(left, word["starts"]))
+    hits = words.where(F.size("words") == F.col("n_words")).withColumn("tf", F.size(common)).where("tf > 0")
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
     return hits.select("query_id", "occur", "must_no", "shard", "id", (F.col("boost") * weight).alias("score"))
 

@@ -13,6 +13,28 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("shard", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
+def term_counts(postings: DataFrame) -> DataFrame:
+    """``term_stats`` with what bounds a term's weight: its largest frequency, and the least field length per frequency."""
+    return postings.groupBy("shard", "field", "term").agg(
+        F.count("*").alias("df"),
+        F.sum("tf").alias("total_tf"),
+        F.max("tf").alias("max_tf"),
+        F.min(F.col("dl") / F.col("tf")).alias("min_ratio"),
+    )
+
+
+def sum_term_rows(counts: DataFrame) -> DataFrame:
+    """One row per term of counts that may be split over rows or taken back by negative ones."""
+    sums = [F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"), F.max("max_tf").alias("max_tf"), F.min("min_ratio").alias("min_ratio")]
+    return counts.groupBy("shard", "field", "term").agg(*sums).where("df <> 0 OR total_tf <> 0")
+
+
+def sum_term_bounds(counts: DataFrame) -> DataFrame:
+    """``sum_term_counts`` with the bounds; those of documents that are gone may be wider than need be."""
+    bounds = [F.max("max_tf").alias("max_tf"), F.min("min_ratio").alias("min_ratio")]
+    return counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df"), *bounds).where("df > 0")
+
+
 def sum_term_counts(counts: DataFrame) -> DataFrame:
     """Document frequency per (shard, field, term), from counts that may be split over rows."""
     return counts.groupBy("shard", "field", "term").agg(F.sum("df").alias("df")).where("df > 0")

@@ -26,7 +26,7 @@ from quillrank.operators.analysis import postings_and_stems
 from quillrank.operators.ingest import latest_versions
 from quillrank.operators.joins import lookup_join
 from quillrank.operators.retrieval import Index
-from quillrank.operators.statistics import combine_field_stats, field_lengths, field_stats, shard_stats, term_stats
+from quillrank.operators.statistics import combine_field_stats, field_lengths, field_stats, shard_stats, sum_term_rows, term_counts
 from quillrank.operators.stems import Dictionary
 from quillrank.operators.vector_columns import check_dimension
 from quillrank.schemas import INDEX_DOC_COLUMNS, POSTING_COLUMNS
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Inde
     """An index as lazy DataFrames, nothing written; for one-off use on modest data."""
     prepared = _prepared(docs, options).repartition("id")
     postings, _ = _postings(prepared, options)
-    terms = term_stats(postings)
+    terms = term_counts(postings)
     return Index(
         prepared,
         postings,
@@ -147,7 +147,7 @@ def write_documents(
     new_postings = attempt.write_postings(spark, postings)
     if stems is not None:
         attempt.write_stats(spark, "stems", stems.added)
-    changes = term_stats(new_postings)
+    changes = term_counts(new_postings)
     if last is None:
         terms = attempt.write_stats(spark, "term_stats", changes)
         attempt.write_stats(spark, "field_stats", field_stats(added, terms))
@@ -161,8 +161,8 @@ def write_documents(
         if not dead.isEmpty():
             replaced = lookup_join(current.select(*INDEX_DOC_COLUMNS), ids, ["id"], "left_semi", bound=n_added)
             gone, _ = _postings(replaced, options, known=known)
-            changes = _signed(changes, term_stats(gone), ["shard", "field", "term"])
-            changes = changes.where("df <> 0 OR total_tf <> 0")
+            gone = term_counts(gone).selectExpr("shard", "field", "term", "-df AS df", "-total_tf AS total_tf", "NULL AS max_tf", "NULL AS min_ratio")
+            changes = sum_term_rows(changes.unionByName(gone))
             doc_counts = _signed(doc_counts, shard_stats(dead), ["shard"])
         terms = attempt.write_stats(spark, "term_stats", changes)
         attempt.write_stats(spark, "field_stats", combine_field_stats(doc_counts, field_lengths(terms)))
@@ -251,9 +251,7 @@ def _merge(spark: SparkSession, root: str, last: Row, merged: list[Row]) -> Row:
     numbers = [s.number for s in merged]
     docs = attempt.write_docs(spark, _documents(spark, root, last, numbers).select(*INDEX_DOC_COLUMNS), dealt=True)
     attempt.write_postings(spark, _live_postings(spark, root, last, numbers))
-    terms = _stats(spark, root, merged, "term_stats").groupBy("shard", "field", "term")
-    terms = terms.agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf")).where("df <> 0 OR total_tf <> 0")
-    attempt.write_stats(spark, "term_stats", terms)
+    attempt.write_stats(spark, "term_stats", sum_term_rows(_stats(spark, root, merged, "term_stats")))
     fields = _stats(spark, root, merged, "field_stats").groupBy("shard", "field")
     attempt.write_stats(spark, "field_stats", fields.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")))
     stems = _stems(spark, root, last)

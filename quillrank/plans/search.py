@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25
 from quillrank.operators.fusion import fuse
+from quillrank.operators.pruning import pays, pruned_scores
 from quillrank.operators.reports import hybrid_report, keyword_report
 from quillrank.operators.requests import Requests, prepare
 from quillrank.operators.retrieval import (
@@ -39,14 +41,20 @@ def shard_hits(
 ) -> DataFrame:
     """Best hits of every shard, ``(query_id, shard, id, bm25_score, shard_rank)``.
 
-    Queries are bags of words unless ``clauses`` says otherwise.
+    Queries are bags of words unless ``clauses`` says otherwise. Queries of similar limits are searched together, as each task
+    keeps the largest limit for all of them.
     """
-    if clauses is None:
-        scored = score_words(index, bag_of_words(index, requests, dedupe_terms=dedupe_terms), bm25)
-    else:
-        valid = clauses.join(requests.rows.select("query_id"), "query_id", "left_semi")
-        scored = score_clauses(index, structured(index, valid), bm25)
-    return top_per_shard(scored, requests)
+
+    def hits(part: Requests) -> DataFrame:
+        if clauses is None:
+            bag = bag_of_words(index, part, dedupe_terms=dedupe_terms)
+            scored = pruned_scores(index, bag, part, bm25).scores if pays(index, bag, part) else score_words(index, bag, bm25)
+        else:
+            valid = clauses.join(part.rows.select("query_id"), "query_id", "left_semi")
+            scored = score_clauses(index, structured(index, valid), bm25)
+        return top_per_shard(scored, part)
+
+    return reduce(DataFrame.unionByName, [hits(part) for part in requests.by_limit()])
 
 
 def keyword_search(index: Index, queries: DataFrame, **options) -> Search:

@@ -8,7 +8,9 @@ from quillrank.functions.scoring import Bm25, quantized_length, retrieval_limit
 from quillrank.functions.vectors import cosine, normalize
 from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts
 from quillrank.operators.fusion import fuse
+from quillrank.operators.pruning import pays, pruned_scores
 from quillrank.operators.requests import Requests, prepare, rejected_queries
+from quillrank.operators.retrieval import bag_of_words, score_words, top_per_shard
 from quillrank.operators.vector_columns import check_dimension, decode_vectors, encode_vectors
 from quillrank.plans.index_store import IndexOptions, build_index
 from quillrank.plans.search import hybrid_search, keyword_search, scored_search, shard_hits
@@ -289,3 +291,45 @@ def test_failing_model_leaves_documents_without_vectors(spark):
 def test_documents_are_spread_as_expected(index):
     found = {r.id: r.shard for r in index.docs.select("id", "shard").collect()}
     assert found == {d[0]: shard_of(d[0], SHARDS) for d in DOCS}
+
+
+def test_pruned_scores_have_the_same_best(spark, docs, index, monkeypatch):
+    """Thresholds from any number of probed documents, limits below and above what a shard has, repeated words."""
+    asked = [(n, q, None, limit) for n, (q, limit) in enumerate([(q, k) for _, q in QUERIES for k in (1, 2, 5, 60)])]
+    requests = prepare(ask(spark, asked))
+    for built, dedupe, probe, norm in [(index, True, 1, "exact"), (index, False, 32, "quantized")]:
+        monkeypatch.setattr("quillrank.operators.pruning.PROBE", probe)
+        bag = bag_of_words(built, requests, dedupe_terms=dedupe)
+        bm25_model = Bm25(length_norm=norm)
+        pruned = pruned_scores(built, bag, requests, bm25_model)
+        assert by_shard(top_per_shard(pruned.scores, requests)) == by_shard(top_per_shard(score_words(built, bag, bm25_model), requests))
+
+
+def test_pruning_leaves_common_words_to_candidates(spark):
+    """Words in every document cannot lift one into the hits of a rare word."""
+    rows = [(f"d{n}", "", "common words " + ("rare " * 3 if n % 50 == 0 else "") + "filler " * (n % 7), None) for n in range(400)]
+    built = build_index(spark.createDataFrame(rows, DOC), IndexOptions(num_shards=1, analyzer="simple"))
+    requests = prepare(ask(spark, [(1, "common rare words", None, 3)]))
+    bag = bag_of_words(built, requests)
+    assert not pays(built, bag, requests)
+    pruned = pruned_scores(built, bag, requests)
+    assert pruned.candidates.count() <= 8 < score_words(built, bag).count() == 400
+    assert by_shard(top_per_shard(pruned.scores, requests)) == by_shard(top_per_shard(score_words(built, bag), requests))
+
+
+def test_parts_of_similar_limits(spark, docs, index):
+    def parts(limits):
+        requests = prepare(ask(spark, [(n, "the", None, k) for n, k in enumerate(limits)]))
+        found = requests.by_limit()
+        assert sum(p.n_queries for p in found) == len(limits)
+        assert sum(p.rows.count() for p in found) == len(limits)
+        assert sum(p.n_queries * p.max_limit for p in found) <= 2 * sum(limits)
+        return [(p.n_queries, p.max_limit) for p in found]
+
+    assert parts([20] * 5) == [(5, 20)]
+    assert parts(range(1, 31)) == [(30, 30)]
+    assert parts([1000, 1, 2, 3, 3, 2, 1]) == [(1, 1000), (6, 3)]
+    queries = ask(spark, [(1, "the red cat", None, 1000), (2, "the red cat", None, 2), (3, "the cats", None, 1)])
+    expected = bm25([d[:3] for d in DOCS], [(1, "the red cat"), (2, "the red cat"), (3, "the cats")], SHARDS)
+    limits = {1: 1000, 2: 2, 3: 1}
+    assert by_shard(shard_hits(index, prepare(queries))) == {key: found[: limits[key[0]]] for key, found in expected.items()}
