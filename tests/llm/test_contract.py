@@ -35,7 +35,7 @@ def canonical(columns, rows):
     return sorted(tuple(str(round(r[i], 9)) if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op6_url_filter", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op6_url_filter", "op10_mixing", "op11_conversation_repair", "op12_filter_audit", "op13_decontamination"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for file in Path(DATA).glob("*.parquet"):
@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.partition("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.partition("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
