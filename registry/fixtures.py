@@ -67,8 +67,8 @@ def marked_up(text: str = "text", title: str = "title"):
     )
 
 
-def write_dump(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as a wiki dump in document order; some pages lack a title or a text."""
+def write_dump(spark: SparkSession, sf_dir: str, prefix: str = "", broken: bool = False) -> str:
+    """All documents as a wiki dump in document order; some pages lack a title or a text, and some are not well-formed if ``broken``."""
     docs = documents(spark, sf_dir)
 
     def escaped(column):
@@ -83,8 +83,11 @@ def write_dump(spark: SparkSession, sf_dir: str) -> str:
         titled,
         F.lit('  <revision><text xml:space="preserve">'),
         filled,
-        F.lit("</text></revision>\n  <revision><text>older</text></revision>\n</page>"),
+        F.lit("</text></revision>\n  <revision><text>older</text></revision>\n"),
+        F.when((F.col("doc_id") % 10 == 5) & F.lit(broken), F.lit("  <id>5</page>")).otherwise(F.lit("</page>")),
     )
+    if prefix:
+        page = F.regexp_replace(page, "(</?)(page|title|revision|text)\\b", f"$1{prefix}:$2")
     path = new_folder(spark, "dump")
     docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(page).write.text(path)
     return path

@@ -368,6 +368,14 @@ ORACLES: dict[str, str] = {
     "ingest_all_pages": _with(_DOCS, _PAGES)
     + "SELECT count(*) FILTER (WHERE length(body) >= 50) AS written, count(*) FILTER (WHERE length(body) < 50) AS skipped, "
     "CAST(sum(length(body)) FILTER (WHERE length(body) >= 50) AS BIGINT) AS n_chars FROM cleaned",
+    "xml_pages_prefixed": _with(_DOCS, _PAGES) + "SELECT title, raw FROM numbered",
+    "xml_quarantine": _with(_DOCS)
+    + f"""SELECT reason, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_chars FROM (
+      SELECT CASE WHEN doc_id % 10 = 5 THEN 'malformed' WHEN doc_id % 10 = 3 OR title = '' THEN 'title missing'
+                  WHEN doc_id % 10 = 7 THEN 'text missing' ELSE 'taken' END AS reason,
+             CASE WHEN doc_id % 10 = 5 OR doc_id % 10 = 3 THEN 0 WHEN doc_id % 10 = 7 THEN length(title)
+                  WHEN title = '' THEN 0 ELSE length({_marked('body', 'title')}) END AS n
+      FROM docs) GROUP BY reason""",
     "xml_pages_bz2": _with(_DOCS, _PAGES) + "SELECT title, raw FROM numbered",
     "jsonl_single": _with(_DOCS, _PAGES)
     + "SELECT id, title, CAST(length(body) AS INTEGER) AS n_chars FROM cleaned WHERE length(body) >= 50",

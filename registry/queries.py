@@ -22,7 +22,7 @@ from quillrank.plans.index_store import compact, create_index, open_index, write
 from quillrank.plans.ingest import index_counts, index_json, ingest_dump
 from quillrank.plans.search import hybrid_search, keyword_search, scored_search, shard_hits
 from quillrank.session import new_folder, stage
-from quillrank.sources.dumps import read_pages
+from quillrank.sources.dumps import quarantined_pages, read_pages
 from quillrank.sources.jsonl import read_documents, read_numbered_documents, write_documents as write_json
 from quillrank.streaming.index_stream import stream_index
 from registry import fixtures as fx
@@ -105,6 +105,22 @@ def xml_pages_bz2(spark, sf):
     return read_pages(spark, packed).select("title", "raw")
 
 
+@query
+def xml_pages_prefixed(spark, sf):
+    """All tags have a prefix, which the reader takes from the first."""
+    return read_pages(spark, fx.write_dump(spark, sf, prefix="mw")).select("title", "raw")
+
+
+@query
+def xml_quarantine(spark, sf):
+    """Pages that are not taken by reason, and what is taken of the same dump."""
+    dump = fx.write_dump(spark, sf, broken=True)
+    left = quarantined_pages(spark, dump).groupBy("reason")
+    left = left.agg(F.count("*").alias("n_pages"), F.coalesce(F.sum(F.length("title")), F.lit(0)).alias("n_chars"))
+    taken = read_pages(spark, dump, on_error="skip").agg(F.count("*").alias("n_pages"), F.sum(F.length("raw")).alias("n_chars"))
+    return left.unionByName(taken.select(F.lit("taken").alias("reason"), "n_pages", "n_chars"))
+
+
 @query
 def jsonl_single(spark, sf):
     out = new_folder(spark, "docs")

@@ -6,7 +6,7 @@ import pytest
 from quillrank.operators.ingest import ingest_counts, kept_documents, latest_versions, pages_to_documents
 from quillrank.plans.ingest import index_counts, index_json, ingest_dump
 from quillrank.plans.index_store import IndexOptions
-from quillrank.sources.dumps import malformed_pages, read_pages
+from quillrank.sources.dumps import first_prefix, malformed_pages, quarantined_pages, read_pages
 from quillrank.sources.jsonl import read_documents, read_numbered_documents, soft_cap
 
 DUMP = """<mediawiki xmlns="http://example.org/export/" xml:lang="en">
@@ -49,6 +49,27 @@ def test_prefixed_pages(spark, tmp_path):
         "</mw:page></mw:mediawiki>"
     )
     assert rows(read_pages(spark, f"file:{path}", page_tag="mw:page")) == [(1, "T", "X")]
+    assert first_prefix(spark, f"file:{path}") == "mw" and rows(read_pages(spark, f"file:{path}")) == [(1, "T", "X")]
+
+
+def test_first_prefix_is_that_of_a_tag(spark, tmp_path):
+    path = tmp_path / "dump.xml"
+    for text, prefix in [('<?xml version="1.0"?>\n<!-- a:b -->\n<mediawiki xmlns:x="u"><x:page/>', ""), ("<é.x:a>", "é.x"), ("", ""), ("no tag", "")]:
+        path.write_text(text, encoding="utf-8")
+        assert first_prefix(spark, f"file:{path}") == prefix
+    path.write_text("")
+    assert read_pages(spark, f"file:{path}").collect() == []
+
+
+def test_quarantine(spark, tmp_path):
+    path = tmp_path / "dump.xml"
+    path.write_text(DUMP + "<page><title>broken</page>")
+    found = sorted((r.reason, r.title or "", bool(r.xml)) for r in quarantined_pages(spark, f"file:{path}").collect())
+    assert [f for f in found if f[0] == "malformed"] == [("malformed", "", True)]
+    assert ("text missing", "No revision", False) in found and ("text missing", "First revision empty", False) in found
+    assert sum(f[0] == "title missing" for f in found) == 2
+    plan = quarantined_pages(spark, f"file:{path}")
+    assert plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple").count("from_xml") == 1
 
 
 def test_malformed_page(spark, tmp_path):
