@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import MAX_TOKEN_BYTES, word_slots, words
 from quillrank.operators.stems import Dictionary, dictionary, stemmed
 from quillrank.schemas import FIELDS
-from quillrank.session import stage
 
 ANALYZERS = ("simple", "en_stem")
 
@@ -38,34 +35,20 @@ def document_words(docs: DataFrame, *, slots: bool = False, max_bytes: int = MAX
     return split.select("id", "shard", F.inline(F.array(*per_field)))
 
 
-def word_counts(docs: DataFrame, *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
-    """Frequency of each word and field length per (document, field), words as they are written.
+def word_rows(docs: DataFrame, *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+    """A row for each word of a document and field, as it is written, with the field's length.
 
-    Partitioned by id (as a bucketed documents table is), this needs no shuffle. The outer
-    explode is deliberate: Catalyst would analyze the text a second time for the non-empty
+    The outer explode is deliberate: Catalyst would analyze the text a second time for the non-empty
     filter it derives from the inner one.
     """
-    keys = ["shard", "field", "term", "id", "dl"]
     fields = document_words(docs, slots=positions, max_bytes=max_bytes)
     if positions:
         fields = fields.withColumn("dl", F.size(F.array_compact("words")))
-        exploded = fields.select("shard", "field", "id", "dl", F.posexplode_outer("words").alias("position", "term"))
-        counts = [F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")]
+        rows = fields.select("shard", "field", "id", "dl", F.posexplode_outer("words").alias("position", "term"))
     else:
         fields = fields.withColumn("dl", F.size("words"))
-        exploded = fields.select("shard", "field", "id", "dl", F.explode_outer("words").alias("term"))
-        counts = [F.count("*").cast("int").alias("tf")]
-    counted = exploded.where("term IS NOT NULL").groupBy(*keys).agg(*counts)
-    return counted.select("shard", "field", "term", "id", "tf", "dl", *(["positions"] if positions else []))
-
-
-def as_stems(counted: DataFrame, found: Dictionary) -> DataFrame:
-    """Word counts as counts of stems; words of one stem in a document become one row."""
-    keys = ["shard", "field", "term", "id", "dl"]
-    counts = [F.sum("tf").cast("int").alias("tf")]
-    if "positions" in counted.columns:
-        counts.append(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return stemmed(counted, "term", found).groupBy(*keys).agg(*counts).select(*counted.columns)
+        rows = fields.select("shard", "field", "id", "dl", F.explode_outer("words").alias("term"))
+    return rows.where("term IS NOT NULL")
 
 
 def build_postings(docs: DataFrame, analyzer: str = "simple", *, positions: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
@@ -80,20 +63,23 @@ def postings_and_stems(
     positions: bool = False,
     max_bytes: int = MAX_TOKEN_BYTES,
     known: DataFrame | None = None,
-    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, Dictionary | None]:
     """Postings, and the dictionary of stems of an analyzer that has one.
 
-    To stem them, word counts are written by ``keep`` (default: to the shared folder), so that texts are split
-    once; the distinct words that ``known (word, stem)`` does not have are stemmed, and the counts look their stems up.
+    Partitioned by id (as a bucketed documents table is), postings need no shuffle. For a dictionary texts are split twice: a
+    first pass only counts distinct words, of which those that ``known (word, stem)`` does not have are stemmed; in the second
+    each word looks its stem up.
     """
     check_analyzer(analyzer)
-    counted = word_counts(docs, positions=positions, max_bytes=max_bytes)
-    if analyzer == "simple":
-        return counted, None
-    counted = keep(counted) if keep is not None else stage(counted, "word-counts")
-    found = dictionary(counted, "term", known)
-    return as_stems(counted, found), found
+    rows, found = word_rows(docs, positions=positions, max_bytes=max_bytes), None
+    if analyzer != "simple":
+        found = dictionary(word_rows(docs, max_bytes=max_bytes), "term", known)
+        rows = stemmed(rows, "term", found)
+    counts = [F.count("*").cast("int").alias("tf")]
+    if positions:
+        counts.append(F.array_sort(F.collect_list("position")).alias("positions"))
+    counted = rows.groupBy("shard", "field", "term", "id", "dl").agg(*counts)
+    return counted.select("shard", "field", "term", "id", "tf", "dl", *(["positions"] if positions else [])), found
 
 
 def query_terms(

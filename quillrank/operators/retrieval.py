@@ -43,7 +43,7 @@ class Index:
     """The tables a search reads.
 
     ``term_counts`` may hold several rows per term, one for each commit that changed it; they
-    are summed after the rows of other terms are gone.
+    are summed after the rows of other terms are gone. ``shards`` lists the shards that the index's last commit names.
     """
 
     docs: DataFrame
@@ -54,6 +54,7 @@ class Index:
     analyzer: str = "simple"
     positions: bool = False
     max_token_bytes: int = MAX_TOKEN_BYTES
+    shards: DataFrame | None = None
 
     @property
     def term_stats(self) -> DataFrame:
@@ -317,10 +318,11 @@ def with_stored(hits: DataFrame, index: Index, columns: list[str], *, bound: int
     are fetched once, on the documents' own bucketing, and joined back with salt: a popular
     document may be a hit of very many queries.
     """
-    stored = index.docs.select("id", *columns)
+    # An id may be held by several indexes that are searched as one; with the shard it names one document.
+    stored = index.docs.select("shard", "id", *columns)
     if bound <= max_broadcast_rows():
-        return lookup_join(stored, hits, ["id"], bound=bound)
+        return lookup_join(stored, hits, ["shard", "id"], bound=bound)
     # Both uses read the same rows; without this the whole scoring would run twice.
     hits = stage(hits, "hits")
     found = stored.join(hits.select("id").distinct(), "id", "left_semi")
-    return lookup_join(hits, found, ["id"], bound=bound, salts=POPULAR_DOC_SALTS, salt_by="query_id")
+    return lookup_join(hits, found, ["shard", "id"], bound=bound, salts=POPULAR_DOC_SALTS, salt_by="query_id")

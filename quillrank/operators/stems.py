@@ -26,6 +26,8 @@ class Dictionary:
 def dictionary(rows: DataFrame, column: str, known: DataFrame | None = None) -> Dictionary:
     """The stems of the words in ``column`` of ``rows``; those that ``known (word, stem)`` has are not stemmed again."""
     words = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n"))
+    # Few bytes, but much work for each: small partitions must not be joined into one task.
+    words = words.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if known is None:
         found = stage(with_stem(words, "word", "stem").select("word", "stem", "n"), "stems")
         return Dictionary(found, found.select("word", "stem"))

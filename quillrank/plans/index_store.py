@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from dataclasses import dataclass, replace
+from functools import reduce
 from hashlib import md5
 
 from pyspark.errors import AnalysisException
@@ -26,11 +27,11 @@ from quillrank.operators.analysis import postings_and_stems
 from quillrank.operators.ingest import latest_versions
 from quillrank.operators.joins import lookup_join
 from quillrank.operators.retrieval import Index
-from quillrank.operators.statistics import combine_field_stats, field_lengths, field_stats, shard_stats, sum_term_rows, term_counts
+from quillrank.operators.statistics import all_shards, combine_field_stats, field_lengths, field_stats, shard_stats, sum_term_rows, term_counts
 from quillrank.operators.stems import Dictionary
 from quillrank.operators.vector_columns import check_dimension
-from quillrank.schemas import INDEX_DOC_COLUMNS, POSTING_COLUMNS
-from quillrank.session import new_folder, remove_folder
+from quillrank.schemas import FIELDS, INDEX_DOC_COLUMNS, POSTING_COLUMNS
+from quillrank.session import bucket_count, remove_folder
 
 _COMMIT = (
     "commit bigint, attempt string, num_shards int, num_buckets int, analyzer string, positions boolean, "
@@ -52,8 +53,12 @@ class IndexOptions:
     dim: int = 0
     max_token_bytes: int = MAX_TOKEN_BYTES
 
-    def buckets(self, spark: SparkSession) -> int:
-        return self.num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def buckets(self, docs: DataFrame) -> int:
+        """The number given, or one that follows from the texts of the first documents written."""
+        if self.num_buckets:
+            return self.num_buckets
+        size = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in FIELDS), F.lit(0).cast("long"))
+        return bucket_count(docs.sparkSession, docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
 
 
 def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Index:
@@ -70,6 +75,7 @@ def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Inde
         options.analyzer,
         options.positions,
         options.max_token_bytes,
+        all_shards(docs.sparkSession, options.num_shards),
     )
 
 
@@ -99,14 +105,50 @@ def create_index(spark: SparkSession, root: str, docs: DataFrame, options: Index
     return write_documents(spark, root, docs, options)
 
 
-def open_index(spark: SparkSession, root: str) -> Index:
-    """The index as of its last commit; later commits do not change a DataFrame already made."""
+def open_index(spark: SparkSession, root: str, *more: str) -> Index:
+    """The index as of its last commit; later commits do not change a DataFrame already made.
+
+    Several roots are searched as one index, whose shards are those of the first, then those of the next, and so on. Each
+    shard keeps its own statistics, so a document scores as it does in its own index; documents of different indexes may
+    share an id and are told apart by their shard. All must have been made with one analyzer.
+    """
+    if more:
+        return _as_one([open_index(spark, r) for r in (root, *more)])
     last = _newest(spark, root)
     if last is None:
         raise ValueError(f"no index at {root}")
     return _open(spark, root, last)
 
 
+def _as_one(indexes: list[Index]) -> Index:
+    first = indexes[0]
+    for index in indexes:
+        if (index.analyzer, index.max_token_bytes) != (first.analyzer, first.max_token_bytes):
+            raise ValueError("indexes of different analyzers cannot be searched as one")
+    positions = all(index.positions for index in indexes)
+    offsets = [sum(i.num_shards for i in indexes[:n]) for n in range(len(indexes))]
+
+    def union(name: str, columns: list[str] | None = None) -> DataFrame:
+        tables = []
+        for index, offset in zip(indexes, offsets, strict=True):
+            rows = getattr(index, name)
+            rows = rows.withColumn("shard", (F.col("shard") + F.lit(offset)).cast("int")) if offset else rows
+            tables.append(rows.select(*columns) if columns else rows)
+        return reduce(DataFrame.unionByName, tables)
+
+    return Index(
+        union("docs"),
+        union("postings", POSTING_COLUMNS + (["positions"] if positions else [])),
+        union("field_stats"),
+        union("term_counts"),
+        offsets[-1] + indexes[-1].num_shards,
+        first.analyzer,
+        positions,
+        first.max_token_bytes,
+        union("shards"),
+    )
+
+
 def write_documents(
     spark: SparkSession,
     root: str,
@@ -131,7 +173,7 @@ def write_documents(
             return _open(spark, root, last)
         options = _options(last)
     else:
-        options = replace(options, num_buckets=options.buckets(spark))
+        options = replace(options, num_buckets=options.buckets(docs))
     number = last.commit + 1 if last is not None else 0
     attempt = _Segment.new(root, number, options)
 
@@ -143,7 +185,7 @@ def write_documents(
     options = _with_dimension(added, options)
     n_added = added.count()
     known = _stems(spark, root, last) if last is not None else None
-    postings, stems = _postings(added, options, known=known, keep=attempt.keep_words)
+    postings, stems = _postings(added, options, known=known)
     new_postings = attempt.write_postings(spark, postings)
     if stems is not None:
         attempt.write_stats(spark, "stems", stems.added)
@@ -294,14 +336,6 @@ class _Segment:
         # Sorted by term: a term's rows of a bucket share pages, and the others' pages can be skipped.
         return self._write_bucketed(spark, "postings", postings, "term", "field")
 
-    def keep_words(self, counted: DataFrame) -> DataFrame:
-        """Word counts written for the time of one commit, bucketed as the postings made of them."""
-        spark = counted.sparkSession
-        path, name = new_folder(spark, "word-counts"), f"quillrank_words_{uuid.uuid4().hex}"
-        writer = counted.write.bucketBy(self.options.num_buckets, "id").option("path", path)
-        writer.saveAsTable(name)
-        return spark.table(name)
-
     def _write_bucketed(self, spark: SparkSession, kind: str, rows: DataFrame, *sort: str) -> DataFrame:
         spark.sql(f"DROP TABLE IF EXISTS {self.table(kind)}")
         writer = rows.write.mode("overwrite").bucketBy(self.options.num_buckets, "id").sortBy(*sort)
@@ -426,4 +460,11 @@ def _open(spark: SparkSession, root: str, last: Row) -> Index:
         last.analyzer,
         last.positions,
         last.max_token_bytes,
+        _shards(spark, root, last),
     )
+
+
+def _shards(spark: SparkSession, root: str, last: Row) -> DataFrame:
+    """The shards of an index, whether they hold documents or not, as its last commit has them."""
+    commits = spark.read.schema(_COMMIT).parquet(f"{root}/commits/{_commit_folder(last.commit)}").where(F.col("attempt") == last.attempt)
+    return commits.select(F.explode(F.sequence(F.lit(0), F.col("num_shards") - 1)).alias("shard"))

@@ -45,6 +45,9 @@ _DOCS = f"""docs AS (
          {_shard("'wiki_' || d.doc_id")} AS shard, e.embedding AS title_vector
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
+# Of two indexes searched as one, the second's shards come after the first's.
+_DOCS_OF_TWO = _DOCS.replace("AS shard", "+ CAST(8 * (d.doc_id % 2) AS INTEGER) AS shard")
+
 _QUERIES = """queries AS (
   SELECT b.item_id AS query_id, b.text AS q, e.embedding AS query_vector
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
@@ -397,6 +400,9 @@ ORACLES: dict[str, str] = {
     "cluster_totals": _with(_DOCS)
     + """SELECT 8::BIGINT AS total_shards, (SELECT count(*) FROM docs) AS total_documents, s::INTEGER AS shard, count(id) AS doc_count
 FROM range(8) r(s) LEFT JOIN docs ON shard = s GROUP BY s""",
+    "cluster_totals_two_roots": _with(_DOCS_OF_TWO)
+    + """SELECT 16::BIGINT AS total_shards, (SELECT count(*) FROM docs) AS total_documents, s::INTEGER AS shard, count(id) AS doc_count
+FROM range(16) r(s) LEFT JOIN docs ON shard = s GROUP BY s""",
     "shard_list": "SELECT s::INTEGER AS shard FROM range(8) r(s)",
     "empty_shards": _with(_DOCS)
     + f"""SELECT s::INTEGER AS shard, count(id) AS doc_count
@@ -456,6 +462,7 @@ written AS (SELECT id, shard, title || ' v' || n AS title, body FROM docs JOIN l
     "candidate_cosine": _with(*_hybrid()[:-1])
     + "SELECT query_id, shard, id, bm25_score, semantic_score FROM candidates",
     "hybrid_rrf": _with(*_hybrid()) + "SELECT * FROM hybrid_hits",
+    "hybrid_two_roots": _with(*[p.replace(_DOCS, _DOCS_OF_TWO) for p in _hybrid()]) + "SELECT * FROM hybrid_hits",
     "hybrid_weighted": _with(*_hybrid(alpha="0.3", fusion="'weighted'")) + "SELECT * FROM hybrid_hits",
     "hybrid_fallback": _with(*_MIXED) + "SELECT * FROM hybrid_hits",
     "hybrid_report": _with(*_MIXED)

@@ -16,7 +16,7 @@ from quillrank.operators.embedding import embed_missing_titles, embed_queries, e
 from quillrank.operators.fusion import fuse
 from quillrank.operators.ingest import ingest_counts, kept_documents, latest_versions, pages_to_documents
 from quillrank.operators.requests import check_queries, prepare, rejected_queries
-from quillrank.operators.statistics import all_shards, cluster_stats, field_stats, shard_stats, term_stats
+from quillrank.operators.statistics import cluster_stats, field_stats, shard_stats, term_stats
 from quillrank.operators.vector_columns import decode_vectors, encode_vectors
 from quillrank.plans.index_store import compact, create_index, open_index, write_documents
 from quillrank.plans.ingest import index_counts, index_json, ingest_dump
@@ -190,7 +190,7 @@ def cluster_totals(spark, sf):
 
 @query
 def shard_list(spark, sf):
-    return all_shards(spark, fx.index(spark, sf).num_shards)
+    return fx.index(spark, sf).shards
 
 
 @query
@@ -438,6 +438,27 @@ def hybrid_stemmed(spark, sf):
     return hybrid_search(fx.index(spark, sf, analyzer="en_stem"), fx.queries(spark, sf)).hits
 
 
+def _two_roots(spark, sf):
+    """An index of the documents with even numbers and one of the others, opened as one."""
+    docs, roots = fx.documents(spark, sf), []
+    for rest in (0, 1):
+        roots.append(new_folder(spark, "index"))
+        create_index(spark, roots[-1], docs.where(F.col("doc_id") % 2 == rest).drop("doc_id"), fx.options(spark, sf))
+    return open_index(spark, *roots)
+
+
+@query
+def hybrid_two_roots(spark, sf):
+    return hybrid_search(_two_roots(spark, sf), fx.queries(spark, sf)).hits
+
+
+@query
+def cluster_totals_two_roots(spark, sf):
+    index = _two_roots(spark, sf)
+    totals = cluster_stats(index.docs, index.num_shards)
+    return totals.select("total_shards", "total_documents", F.inline("shards"))
+
+
 def _mixed_queries(spark, sf):
     """Every third query has no vector, every fourth asks for the weighted sum, limits differ."""
     n = F.col("query_id")

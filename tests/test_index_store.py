@@ -1,5 +1,6 @@
 import json
 import shutil
+from dataclasses import replace
 from functools import reduce
 
 import pytest
@@ -10,6 +11,7 @@ import quillrank.plans.index_store as store
 
 from quillrank.operators import retrieval
 from quillrank.operators.requests import prepare
+from quillrank.operators.statistics import cluster_stats
 from quillrank.operators.retrieval import bag_of_words, score_words, top_per_shard
 from quillrank.plans.index_store import (
     IndexOptions,
@@ -23,7 +25,8 @@ from quillrank.plans.index_store import (
 from quillrank.plans.search import hybrid_search, scored_search
 from quillrank.streaming.index_stream import stream_index
 
-OPTIONS = IndexOptions(num_shards=3, num_buckets=4, positions=True)
+STEMMED = IndexOptions(num_shards=3, num_buckets=4, positions=True)
+OPTIONS = replace(STEMMED, analyzer="simple")
 
 
 def documents(spark, numbers, mark=""):
@@ -50,20 +53,20 @@ def exchanges(df):
 
 def test_rewritten_documents_equal_a_fresh_index(spark, folder):
     root = folder("index")
-    create_index(spark, root, documents(spark, range(40)), OPTIONS)
+    create_index(spark, root, documents(spark, range(40)), STEMMED)
     before = open_index(spark, root)
     write_documents(spark, root, documents(spark, range(10, 20), "second"))
     after = write_documents(spark, root, documents(spark, range(15, 50), "third"))
     newest = documents(spark, range(10)).unionByName(documents(spark, range(10, 15), "second"))
     newest = newest.unionByName(documents(spark, range(15, 50), "third"))
-    expected = build_index(newest, OPTIONS)
+    expected = build_index(newest, STEMMED)
     assert_same(after, expected)
     assert_same(open_index(spark, root), expected)
     # A reader that opened the index earlier keeps what it saw.
-    assert_same(before, build_index(documents(spark, range(40)), OPTIONS))
+    assert_same(before, build_index(documents(spark, range(40)), STEMMED))
     assert_same(compact(spark, root), expected)
     with pytest.raises(ValueError):
-        create_index(spark, root, documents(spark, range(3)), OPTIONS)
+        create_index(spark, root, documents(spark, range(3)), STEMMED)
 
 
 def test_last_version_in_a_batch_wins(spark, folder):
@@ -86,7 +89,7 @@ def test_segments_are_merged_by_size(spark, folder, monkeypatch):
     real = store._Segment.write_docs
     monkeypatch.setattr(store._Segment, "write_docs", lambda self, session, docs, **o: written.append(self.folder) or real(self, session, docs, **o))
     root = folder("index")
-    options = IndexOptions(num_shards=2, num_buckets=2)
+    options = IndexOptions(num_shards=2, num_buckets=2, analyzer="simple")
     big = documents(spark, range(60), "big")
     index = write_documents(spark, root, big, options)
     expected = {n: "big" for n in range(60)}
@@ -154,7 +157,7 @@ def test_first_vectors_decide_on_the_size(spark, folder):
 
 def test_few_words_read_few_pages(spark, folder):
     docs = spark.range(6000).selectExpr("concat('d', id) id", "concat('w', id) title", "concat('common b', id) body")
-    index = create_index(spark, folder("index"), docs, IndexOptions(num_shards=1, num_buckets=1))
+    index = create_index(spark, folder("index"), docs, IndexOptions(num_shards=1, num_buckets=1, analyzer="simple"))
     requests = prepare(spark.createDataFrame([(1, "w77")], "query_id long, q string"))
     scored = score_words(index, bag_of_words(index, requests))
     assert scored.count() == 1
@@ -212,7 +215,7 @@ def test_scoring_does_not_shuffle_postings(spark, folder):
         requests = prepare(queries)
         hashed, plan = exchanges(top_per_shard(score_words(index, bag_of_words(index, requests)), requests))
         # The query vocabulary and the term counts aside, only the per-shard top-k moves.
-        assert [e for e in hashed if "query_id" in e and "shard" in e] and len(hashed) <= 4
+        assert [e for e in hashed if "query_id" in e and "shard" in e] and len(hashed) <= 5
         assert not [e for e in hashed if "id#" in e.replace("query_id#", "") and "term" not in e]
         assert plan.count("WindowGroupLimit") == 2
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -252,6 +255,49 @@ def test_replayed_batch_is_not_written_twice(spark, folder):
     assert_same(other, build_index(expected, OPTIONS))
 
 
+def test_several_indexes_as_one(spark, folder):
+    """Each document scores as in its own index; an id that two indexes hold is two documents."""
+    roots = [folder("a"), folder("b")]
+    indexes = [create_index(spark, roots[0], documents(spark, range(20), "left"), OPTIONS)]
+    indexes.append(create_index(spark, roots[1], documents(spark, range(15, 40), "right"), replace(OPTIONS, num_shards=2, num_buckets=3)))
+    both = open_index(spark, *roots)
+    assert both.num_shards == 5 and rows(both.shards) == [(str(n),) for n in range(5)]
+    queries = spark.createDataFrame([(1, "common word1", [1.0], 1000), (2, "body17 left right", [1.0], 1000)], "query_id long, q string, query_vector array<float>, limit int")
+    alone = []
+    for index, offset in zip(indexes, (0, 3), strict=True):
+        hits = scored_search(index, prepare(queries)).collect()
+        alone += [(str(h.query_id), str(h.shard + offset), h.id, h.title, str(h.bm25_score)) for h in hits]
+    found = scored_search(both, prepare(queries)).select("query_id", "shard", "id", "title", "bm25_score")
+    assert rows(found) == sorted(alone)
+    totals = cluster_stats(both.docs, both.num_shards).first()
+    assert (totals.total_shards, totals.total_documents) == (5, 45)
+    create_index(spark, folder("c"), documents(spark, range(2)), STEMMED)
+    with pytest.raises(ValueError):
+        open_index(spark, roots[0], folder("c"))
+
+
+def test_stems_are_kept_with_the_index(spark, folder):
+    root = folder("index")
+    create_index(spark, root, documents(spark, range(3), "running"), STEMMED)
+    stems = lambda: sorted(r.word for r in store._stems(spark, root, store._newest(spark, root)).collect())
+    first = stems()
+    assert "running" in first and len(first) == len(set(first))
+    write_documents(spark, root, documents(spark, range(2, 5), "running cats"))
+    assert sorted(set(stems()) - set(first)) == ["3", "4", "body3", "body4", "cats", "word3", "word4"]
+    assert len(stems()) == len(set(stems()))
+    assert rows(open_index(spark, root).term_stats.where("term = 'run'").select("df")) != []
+    compact(spark, root)
+    assert len(stems()) == len(set(stems())) and "cats" in stems()
+
+
+def test_buckets_follow_the_texts(spark, folder, monkeypatch):
+    monkeypatch.setattr(store.bucket_count, "__defaults__", (100,))
+    options = IndexOptions(num_shards=1)
+    assert options.buckets(documents(spark, range(3))) == 8
+    assert options.buckets(documents(spark, range(300))) > 30
+    assert IndexOptions(num_buckets=5).buckets(documents(spark, range(300))) == 5
+
+
 def test_large_query_vocabulary_keeps_postings_in_their_buckets(spark, folder, monkeypatch):
     index = create_index(spark, folder("index"), documents(spark, range(30)), OPTIONS)
     vectors = "query_id long, q string, query_vector array<float>"
