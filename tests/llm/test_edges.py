@@ -168,6 +168,22 @@ def test_url_filter(spark):
     assert {r.verdict for r in judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_url_rules_of_more_shapes_than_are_expanded(spark, monkeypatch, broadcast):
+    import quillrank.llm.url_filter as module
+
+    paths = ["/" + "ab/cd"[: n % 6] * (n // 6) for n in range(24)]
+    rules = [(h, p, "block" if n % 3 else "allow") for n, p in enumerate(paths) for h in ("org", "x.org", "a.x.org", "\u00c4.org", "COM")[: 1 + n % 5]]
+    rules = spark.createDataFrame(rules, "host string, path string, action string")
+    urls = [f"http://{h}{p}{q}" for h in ("a.x.org", "b.a.x.org", "y.org", "\u00c4.org", "\u00e4.org", "z.com", "net") for p in paths for q in ("", "?/ab")]
+    pages = spark.createDataFrame([(i % 300, u) for i, u in enumerate([*urls, None, "none"])], "page_id long, url string")
+    expected = sorted(map(str, judge_urls(pages, rules).collect()))
+    assert any("\u00c4.org" in e for e in expected)
+    monkeypatch.setattr(module, "MAX_BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(module, "MAX_SHAPES", 3)
+    assert sorted(map(str, judge_urls(pages, rules).collect())) == expected
+
+
 def test_url_filter_without_broadcast(spark, monkeypatch):
     import quillrank.llm.url_filter as module
 
