@@ -23,7 +23,7 @@ from quillrank.session import stage
 
 #: Postings per hit asked for from which on pruning pays for its passes. Where each shard gives a good share of its documents as
 #: hits, thresholds are low, and looking up what the candidates lack costs more than scoring all pairs.
-PRUNE_ABOVE = 2000
+PRUNE_ABOVE = 20_000
 #: Documents met, per hit asked for, by the words that a threshold is taken from.
 PROBE = 32
 #: Scores are ranked with six digits; what is closer than this to a threshold is not below it.
