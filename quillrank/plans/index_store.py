@@ -16,7 +16,6 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from hashlib import md5
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -368,13 +367,10 @@ def _commit_folder(number: int) -> str:
 
 def _newest(spark: SparkSession, root: str) -> Row | None:
     """The last commit; of two with one number, the one whose writer was told that it holds."""
-    try:
-        found = spark.read.schema(_COMMIT).option("recursiveFileLookup", True).parquet(f"{root}/commits")
-        return found.orderBy(F.desc("commit"), "attempt").first()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not _folders(spark, f"{root}/commits"):
+        return None
+    found = spark.read.schema(_COMMIT).option("recursiveFileLookup", True).parquet(f"{root}/commits")
+    return found.orderBy(F.desc("commit"), "attempt").first()
 
 
 def _commit(

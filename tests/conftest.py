@@ -20,6 +20,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_job_outlives_its_test():
+    """A test that is stopped leaves no Spark job behind to slow the next one."""
+    yield
+    if (session := SparkSession.getActiveSession()) is not None:
+        session.sparkContext.cancelAllJobs()
+
+
 @pytest.fixture()
 def folder(tmp_path):
     """A path maker: ``folder("name")``."""
