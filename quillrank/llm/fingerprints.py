@@ -154,13 +154,15 @@ def next_rows(docs: DataFrame, columns: list[str], rows_per_range: int = 20_000,
     heads = sorted(ranged.groupBy("_range").agg(F.min("_d")).collect())
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads) if i}
     last = heads[-1][0]
-    pairs = [x for head, r in before.items() for x in (F.lit(head), F.lit(r))]
-    guest_of = F.try_element_at(F.create_map(*pairs), F.col("_d")) if pairs else F.lit(None).cast("int")
+    # As many rows as ranges at most.
+    guests = spark.createDataFrame(list(before.items()), "_d long, _guest_of int")
+    ranged = ranged.join(F.broadcast(guests), "_d", "left")
+    guest_of = F.col("_guest_of")
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest"))
     guest = F.when(guest_of.isNotNull(), F.struct(guest_of.alias("r"), F.lit(1).alias("guest")))
     around = F.when(F.col("_d") == least, F.struct(F.lit(last).alias("r"), F.lit(2).alias("guest")))
     placed = ranged.withColumn("_to", F.explode(F.array_compact(F.array(own, guest, around))))
-    placed = placed.withColumns({"_r": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_to", "_range")
+    placed = placed.withColumns({"_r": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_to", "_range", "_guest_of")
     window = Window.partitionBy("_r").orderBy("_guest", "_d", "_t", "text")
     placed = placed.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
     return placed.filter("_guest = 0").drop("_d", "_t", "_r", "_guest")
