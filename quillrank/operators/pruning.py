@@ -142,8 +142,9 @@ def _best(scored: DataFrame, requests: Requests) -> DataFrame:
 
 def pays(index: Index, clauses: Clauses, requests: Requests) -> bool:
     """Whether a batch meets so many postings for the hits it asks for that pruning is worth its passes."""
+    least = PRUNE_ABOVE * requests.total_limit * index.num_shards
+    if index.n_docs is not None and clauses.n_rows * index.n_docs <= least:
+        return False  # not even if every document had every word
     counts = clauses.rows.groupBy("field", "term").agg(F.count("*").alias("n"))
     found = lookup_join(index.term_counts, counts, ["field", "term"], bound=clauses.n_terms)
-    met = found.agg(F.sum(F.col("df") * F.col("n"))).first()[0] or 0
-    wanted = requests.rows.agg(F.sum("k")).first()[0] or 0
-    return met > PRUNE_ABOVE * wanted * index.num_shards
+    return (found.agg(F.sum(F.col("df") * F.col("n"))).first()[0] or 0) > least

@@ -21,9 +21,12 @@ class Requests:
     rows: DataFrame
     n_queries: int
     max_limit: int
+    total_limit: int
 
     def by_limit(self) -> list[Requests]:
         """The batch in parts of similar limits: in each, the largest limit for all queries is at most twice their own limits."""
+        if self.n_queries * self.max_limit <= 2 * self.total_limit:
+            return [self]
         level = F.ceil(F.log2("k"))
         sizes = self.rows.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max("k").alias("k"))
         parts: list[list[int]] = []  # highest level, lowest, queries, sum of limits, largest limit
@@ -32,9 +35,7 @@ class Requests:
                 parts[-1][1:4] = size.level, parts[-1][2] + size.n, parts[-1][3] + size.total
             else:
                 parts.append([size.level, size.level, size.n, size.total, size.k])
-        if len(parts) <= 1:
-            return [self]
-        return [Requests(self.rows.where(level.between(low, high)), n, k) for high, low, n, _, k in parts]
+        return [Requests(self.rows.where(level.between(low, high)), n, k, total) for high, low, n, total, k in parts] or [self]
 
 
 def check_queries(queries: DataFrame, *, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -80,8 +81,8 @@ def prepare(queries: DataFrame, *, widen: bool = False) -> Requests:
     valid = check_queries(queries).where("reason IS NULL").drop("reason")
     k = retrieval_limit(F.col("limit")) if widen else F.col("limit")
     rows = stage(valid.withColumn("k", k.cast("int")), "requests")
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max("k"), F.lit(1)).alias("k")).first()
-    return Requests(rows, size["n"], size["k"])
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max("k"), F.lit(1)).alias("k"), F.coalesce(F.sum("k"), F.lit(0)).alias("total")).first()
+    return Requests(rows, size["n"], size["k"], size["total"])
 
 
 def fusion_method(fusion, query_vector):

@@ -43,7 +43,8 @@ class Index:
     """The tables a search reads.
 
     ``term_counts`` may hold several rows per term, one for each commit that changed it; they
-    are summed after the rows of other terms are gone. ``shards`` lists the shards that the index's last commit names.
+    are summed after the rows of other terms are gone. ``shards`` lists the shards that the index's last commit names,
+    ``n_docs`` is the number of documents written, replaced ones included, if it is known.
     """
 
     docs: DataFrame
@@ -55,6 +56,7 @@ class Index:
     positions: bool = False
     max_token_bytes: int = MAX_TOKEN_BYTES
     shards: DataFrame | None = None
+    n_docs: int | None = None
 
     @property
     def term_stats(self) -> DataFrame:

@@ -145,6 +145,7 @@ def _as_one(indexes: list[Index]) -> Index:
         positions,
         first.max_token_bytes,
         union("shards"),
+        sum(index.n_docs for index in indexes),
     )
 
 
@@ -457,6 +458,7 @@ def _open(spark: SparkSession, root: str, last: Row) -> Index:
         last.positions,
         last.max_token_bytes,
         _shards(spark, root, last),
+        sum(s.n_docs for s in last.segments),
     )
 
 
