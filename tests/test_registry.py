@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as contract
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["clean_body", "page_seq", "upsert_latest", "tokenize_terms", "bm25_merge", "tokenize_stemmed", "hybrid_fallback"]
+NAMES = ["clean_body", "page_seq", "upsert_latest", "tokenize_terms", "bm25_merge", "tokenize_stemmed", "hybrid_fallback", "xml_quarantine", "hybrid_two_roots"]
 
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables here")
 
