@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from quillrank.llm.common import held_out, text_or_empty
 
-#: Bytes of a segment; the network starts anew at each, so that all segments of a batch advance together.
-SEGMENT = 64
+#: Training documents of each language, the windows taken of each of them, and the bytes of a window.
+SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 400, 4, 160
 HIDDEN = 8
-#: Training documents of each language, and segments of each of them.
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 400, 4
-#: Segments that are labelled together.
-BLOCK = 4096
+#: Texts that advance together, and bytes they may hold together; a longer text advances alone.
+GROUP_TEXTS, GROUP_BYTES = 2048, 1 << 23
+#: Bytes after which texts that have ended leave their group.
+CHUNK = 64
 
 
 @dataclass
@@ -26,7 +26,7 @@ class ByteNetwork:
     """Weights; the first axis of ``look, turn`` is the direction, forward and backward.
 
     look: what each byte adds to the gates (reset, update, candidate); turn: what the state adds; out, bias: languages' scores from
-    both states. Gates use z / (1 + |z|), brought to the range 0 to 1, for a sigmoid; it takes a third of the time.
+    both states.
     """
 
     look: np.ndarray
@@ -45,108 +45,163 @@ class ByteNetwork:
     def parts(self) -> tuple[np.ndarray, ...]:
         return self.look, self.turn, self.out, self.bias
 
-    def states(self, data: np.ndarray, direction: int, keep: list | None = None) -> np.ndarray:
-        """States after each byte of ``data (steps, segments)``: ``(steps, segments, hidden)``, in reading order."""
-        look, turn = self.look[direction], self.turn[direction]
-        hidden = turn.shape[0]
-        state = np.zeros((data.shape[1], hidden), np.float32)
-        states = np.empty((*data.shape, hidden), np.float32)
-        for t in range(len(data)):
-            seen = np.take(look, data[t], axis=0)
-            past = state @ turn
-            gates = seen[:, : 2 * hidden] + past[:, : 2 * hidden]
-            size = np.abs(gates)
-            size += 1
-            gates /= size
-            gates *= 0.5
-            gates += 0.5
-            new = past[:, 2 * hidden :] * gates[:, :hidden]
-            new += seen[:, 2 * hidden :]
-            np.tanh(new, out=new)
-            if keep is not None:
-                keep.append((state, past[:, 2 * hidden :], gates, new))
-            state = new + gates[:, hidden:] * (state - new)
-            states[t] = state
-        return states
-
-    def scores(self, data: np.ndarray) -> np.ndarray:
-        """Languages' probabilities at each place: ``(steps, segments, languages)``."""
-        hidden, n = self.turn.shape[1], len(self.bias)
-        ahead, back = self.states(data, 0), self.states(data[::-1], 1)[::-1]
-        odds = ahead.reshape(-1, hidden) @ self.out[:hidden]
-        odds += back.reshape(-1, hidden) @ self.out[hidden:]
-        odds += self.bias
-        np.exp(odds, out=odds)  # states are within 1, so the scores are small
-        odds /= odds @ np.ones((n, 1), odds.dtype)
-        return odds.reshape(*data.shape, n)
-
-    def slopes(self, data: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        """Gradient of the mean cross entropy over places that are not padding, by backpropagation through time."""
+    def by_gate(self) -> tuple[np.ndarray, np.ndarray]:
+        """``look`` as ``(direction * gate * byte, hidden)``, ``turn`` as ``(direction, gate, hidden, hidden)``; signs as sigmoids need them."""
         hidden = self.turn.shape[1]
-        kept: tuple[list, list] = ([], [])
-        ahead, back = self.states(data, 0, kept[0]), self.states(data[::-1], 1, kept[1])
-        both = np.concatenate([ahead, back[::-1]], axis=-1)
+        sign = np.array([-1, -1, 1], self.look.dtype)[:, None, None]
+        look = self.look.reshape(2, 256, 3, hidden).transpose(0, 2, 1, 3) * sign
+        turn = self.turn.reshape(2, hidden, 3, hidden).transpose(0, 2, 1, 3) * sign
+        return look.reshape(-1, hidden), np.ascontiguousarray(turn)
+
+    def scores(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """For each of ``texts``, which come in order of falling length, its languages' probabilities at each byte.
+
+        The state of either direction runs through the whole of a text. Both directions start at once, one at the text's
+        first byte and one at its last, so texts of any length advance together until they end.
+        """
+        look, turn = self.by_gate()
+        hidden, n = self.turn.shape[1], len(self.bias)
+        chunks = np.array([max(1, -(-len(t) // CHUNK)) for t in texts])
+        starts = np.cumsum(chunks) - chunks
+        # Each text forwards and backwards, filled up to whole chunks; what is read beyond its end changes nothing before it.
+        data = np.zeros((2, int(chunks.sum()) * CHUNK), np.uint8)
+        for text, at in zip(texts, (starts * CHUNK).tolist(), strict=True):
+            data[0, at : at + len(text)] = np.frombuffer(text, np.uint8)
+            data[1, at : at + len(text)] = data[0, at : at + len(text)][::-1]
+        data = data.reshape(2, -1, CHUNK)
+        odds = np.empty((*data.shape, n), look.dtype)
+        state = np.zeros((2, len(texts), hidden), look.dtype)
+        for c in range(int(chunks[0]) if len(texts) else 0):
+            active = int(np.searchsorted(-chunks, -c))
+            own = starts[:active] + c
+            rows = _table_rows(data[:, own].transpose(2, 0, 1))
+            state = state[:, :active]
+            states = np.empty((2, CHUNK, active, hidden), look.dtype)
+            for t in range(CHUNK):
+                state = advance(look, turn, rows[t], state)
+                states[:, t] = state
+            for direction in range(2):
+                found = states[direction].reshape(-1, hidden) @ self.out[direction * hidden : (direction + 1) * hidden]
+                odds[direction, own] = found.reshape(CHUNK, active, n).transpose(1, 0, 2)
+        odds = odds.reshape(2, -1, n)
+        ones = np.ones((n, 1), look.dtype)
+        for text, at in zip(texts, (starts * CHUNK).tolist(), strict=True):
+            both = odds[0, at : at + len(text)] + odds[1, at : at + len(text)][::-1]
+            both += self.bias
+            np.exp(both, out=both)  # states are within 1, so the scores are small
+            both /= both @ ones
+            yield both
+
+    def slopes(self, data: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        """Gradient of the mean cross entropy over the bytes of windows, by backpropagation through time.
+
+        ``data`` is ``(windows, steps)``, of which the first ``lengths`` count.
+        """
+        look, turn = self.by_gate()
+        hidden, (n, steps) = self.turn.shape[1], data.shape
+        at = np.arange(steps)
+        real = at < lengths[:, None]
+        turned = np.where(real, lengths[:, None] - 1 - at, at)
+        reading = np.stack([data, np.take_along_axis(data, turned, 1)])
+        rows = _table_rows(reading.transpose(2, 0, 1))
+        state, states, kept = np.zeros((2, n, hidden), look.dtype), np.empty((2, n, steps, hidden), look.dtype), []
+        for t in range(steps):
+            state = advance(look, turn, rows[t], state, kept)
+            states[:, :, t] = state
+        both = np.concatenate([states[0], np.take_along_axis(states[1], turned[..., None], 1)], axis=-1)
         logits = both @ self.out + self.bias
         wrong = np.exp(logits - logits.max(axis=-1, keepdims=True))
         wrong /= wrong.sum(axis=-1, keepdims=True)
-        wrong[:, np.arange(len(labels)), labels] -= 1
-        real = data > 0
+        wrong[np.arange(n), :, labels] -= 1
         wrong *= real[..., None] / max(1, real.sum())
-        g_out = np.einsum("tsh,tsk->hk", both, wrong)
+        g_out = np.einsum("nth,ntk->hk", both, wrong)
         from_out = wrong @ self.out.T
+        own = np.stack([from_out[..., :hidden], np.take_along_axis(from_out[..., hidden:], turned[..., None], 1)])
         g_look, g_turn = np.zeros_like(self.look), np.zeros_like(self.turn)
-        for direction, reading in ((0, data), (1, data[::-1])):
-            own = from_out[..., :hidden] if direction == 0 else from_out[::-1, :, hidden:]
-            turn = self.turn[direction]
-            carried = np.zeros_like(own[0])
-            for t in range(len(data) - 1, -1, -1):
-                state, past, gates, new = kept[direction][t]
-                reset, update = gates[:, :hidden], gates[:, hidden:]
-                d_state = own[t] + carried
-                d_update = d_state * (state - new) * 0.5 * (1 - np.abs(2 * update - 1)) ** 2
-                d_new = d_state * (1 - update) * (1 - new * new)
-                d_reset = d_new * past * 0.5 * (1 - np.abs(2 * reset - 1)) ** 2
-                d_seen = np.concatenate([d_reset, d_update, d_new], axis=1)
-                d_past = np.concatenate([d_reset, d_update, d_new * reset], axis=1)
-                g_turn[direction] += state.T @ d_past
-                carried = d_state * update + d_past @ turn.T
-                np.add.at(g_look[direction], reading[t], d_seen)
+        carried, from_look = np.zeros((2, n, hidden), own.dtype), np.empty((2, n, steps, 3 * hidden), own.dtype)
+        for t in range(steps - 1, -1, -1):
+            state, past, reset, update, new = kept[t]
+            d_state = own[:, :, t] + carried
+            d_new = d_state * (1 - update) * (1 - new * new)
+            d_update = d_state * (state - new) * update * (1 - update)
+            d_reset = d_new * past * reset * (1 - reset)
+            from_look[:, :, t] = np.concatenate([d_reset, d_update, d_new], axis=2)
+            d_past = np.concatenate([d_reset, d_update, d_new * reset], axis=2)
+            g_turn += state.transpose(0, 2, 1) @ d_past
+            carried = d_state * update + d_past @ self.turn.transpose(0, 2, 1)
+        for direction in range(2):
+            order = np.argsort(reading[direction], axis=None, kind="stable")
+            values, first = np.unique(reading[direction].ravel()[order], return_index=True)
+            g_look[direction, values] = np.add.reduceat(from_look[direction].reshape(n * steps, -1)[order], first)
         return [g_look, g_turn, g_out, wrong.sum(axis=(0, 1))]
 
 
-def segments(texts: list[bytes], length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of all texts as rows of ``length``, the last row of a text padded with zeros; rows of each text."""
-    counts = np.array([max(1, -(-len(t) // length)) for t in texts])
-    flat = np.zeros(int(counts.sum()) * length, np.uint8)
-    at = 0
-    for text, n in zip(texts, counts, strict=True):
-        flat[at : at + len(text)] = np.frombuffer(text, np.uint8)
-        at += int(n) * length
-    return flat.reshape(-1, length), counts
+def _table_rows(data: np.ndarray) -> np.ndarray:
+    """Rows of ``by_gate``'s first table for bytes ``(steps, 2, texts)`` read in both directions: ``(steps, 2, 3, texts)``."""
+    return data[:, :, None].astype(np.intp) + np.arange(6).reshape(2, 3, 1) * 256
+
+
+def advance(look: np.ndarray, turn: np.ndarray, rows: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States ``(2, texts, hidden)`` after one more byte in both directions."""
+    seen = look.take(rows, axis=0)
+    past = state[:, None] @ turn
+    gates = seen[:, :2]
+    gates += past[:, :2]
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    new = seen[:, 2]
+    new += past[:, 2] * gates[:, 0]
+    np.tanh(new, out=new)
+    if keep is not None:
+        keep.append((state, past[:, 2], gates[:, 0], gates[:, 1], new))
+    state = state - new
+    state *= gates[:, 1]
+    state += new
+    return state
+
+
+def pooled(network: ByteNetwork, texts: list[bytes]) -> np.ndarray:
+    """Mean probabilities over the bytes of each text; texts must not be empty."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    means = np.empty((len(texts), len(network.bias)))
+    first = 0
+    while first < len(order):
+        last, held = first, 0
+        while last < len(order) and last - first < GROUP_TEXTS and (last == first or held + len(texts[order[last]]) <= GROUP_BYTES):
+            held += len(texts[order[last]])
+            last += 1
+        some = order[first:last]
+        for i, found in zip(some, network.scores([texts[i] for i in some]), strict=True):
+            means[i] = found.mean(axis=0, dtype=np.float64)
+        first = last
+    return means / means.sum(axis=1, keepdims=True)
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, n_languages: int, steps: int = 240, batch: int = 192, seed: int = 5) -> ByteNetwork:
-    """A network fitted by Adam on segments drawn evenly from the languages."""
+def fit(
+    rows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_languages: int, steps: int = 240, batch: int = 96, rate: float = 0.015, seed: int = 5
+) -> ByteNetwork:
+    """A network fitted by Adam on windows drawn evenly from the languages."""
     network = ByteNetwork.fresh(n_languages)
     rng = np.random.default_rng(seed)
     by_label = [np.flatnonzero(labels == k) for k in range(n_languages)]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in network.parts()]
     for i in range(1, steps + 1):
         picked = np.concatenate([rng.choice(own, -(-batch // n_languages)) for own in by_label])
-        slopes = network.slopes(rows[picked].T, labels[picked])
-        rate = 0.03 * min(1.0, 2 * (1 - (i - 1) / steps))
+        slopes = network.slopes(rows[picked], lengths[picked], labels[picked])
+        step = rate * min(1.0, 2 * (1 - (i - 1) / steps))
         for weights, slope, (m, v) in zip(network.parts(), slopes, moments, strict=True):
             m += 0.1 * (slope - m)
             v += 0.01 * (slope**2 - v)
-            weights -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+            weights -= step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     return network
 
 
-def train_language(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, per_doc: int = SAMPLE_SEGMENTS) -> tuple[list[str], ByteNetwork | None]:
+def train_language(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, per_doc: int = SAMPLE_WINDOWS) -> tuple[list[str], ByteNetwork | None]:
     """The languages in order of name, and a network fitted on a bounded hash sample.
 
     Of each language at most ``docs_per_language`` documents that are not held out and have a text, and of each of these at
-    most ``per_doc`` segments, evenly spread. Without a labelled text there are no languages and no network.
+    most ``per_doc`` windows of ``WINDOW`` bytes, evenly spread. Without a labelled text there are no languages and no network.
     """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
@@ -156,9 +211,9 @@ def train_language(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, per_do
         for batch in batches:
             out = []
             for doc_id, lang, text in zip(*(batch.column(c) for c in ("doc_id", "lang", "text")), strict=True):
-                rows, _ = segments([text.as_py().encode()])
-                for i in sorted(set(np.linspace(0, len(rows) - 1, per_doc).astype(int).tolist())):
-                    out.append((doc_id.as_py(), i, lang.as_py(), rows[i].tobytes()))
+                read = text.as_py().encode()
+                for i in sorted(set(np.linspace(0, max(0, len(read) - WINDOW), per_doc).astype(int).tolist())):
+                    out.append((doc_id.as_py(), i, lang.as_py(), read[i : i + WINDOW]))
             if out:
                 types = [pa.int64(), pa.int32(), pa.string(), pa.binary()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
@@ -170,45 +225,30 @@ def train_language(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, per_do
     if not languages:
         return [], None
     number = {lang: i for i, lang in enumerate(languages)}
-    data = np.stack([np.frombuffer(bytes(r.bytes), np.uint8) for r in rows])
-    return languages, fit(data, np.array([number[r.lang] for r in rows]), len(languages))
+    data = np.stack([np.frombuffer(bytes(r.bytes).ljust(WINDOW, b"\0"), np.uint8) for r in rows])
+    lengths = np.array([len(r.bytes) for r in rows])
+    return languages, fit(data, lengths, np.array([number[r.lang] for r in rows]), len(languages))
 
 
 def label_languages(docs: DataFrame, languages: list[str], network: ByteNetwork | None) -> DataFrame:
     """``doc_id, lang_pred, score`` for each document.
 
-    The network reads all of a text, in segments of ``SEGMENT`` bytes, and labels every byte; a document's probabilities are the means
-    over its bytes. ``lang_pred`` is the likeliest language and ``score`` its probability. A text that is null or has no letter
-    (also an empty one) is ``und`` with score 0, as is any text if nothing was learned. No shuffle; repeated rows get equal
-    results; other columns are not read.
+    The network reads all of a text in both directions, its states running from end to end, and labels every byte; a document's
+    probabilities are the means over its bytes. ``lang_pred`` is the likeliest language and ``score`` its probability to four
+    digits, as the last bits depend on which texts are read together. A text that is null or has no letter (also an empty one) is
+    ``und`` with score 0, as is any text if nothing was learned. Memory is bounded by ``GROUP_BYTES`` or one text, times about
+    four numbers a language. No shuffle; repeated rows get equal results; other columns are not read.
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py().encode() for x in batch.column("text")]
             lettered = batch.column("lettered").to_pylist()
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             wanted = [i for i, some in enumerate(lettered) if some and network is not None]
-            first = 0
-            while first < len(wanted):
-                last, held = first, 0
-                while last < len(wanted) and (held == 0 or held + len(texts[wanted[last]]) <= 64 * BLOCK * SEGMENT):
-                    held += len(texts[wanted[last]])
-                    last += 1
-                some = wanted[first:last]
-                rows, counts = segments([texts[i] for i in some])
-                sums = np.empty((len(rows), len(languages)))
-                for at in range(0, len(rows), BLOCK):
-                    part = np.ascontiguousarray(rows[at : at + BLOCK].T)
-                    found = network.scores(part)
-                    found *= (part > 0)[..., None]
-                    sums[at : at + BLOCK] = found.sum(axis=0)
-                totals = np.add.reduceat(sums, np.cumsum(counts) - counts)
-                totals /= np.maximum(totals.sum(axis=1, keepdims=True), 1e-12)
-                for i, row in zip(some, totals, strict=True):
-                    best = int(row.argmax())
-                    names[i], scores[i] = languages[best], min(1.0, row[best])
-                first = last
+            if wanted:
+                means = pooled(network, [batch.column("text")[i].as_py().encode() for i in wanted])
+                for i, best, score in zip(wanted, means.argmax(axis=1), means.max(axis=1).round(4), strict=True):
+                    names[i], scores[i] = languages[best], min(1.0, score)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from quillrank.llm.common import component_labels
 from quillrank.llm.hashing import Rolling, shingle_set
-from quillrank.llm.language_id import ByteNetwork
+from quillrank.llm.language_id import ByteNetwork, pooled
 from quillrank.llm.near_duplicates import choose_bands, intersections
 from quillrank.llm.packing import cut, encoder
 from quillrank.llm.quality import LineField, line_features
@@ -114,17 +114,47 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good, expected) and np.allclose(pairs, joint)
 
 
+def plain_states(net, text, direction):
+    """States of one direction, byte by byte, as the equations of a gated recurrent unit have them."""
+    look, turn = net.look[direction], net.turn[direction]
+    hidden = len(turn)
+    state, states = np.zeros(hidden), []
+    for byte in text if direction == 0 else text[::-1]:
+        seen, past = look[byte], state @ turn
+        reset, update = 1 / (1 + np.exp(-(seen[: 2 * hidden] + past[: 2 * hidden]))).reshape(2, hidden)
+        new = np.tanh(seen[2 * hidden :] + reset * past[2 * hidden :])
+        state = update * state + (1 - update) * new
+        states.append(state)
+    return np.array(states if direction == 0 else states[::-1])
+
+
+def test_network_state_runs_through_whole_texts(monkeypatch):
+    """Also across chunks and groups, over NUL bytes, and whatever the texts beside are."""
+    rng = np.random.default_rng(6)
+    net = ByteNetwork.fresh(3, 4)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 700, 64, 65, 3, 128, 200)] + [b"\0" * 70, b"a\0b"]
+    means = []
+    for text in texts:
+        odds = np.concatenate([plain_states(net, text, 0), plain_states(net, text, 1)], axis=1) @ net.out + net.bias
+        means.append((np.exp(odds) / np.exp(odds).sum(axis=1, keepdims=True)).mean(axis=0))
+    assert np.allclose(pooled(net, texts), means, atol=1e-5)
+    monkeypatch.setattr("quillrank.llm.language_id.GROUP_TEXTS", 2)
+    assert np.allclose(pooled(net, texts), means, atol=1e-5)
+    monkeypatch.setattr("quillrank.llm.language_id.GROUP_BYTES", 100)
+    assert np.allclose(pooled(net, texts), means, atol=1e-5)
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = ByteNetwork.fresh(3, 4)
     net = ByteNetwork(*(w.astype(np.float64) for w in net.parts()))
-    data, labels = rng.integers(0, 5, (7, 6)).astype(np.uint8), rng.integers(0, 3, 6)
+    data, labels, lengths = rng.integers(0, 5, (6, 7)).astype(np.uint8), rng.integers(0, 3, 6), np.array([7, 7, 5, 4, 2, 1])
 
     def loss():
-        p = net.scores(data)
-        return -(np.log(p[:, np.arange(6), labels]) * (data > 0)).sum() / (data > 0).sum()
+        found = net.scores([row[:n].tobytes() for row, n in zip(data, lengths, strict=True)])
+        return -sum(np.log(p[:, label]).sum() for p, label in zip(found, labels, strict=True)) / lengths.sum()
 
-    for weights, slope in zip(net.parts(), net.slopes(data, labels), strict=True):
+    for weights, slope in zip(net.parts(), net.slopes(data, lengths, labels), strict=True):
         for _ in range(10):
             at = tuple(int(rng.integers(0, min(n, 5))) for n in weights.shape)
             before = weights[at]
