@@ -16,9 +16,9 @@ from quillrank.llm.common import held_out, text_or_empty
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 400, 4, 160
 HIDDEN = 8
 #: Texts that advance together, and bytes they may hold together; a longer text advances alone.
-GROUP_TEXTS, GROUP_BYTES = 2048, 1 << 23
+GROUP_TEXTS, GROUP_BYTES = 1024, 1 << 23
 #: Bytes after which texts that have ended leave their group.
-CHUNK = 64
+CHUNK = 32
 
 
 @dataclass
