@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import component_labels, grouped, stage
+from quillrank.llm.near_duplicates import local_labels
 
 #: Vectors per cell that the number of pivots aims at, and the most pivots there are.
 CELL_ROWS = 8192
@@ -87,7 +88,8 @@ def _cells(nodes: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> Da
                     p = pivots[int(dim)]
                     cosines = _matrix(batch.column("unit").take(pa.array(at))) @ p.T
                     home = cosines.argmax(axis=1)
-                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))[home]
+                    # Never less than the true distance, which rounding would make 0 for pivots of almost one direction.
+                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)) + 1e-12)[home]
                     # d(x,p)^2 - d(x,h)^2 = 2 (cos(x,h) - cos(x,p)) for unit vectors.
                     beyond = cosines[np.arange(len(at)), home][:, None] - cosines <= (radius + slack) * apart
                     beyond[np.arange(len(at)), home] = True
@@ -115,12 +117,13 @@ def _links(blocks: DataFrame, threshold: float) -> DataFrame:
                 close[mine[:, None] == other[None, :]] = False
                 links = close @ copies[other]
                 some = np.flatnonzero(links)
-                # All that a vector is linked to here hang together through it; tie each to the vector.
-                least = np.where(close[some].any(axis=0), close[some].argmax(axis=0), -1) if len(some) else np.zeros(0, int)
-                tied = np.flatnonzero(least >= 0)
-                root = {int(some[least[j]]): nodes[other[j]] for j in tied[::-1]}
-                out = [(nodes[mine[i]], int(links[i]), root.get(int(i), nodes[other[close[i].argmax()]])) for i in some]
-                out += [(nodes[other[j]], 0, nodes[mine[some[least[j]]]]) for j in tied]
+                tied = np.flatnonzero(close.any(axis=0))
+                # Vectors with a neighbour in common hang together: each, and each neighbour, is tied to the first of its group.
+                held = close[np.ix_(some, tied)].astype(np.float32)
+                first_of = some[local_labels(held @ held.T > 0)]
+                out = [(nodes[mine[i]], int(links[i]), nodes[mine[k]]) for i, k in zip(some, first_of, strict=True)]
+                if len(some):
+                    out += [(nodes[other[j]], 0, nodes[mine[first_of[i]]]) for j, i in zip(tied, held.argmax(axis=0), strict=True)]
                 if out:
                     columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, ["node", "links", "root"])

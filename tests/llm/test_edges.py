@@ -292,3 +292,17 @@ def test_mixing_meets_targets(spark):
         variance[r.source] = variance.get(r.source, 0) + r.size**2 * share * (1 - share)
     assert all(abs(taken[s] - target[s]) <= 4 * variance[s] ** 0.5 for s in target)
     assert abs(sum(target.values()) - sum(r.size for r in out)) < 1e-6 * len(out)
+
+
+def test_chains_of_vectors_hold_together(spark):
+    """Each chain has four vectors, linked to the next alone; whichever comes first in a block, all four are one component."""
+    chains, turn = 40, np.radians(20)
+    data = []
+    for c in range(chains):
+        for i in range(4):
+            v = np.zeros(2 * chains)
+            v[2 * c], v[2 * c + 1] = np.cos(i * turn), np.sin(i * turn)
+            data.append((4 * c + i, v.tolist()))
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vector_components(vectors).collect()}
+    assert found == {i: ((1, 2, 2, 1)[i % 4], i - i % 4) for i in range(4 * chains)}
