@@ -68,7 +68,7 @@ class Index:
 class Clauses:
     """Analyzed clauses, one row per (query, clause, field, term).
 
-    ``must_no`` numbers the required clauses of a query from 0.
+    ``must_no`` numbers the required clauses of a query from 0. ``is_plain`` says that all are optional single words of positive boost.
     """
 
     rows: DataFrame
@@ -76,6 +76,7 @@ class Clauses:
     n_terms: int
     max_must: int
     has_phrases: bool
+    is_plain: bool = False
 
 
 def _every_field(field):
@@ -141,8 +142,9 @@ def _staged(rows: DataFrame) -> Clauses:
         F.count_distinct("field", "term").alias("terms"),
         F.coalesce(F.max("must_no") + 1, F.lit(0)).alias("must"),
         F.coalesce(F.max(F.col("n_words") > 1), F.lit(False)).alias("phrases"),
+        F.coalesce(F.min((F.col("occur") == "should") & (F.col("n_words") <= 1) & (F.col("boost") > 0)), F.lit(False)).alias("plain"),
     ).first()
-    return Clauses(rows, size["n"], size["terms"], size["must"], size["phrases"])
+    return Clauses(rows, size["n"], size["terms"], size["must"], size["phrases"], size["plain"])
 
 
 def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]]:
@@ -212,10 +214,19 @@ def _term_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _range_matches(index: Index, clauses: Clauses, bm25: Bm25, inside: Column | None) -> DataFrame:
+def weighed_ranges(index: Index, clauses: Clauses, bm25: Bm25) -> list[DataFrame]:
+    """``shard, id, field, term, weight`` of the postings of the query vocabulary, a table per range of terms."""
+    return [_weighed(index, part, bm25, inside) for part, inside in _parts(index, clauses)]
+
+
+def _weighed(index: Index, clauses: Clauses, bm25: Bm25, inside: Column | None) -> DataFrame:
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
+    return _weighted_postings(index, clauses, [], inside).select("shard", "id", "field", "term", weight.alias("weight"))
+
+
+def _range_matches(index: Index, clauses: Clauses, bm25: Bm25, inside: Column | None) -> DataFrame:
     # Weighed once per posting, before the fan-out to the queries that share the term.
-    weighed = _weighted_postings(index, clauses, [], inside).select("shard", "id", "field", "term", weight.alias("weight"))
+    weighed = _weighed(index, clauses, bm25, inside)
     single = clauses.rows.where("n_words = 1").select("query_id", "occur", "must_no", "boost", "field", "term")
     return joined_uses(weighed, single, ["field", "term"], clauses.n_rows).select(
         "query_id", "occur", "must_no", "shard", "id", (F.col("boost") * F.col("weight")).alias("score")

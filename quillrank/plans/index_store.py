@@ -30,7 +30,7 @@ from quillrank.operators.statistics import all_shards, combine_field_stats, fiel
 from quillrank.operators.stems import Dictionary
 from quillrank.operators.vector_columns import check_dimension
 from quillrank.schemas import FIELDS, INDEX_DOC_COLUMNS, POSTING_COLUMNS
-from quillrank.session import bucket_count, remove_folder
+from quillrank.session import bucket_count, index_buckets, remove_folder
 
 _COMMIT = (
     "commit bigint, attempt string, num_shards int, num_buckets int, analyzer string, positions boolean, "
@@ -57,7 +57,7 @@ class IndexOptions:
         if self.num_buckets:
             return self.num_buckets
         size = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in FIELDS), F.lit(0).cast("long"))
-        return bucket_count(docs.sparkSession, docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+        return index_buckets(docs.sparkSession, docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
 
 
 def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Index:

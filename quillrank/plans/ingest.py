@@ -12,7 +12,7 @@ from quillrank.operators.embedding import ModelFactory, embed_missing_titles
 from quillrank.operators.ingest import ingest_count_columns, kept_documents, pages_to_documents
 from quillrank.operators.retrieval import Index
 from quillrank.plans.index_store import IndexOptions, write_documents
-from quillrank.session import bucket_count, input_bytes, stage
+from quillrank.session import index_buckets, input_bytes, stage
 from quillrank.sources.dumps import read_pages
 from quillrank.sources.jsonl import JsonLines, read_numbered_documents, read_ordered_documents
 from quillrank.sources.jsonl import write_documents as write_json
@@ -66,7 +66,7 @@ def index_json(
     if make_model is not None:
         docs = stage(embed_missing_titles(docs, make_model), "embedded")
     if not options.num_buckets:
-        options = replace(options, num_buckets=bucket_count(spark, input_bytes(spark, path)))
+        options = replace(options, num_buckets=index_buckets(spark, input_bytes(spark, path)))
     return write_documents(spark, root, docs, options), lines
 
 

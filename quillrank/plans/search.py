@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25
+from quillrank.operators.blocks import best_scores, fits_blocks
 from quillrank.operators.fusion import fuse
 from quillrank.operators.pruning import pays, pruned_scores
 from quillrank.operators.reports import hybrid_report, keyword_report
@@ -42,16 +43,19 @@ def shard_hits(
     """Best hits of every shard, ``(query_id, shard, id, bm25_score, shard_rank)``.
 
     Queries are bags of words unless ``clauses`` says otherwise. Queries of similar limits are searched together, as each task
-    keeps the largest limit for all of them.
+    keeps the largest limit for all of them. Batches of optional words that a task can hold are scored in blocks of documents.
     """
 
     def hits(part: Requests) -> DataFrame:
         if clauses is None:
             bag = bag_of_words(index, part, dedupe_terms=dedupe_terms)
+            if fits_blocks(index, bag, part):
+                return top_per_shard(best_scores(index, bag, part, bm25), part)
             scored = pruned_scores(index, bag, part, bm25).scores if pays(index, bag, part) else score_words(index, bag, bm25)
         else:
             valid = clauses.join(part.rows.select("query_id"), "query_id", "left_semi")
-            scored = score_clauses(index, structured(index, valid), bm25)
+            asked = structured(index, valid)
+            scored = best_scores(index, asked, part, bm25) if fits_blocks(index, asked, part) else score_clauses(index, asked, bm25)
         return top_per_shard(scored, part)
 
     return reduce(DataFrame.unionByName, [hits(part) for part in requests.by_limit()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.retrieval import Index
 from quillrank.plans.index_store import IndexOptions, create_index
-from quillrank.session import bucket_count, input_bytes, new_folder
+from quillrank.session import index_buckets, input_bytes, new_folder
 
 NUM_SHARDS = 8
 
@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def options(spark: SparkSession, sf_dir: str, **more) -> IndexOptions:
-    buckets = bucket_count(spark, input_bytes(spark, f"{sf_dir}/documents.parquet"))
+    buckets = index_buckets(spark, input_bytes(spark, f"{sf_dir}/documents.parquet"))
     return IndexOptions(**{"num_shards": NUM_SHARDS, "num_buckets": buckets, "analyzer": "simple", **more})
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25, quantized_length, retrieval_limit
 from quillrank.functions.vectors import cosine, normalize
+from quillrank.operators import blocks
 from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts
 from quillrank.operators.fusion import fuse
 from quillrank.operators.pruning import pays, pruned_scores
 from quillrank.operators.requests import Requests, prepare, rejected_queries
-from quillrank.operators.retrieval import bag_of_words, score_words, top_per_shard
+from quillrank.operators.retrieval import bag_of_words, score_words, structured, top_per_shard
 from quillrank.operators.vector_columns import check_dimension, decode_vectors, encode_vectors
 from quillrank.plans.index_store import IndexOptions, build_index
 from quillrank.plans.search import hybrid_search, keyword_search, scored_search, shard_hits
@@ -333,3 +334,29 @@ def test_parts_of_similar_limits(spark, docs, index):
     expected = bm25([d[:3] for d in DOCS], [(1, "the red cat"), (2, "the red cat"), (3, "the cats")], SHARDS)
     limits = {1: 1000, 2: 2, 3: 1}
     assert by_shard(shard_hits(index, prepare(queries))) == {key: found[: limits[key[0]]] for key, found in expected.items()}
+
+
+@pytest.mark.parametrize("block", [1, 40, 1 << 20])
+def test_blocks_have_the_same_best(spark, monkeypatch, block):
+    """Equal documents in number, so that ties by id matter, and queries whose words repeat."""
+    monkeypatch.setattr(blocks, "BLOCK_NUMBERS", block)
+    some = [(f"d{i}", "red cat" if i % 3 else "blue tree", "the cat sat " * (i % 4), None) for i in range(60)]
+    built = build_index(spark.createDataFrame(some, DOC), IndexOptions(num_shards=SHARDS, analyzer="simple"))
+    queries = spark.createDataFrame([(7, "the cat the tree"), (3, "red"), (5, "nothing here"), (4, "blue blue sat")], "query_id long, q string")
+    requests = prepare(queries.withColumn("limit", F.lit(4)))
+    for dedupe in (True, False):
+        bag = bag_of_words(built, requests, dedupe_terms=dedupe)
+        assert blocks.fits_blocks(built, bag, requests)
+        expected = by_shard(top_per_shard(score_words(built, bag), requests))
+        assert by_shard(top_per_shard(blocks.best_scores(built, bag, requests), requests)) == expected and expected
+
+
+def test_blocks_take_optional_words_alone(spark, index):
+    requests = prepare(spark.createDataFrame([(1, "cat")], "query_id long, q string"))
+
+    def fits(*clauses):
+        return blocks.fits_blocks(index, structured(index, spark.createDataFrame(clauses, CLAUSE)), requests)
+
+    assert fits((1, 1, ["cat"], None, "should", 2.5), (1, 2, ["tree"], "body", "should", 1.0))
+    for other in ((["cat"], "must", 1.0), (["cat"], "must_not", 1.0), (["red", "cat"], "should", 1.0), (["cat"], "should", 0.0)):
+        assert not fits((1, 1, ["tree"], None, "should", 1.0), (1, 2, other[0], None, *other[1:]))
