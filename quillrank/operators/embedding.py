@@ -13,12 +13,14 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from quillrank.functions.text import cache_key
 from quillrank.functions.vectors import has_vector
-from quillrank.operators.joins import lookup_join, vector_row_bytes
+from quillrank.operators.joins import fits, max_broadcast_rows, vector_row_bytes
 from quillrank.session import stage
 
 # Texts per model call.
 BATCH_SIZE = 256
 _HOT_TEXT_SALTS = 64
+# A text is hot if over one row in so many has it.
+_MAX_HOT_TEXTS = 1024
 
 # Called once per Python worker; returns a function from a list of texts to a float32 matrix.
 ModelFactory = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -58,13 +60,23 @@ def embed_texts(
     """
     key = cache_key(F.col(text)) if ignore_case else F.col(text)
     keyed = rows.withColumn("_key", F.coalesce(key, F.lit("")))
-    distinct = keyed.groupBy("_key").agg(F.min(text).alias("_text"))
-    vectors = distinct.select("_key", embedder(make_model, batch_size=batch_size)("_text").alias(into))
+    distinct = keyed.groupBy("_key").agg(F.min(text).alias("_text"), F.count("*").alias("_n"))
+    vectors = distinct.select("_key", "_n", embedder(make_model, batch_size=batch_size)("_text").alias(into))
     vectors = stage(vectors, "vectors")
-    joined = lookup_join(
-        keyed, vectors, ["_key"], row_bytes=vector_row_bytes(vectors, into), salts=_HOT_TEXT_SALTS, salt_by=salt_by
-    )
-    return joined.drop("_key")
+    if fits(vectors, max_broadcast_rows(vector_row_bytes(vectors, into))):
+        return keyed.join(F.broadcast(vectors.drop("_n")), "_key").drop("_key")
+    hot, dealt = _salted(vectors)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(_HOT_TEXT_SALTS))).otherwise(0).cast("int")
+    left = keyed.join(F.broadcast(hot), "_key", "left").withColumn("_salt", salt).drop("_hot")
+    return left.join(dealt, ["_key", "_salt"]).drop("_key", "_salt")
+
+
+def _salted(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keys that many of the rows have, which are few, and ``vectors`` with theirs once per salt and the others once."""
+    least = vectors.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] / _MAX_HOT_TEXTS
+    hot = vectors.where(F.col("_n") > least).select("_key", F.lit(True).alias("_hot"))
+    salts = F.sequence(F.lit(0), F.when(F.col("_n") > least, F.lit(_HOT_TEXT_SALTS - 1)).otherwise(0))
+    return hot, vectors.withColumn("_salt", F.explode(salts)).drop("_n")
 
 
 def embed_missing_titles(docs: DataFrame, make_model: ModelFactory, **options) -> DataFrame:
