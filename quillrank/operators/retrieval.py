@@ -18,6 +18,7 @@ from quillrank.functions.scoring import Bm25, inverse_document_frequency, rounde
 from quillrank.functions.text import MAX_TOKEN_BYTES
 from quillrank.operators.analysis import analyzed, query_terms, terms
 from quillrank.operators.joins import lookup_join, max_broadcast_rows
+from quillrank.operators.phrases import distinct_phrases, phrase_counts
 from quillrank.operators.requests import Requests
 from quillrank.operators.statistics import sum_term_counts
 from quillrank.schemas import FIELDS
@@ -174,22 +175,26 @@ def _parts(index: Index, clauses: Clauses) -> list[tuple[Clauses, Column | None]
     return parts or [(clauses, None)]
 
 
-def _weighted_postings(index: Index, clauses: Clauses, columns: list[str], inside: Column | None = None) -> DataFrame:
-    """Postings of the query vocabulary with their shard's idf and average length."""
-    if inside is not None:
-        index = replace(index, postings=index.postings.where(inside), term_counts=index.term_counts.where(inside))
+def _term_weights(index: Index, clauses: Clauses) -> DataFrame:
+    """``shard, field, term, idf, avg_dl`` of the query vocabulary."""
     vocabulary = clauses.rows.select("field", "term").distinct()
     wanted = sum_term_counts(lookup_join(index.term_counts, vocabulary, ["field", "term"], bound=clauses.n_terms))
-    weights = lookup_join(wanted, index.field_stats, ["shard", "field"], bound=len(FIELDS) * index.num_shards).select(
+    return lookup_join(wanted, index.field_stats, ["shard", "field"], bound=len(FIELDS) * index.num_shards).select(
         "shard",
         "field",
         "term",
         inverse_document_frequency(F.col("n_docs"), F.col("df")).alias("idf"),
         (F.col("sum_dl") / F.col("n_docs")).alias("avg_dl"),
     )
+
+
+def _weighted_postings(index: Index, clauses: Clauses, inside: Column | None = None) -> DataFrame:
+    """Postings of the query vocabulary with their shard's idf and average length."""
+    if inside is not None:
+        index = replace(index, postings=index.postings.where(inside), term_counts=index.term_counts.where(inside))
     return lookup_join(
-        index.postings.select("shard", "field", "term", "id", "tf", "dl", *columns),
-        weights,
+        index.postings.select("shard", "field", "term", "id", "tf", "dl"),
+        _term_weights(index, clauses),
         ["shard", "field", "term"],
         bound=clauses.n_terms * index.num_shards,
         salts=HOT_TERM_SALTS,
@@ -221,7 +226,7 @@ def weighed_ranges(index: Index, clauses: Clauses, bm25: Bm25) -> list[DataFrame
 
 def _weighed(index: Index, clauses: Clauses, bm25: Bm25, inside: Column | None) -> DataFrame:
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
-    return _weighted_postings(index, clauses, [], inside).select("shard", "id", "field", "term", weight.alias("weight"))
+    return _weighted_postings(index, clauses, inside).select("shard", "id", "field", "term", weight.alias("weight"))
 
 
 def _range_matches(index: Index, clauses: Clauses, bm25: Bm25, inside: Column | None) -> DataFrame:
@@ -236,22 +241,19 @@ def _range_matches(index: Index, clauses: Clauses, bm25: Bm25, inside: Column |
 def _phrase_matches(index: Index, clauses: Clauses, bm25: Bm25) -> DataFrame:
     if not index.positions:
         raise ValueError("phrases need an index built with positions")
-    phrases = replace(clauses, rows=clauses.rows.where("n_words > 1"))
-    rows = phrases.rows.select("query_id", "clause_id", "occur", "must_no", "boost", "n_words", "word_offset", "field", "term")
-    found = joined_uses(_weighted_postings(index, phrases, ["positions"]), rows, ["field", "term"], clauses.n_rows)
-    phrase = [
-        "query_id", "clause_id", "occur", "must_no", "boost", "n_words", "shard", "id", "field", "dl", "avg_dl"
-    ]
-    starts = F.transform("positions", lambda position: position - F.col("word_offset"))
-    # The rarest word's places first: each intersection is at most as long as the shortest list.
-    words = found.groupBy(*phrase).agg(
-        F.sum("idf").alias("idf"), F.array_sort(F.collect_list(F.struct(F.size("positions").alias("n"), starts.alias("starts")))).alias("words")
-    )
-    rest = F.slice("words", F.lit(2), F.size("words"))
-    common = F.aggregate(rest, F.col("words")[0]["starts"], lambda left, word: F.array_intersect(left, word["starts"]))
-    hits = words.where(F.size("words") == F.col("n_words")).withColumn("tf", F.size(common)).where("tf > 0")
+    rows = clauses.rows.where("n_words > 1")
+    phrases, uses = distinct_phrases(rows)
+    weights = _term_weights(index, replace(clauses, rows=rows))
+    words = phrases.select("phrase", "field", F.explode("words.term").alias("term"))
+    weights = lookup_join(weights, words, ["field", "term"], bound=clauses.n_rows)
+    weights = weights.groupBy("phrase", "shard").agg(F.sum("idf").alias("idf"), F.max("avg_dl").alias("avg_dl"))
+    hits = phrase_counts(index.postings, phrases, clauses.n_terms)
+    hits = lookup_join(hits, weights, ["phrase", "shard"], bound=clauses.n_rows * index.num_shards)
     weight = bm25.term_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avg_dl"))
-    return hits.select("query_id", "occur", "must_no", "shard", "id", (F.col("boost") * weight).alias("score"))
+    weighed = hits.select("phrase", "shard", "id", weight.alias("weight"))
+    return joined_uses(weighed, uses, ["phrase"], clauses.n_rows).select(
+        "query_id", "occur", "must_no", "shard", "id", (F.col("boost") * F.col("weight")).alias("score")
+    )
 
 
 def score_words(index: Index, clauses: Clauses, bm25: Bm25 = Bm25()) -> DataFrame:

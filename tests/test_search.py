@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.scoring import Bm25, quantized_length, retrieval_limit
 from quillrank.functions.vectors import cosine, normalize
-from quillrank.operators import blocks
+from quillrank.operators import blocks, embedding, phrases
 from quillrank.operators.embedding import embed_missing_titles, embed_queries, embed_texts
 from quillrank.operators.fusion import fuse
 from quillrank.operators.pruning import pays, pruned_scores
@@ -360,3 +360,35 @@ def test_blocks_take_optional_words_alone(spark, index):
     assert fits((1, 1, ["cat"], None, "should", 2.5), (1, 2, ["tree"], "body", "should", 1.0))
     for other in ((["cat"], "must", 1.0), (["cat"], "must_not", 1.0), (["red", "cat"], "should", 1.0), (["cat"], "should", 0.0)):
         assert not fits((1, 1, ["tree"], None, "should", 1.0), (1, 2, other[0], None, *other[1:]))
+
+
+def test_only_texts_of_many_rows_are_salted(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i}" if i % 4 else "Hot") for i in range(4000)], "id long, title string")
+    usual = {r.id: r.v for r in embed_texts(rows, "title", hashing_model(), into="v", salt_by="id").collect()}
+    monkeypatch.setattr("quillrank.operators.joins.MAX_BROADCAST_BYTES", 0)
+    dealt = []
+    salted = embedding._salted
+    monkeypatch.setattr(embedding, "_salted", lambda vectors: dealt.append(salted(vectors)) or dealt[0])
+    assert {r.id: r.v for r in embed_texts(rows, "title", hashing_model(), into="v", salt_by="id").collect()} == usual
+    assert [r._key for r in dealt[0][0].collect()] == ["hot"] and dealt[0][1].count() == 3000 + 64
+
+
+@pytest.mark.parametrize("places,words", [(1, 1), (1 << 20, 1 << 20)])
+def test_phrase_counts(spark, monkeypatch, places, words):
+    """Phrases that overlap themselves, share their first words, have a gap, or are asked for by several queries."""
+    monkeypatch.setattr(phrases, "BLOCK_PLACES", places)
+    monkeypatch.setattr(phrases, "MAX_WORDS", words)
+    texts = ["a a a a b", "a b c a b d", "c a xx b a b c", "b a", "a b c", "", "d"]
+    built = build_index(spark.createDataFrame([(f"d{i}", "", t, None) for i, t in enumerate(texts)], DOC), IndexOptions(num_shards=SHARDS, analyzer="simple", positions=True))
+    asked = [["a", "a"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c"], ["a", "w" * 50, "b"], ["c", "a", "b", "d"], ["b", "zz"]]
+    clauses = structured(built, spark.createDataFrame([(i, 0, t, "body", "should", 1.0) for i, t in enumerate(asked)], CLAUSE))
+    known, uses = phrases.distinct_phrases(clauses.rows.where("n_words > 1"))
+    found = phrases.phrase_counts(built.postings, known, clauses.n_terms).join(uses, "phrase").select("query_id", "id", "tf").collect()
+    expected = {}
+    for q, phrase in enumerate(asked):
+        for i, text in enumerate(texts):
+            held = text.split()
+            runs = [held[n : n + len(phrase)] for n in range(len(held) - len(phrase) + 1)]
+            if tf := sum(all(len(p) >= 40 or p == w for p, w in zip(phrase, run, strict=True)) for run in runs):
+                expected[q, f"d{i}"] = tf
+    assert {(r.query_id, r.id): r.tf for r in found} == expected and len(found) == len(expected)
