@@ -57,7 +57,7 @@ class IndexOptions:
         if self.num_buckets:
             return self.num_buckets
         size = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in FIELDS), F.lit(0).cast("long"))
-        return index_buckets(docs.sparkSession, docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+        return index_buckets(docs.sparkSession, docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0], self.positions)
 
 
 def build_index(docs: DataFrame, options: IndexOptions = IndexOptions()) -> Index:

@@ -66,7 +66,7 @@ def index_json(
     if make_model is not None:
         docs = stage(embed_missing_titles(docs, make_model), "embedded")
     if not options.num_buckets:
-        options = replace(options, num_buckets=index_buckets(spark, input_bytes(spark, path)))
+        options = replace(options, num_buckets=index_buckets(spark, input_bytes(spark, path), options.positions))
     return write_documents(spark, root, docs, options), lines
 
 

@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def options(spark: SparkSession, sf_dir: str, **more) -> IndexOptions:
-    buckets = index_buckets(spark, input_bytes(spark, f"{sf_dir}/documents.parquet"))
+    buckets = index_buckets(spark, input_bytes(spark, f"{sf_dir}/documents.parquet"), more.get("positions", False))
     return IndexOptions(**{"num_shards": NUM_SHARDS, "num_buckets": buckets, "analyzer": "simple", **more})
 
 

@@ -1,6 +1,6 @@
 from types import SimpleNamespace
 
-from quillrank.session import bucket_count, input_bytes, shared_dir
+from quillrank.session import bucket_count, index_buckets, input_bytes, shared_dir
 
 
 def session(settings):
@@ -21,3 +21,9 @@ def test_bucket_count(spark, tmp_path):
     assert bucket_count(spark, 1000) == spark.sparkContext.defaultParallelism
     assert bucket_count(spark, 100 << 30) == 400
     assert bucket_count(spark, 1 << 60) == 100_000
+
+
+def test_buckets_of_an_index_do_not_grow(spark):
+    for positions, most in ((False, 8 << 20), (True, 2 << 20)):
+        for size in (1 << 30, 6 << 30):
+            assert size / index_buckets(spark, size, positions) <= most
