@@ -306,3 +306,43 @@ def test_chains_of_vectors_hold_together(spark):
     vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     found = {r.vec_id: (r.n_links, r.component_id) for r in vector_components(vectors).collect()}
     assert found == {i: ((1, 2, 2, 1)[i % 4], i - i % 4) for i in range(4 * chains)}
+
+
+def test_vectors_are_written_once_however_many_blocks_meet_them(spark, monkeypatch):
+    """Vectors without structure are near every cell; in many cells, blocks and rounds they are still one row each, and all pairs are seen."""
+    import quillrank.llm.embedding_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK_NUMBERS", 16 * 30)
+    monkeypatch.setattr(module, "ROUND_BYTES", 16 * 30 * 4 * 6, raising=False)
+    written = []
+
+    def counted(rows, name, stage=module.stage):
+        rows = stage(rows, name)
+        written.append((name, rows.count()))
+        return rows
+
+    monkeypatch.setattr(module, "stage", counted)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    x[200:240] = x[:40] + 0.1 * rng.standard_normal((40, 16)).astype(np.float32)
+    x[240:260] = x[0]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    labels = np.arange(400)
+    for _ in range(400):
+        labels = np.minimum(labels, np.where(close, labels[None], 400).min(axis=1))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in vector_components(data, cell_rows=40).collect()}
+    assert out == {i: (int(close[i].sum()), int(labels[i])) for i in range(400)}
+    assert [n for name, n in written if name != "vector-links"] == [380]
+    assert sum(n for name, n in written if name == "vector-links") < 380
+
+
+def test_vectors_at_the_threshold(spark):
+    """What single precision leaves open is decided in double precision: cosines a little below, at and above 0.6."""
+    at = [0.6 + d for d in (-1e-9, 1e-9, -1e-12, 1e-12)]
+    data = [(0, [1.0, 0.0])] + [(i + 1, [c, -((1 - c * c) ** 0.5) if i % 2 else (1 - c * c) ** 0.5]) for i, c in enumerate(at)]
+    vectors = spark.createDataFrame(data + [(9, [3.0, 4.0, 0.0]), (8, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r.n_links for r in vector_components(vectors, threshold=0.6).collect()}
+    assert out == {0: 2, 1: 1, 2: 2, 3: 1, 4: 2, 8: 1, 9: 1}
