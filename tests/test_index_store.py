@@ -334,3 +334,41 @@ def test_stream_with_a_new_checkpoint_indexes_everything(spark, tmp_path, folder
     (source / "b.json").write_text(line("b"))
     stream_index(spark, f"file:{source}", folder("index"), folder("progress"), OPTIONS).awaitTermination()
     assert rows(open_index(spark, folder("index")).docs.select("id")) == [("a",), ("b",)]
+
+
+def test_rare_stems_come_to_the_buckets(spark, folder, monkeypatch):
+    """Where the dictionary is too large to broadcast, the rows of an index are still neither grouped nor stemmed across buckets."""
+    from quillrank.operators import analysis, stems
+
+    monkeypatch.setattr(stems, "max_broadcast_rows", lambda *_: 6)
+    monkeypatch.setattr(analysis, "COUNTED_WORDS", 50, raising=False)
+    plans, write = [], store._Segment.write_postings
+
+    def seen(self, session, postings):
+        plans.append(exchanges(postings)[0])
+        return write(self, session, postings)
+
+    monkeypatch.setattr(store._Segment, "write_postings", seen)
+    data = [(f"d{n}", f"running {n} runs", f"the cats cat walked{'s' * (n % 3)} rare{n}ing rare{n} {'' if n else None}") for n in range(60)]
+    data += [("empty", None, "")]
+    docs = spark.createDataFrame(data, "id string, title string, body string")
+    options = replace(STEMMED, positions=False)
+    found = create_index(spark, folder("index"), docs, options)
+    assert_same(found, build_index(docs, options))
+    assert found.postings.where("id = 'd7' AND term = 'rare7' AND field = 'body'").select("tf").collect() == [(2,)]
+    assert not [line for line in plans[0] if "shard" in line]
+    assert not store._folders(spark, folder("index") + "/words")
+
+
+def test_words_of_written_documents_are_not_grouped(spark, folder, monkeypatch):
+    plans, write = [], store._Segment.write_postings
+
+    def seen(self, session, postings):
+        plans.append(exchanges(postings)[1])
+        return write(self, session, postings)
+
+    monkeypatch.setattr(store._Segment, "write_postings", seen)
+    options = replace(OPTIONS, positions=False)
+    docs = documents(spark, range(40), "title Title common")
+    assert_same(create_index(spark, folder("index"), docs, options), build_index(docs, options))
+    assert "Aggregate" not in plans[0] and "Exchange" not in plans[0]
